@@ -103,14 +103,15 @@ DENSE_CHARS_PER_PAGE = 200  # fixed value: below this a file counts as scanned
 
 def category(object_: Column) -> Column:
     """First rule with a matching term wins; none means "Outros"."""
-    folded = tx.fold(object_)
-    rules = [F.when(tx.any_contains(folded, terms), F.lit(label)) for label, terms in CATEGORY_RULES.items()]
-    return F.coalesce(*rules, F.lit(OTHER_CATEGORY))
 
+    def rules(folded: Column) -> Column:
+        found = [F.when(tx.any_contains(folded, terms), F.lit(label)) for label, terms in CATEGORY_RULES.items()]
+        return F.coalesce(*found, F.lit(OTHER_CATEGORY))
 
-def _document_rules(title: Column) -> Column:
-    spaced = tx.fold(tx.clean_title(title))
-    glued = tx.compact(spaced)
+    return tx.let(tx.fold(object_), rules)
+
+
+def _document_rules(spaced: Column, glued: Column) -> Column:
     found = []
     for label, terms in DOCUMENT_RULES.items():
         glued_terms = [t.replace(" ", "") for t in terms if " " in t]
@@ -118,22 +119,34 @@ def _document_rules(title: Column) -> Column:
     return F.coalesce(*found)
 
 
+def _rules_on(folded: Column) -> Column:
+    """Rules over a folded title and its form without separators."""
+    both = F.struct(folded.alias("spaced"), tx.compact(folded).alias("glued"))
+    return tx.let(both, lambda t: _document_rules(t["spaced"], t["glued"]))
+
+
 def document_type(source_label: Column, title: Column) -> Column:
     """The source's label decides unless it says "outros documentos"; then the title."""
-    uncommitted = F.contains(tx.fold(tx.clean_title(source_label)), F.lit(UNCOMMITTED_LABEL))
-    by_label = F.when(~uncommitted, _document_rules(source_label))
-    return F.coalesce(by_label, _document_rules(title), F.lit(OTHER_DOCUMENT))
+    by_label = tx.let(
+        tx.fold(tx.clean_title(source_label)),
+        lambda f: F.when(~F.contains(f, F.lit(UNCOMMITTED_LABEL)), _rules_on(f)),
+    )
+    by_title = _rules_on(tx.fold(tx.clean_title(title)))
+    return F.coalesce(by_label, by_title, F.lit(OTHER_DOCUMENT))
 
 
 def document_relevance(name: Column, source_label: Column, doc_type: Column, active: Column, url: Column) -> Column:
     empty = F.lit("")
-    both = tx.fold(F.concat_ws(" ", F.coalesce(name, empty), F.coalesce(source_label, empty)))
     unusable = (active.isNotNull() & ~active) | (F.coalesce(url, empty) == "")
-    ladder = F.when(unusable, -100).when(tx.any_contains(both, FORMALITY_TERMS), 1)
-    ladder = ladder.when(tx.any_contains(both, KEY_DOCUMENT_TERMS), 100)
-    for label, points in TYPE_RELEVANCE.items():
-        ladder = ladder.when(doc_type == label, points)
-    return ladder.otherwise(10)
+
+    def ladder(both: Column) -> Column:
+        steps = F.when(unusable, -100).when(tx.any_contains(both, FORMALITY_TERMS), 1)
+        steps = steps.when(tx.any_contains(both, KEY_DOCUMENT_TERMS), 100)
+        for label, points in TYPE_RELEVANCE.items():
+            steps = steps.when(doc_type == label, points)
+        return steps.otherwise(10)
+
+    return tx.let(tx.fold(F.concat_ws(" ", F.coalesce(name, empty), F.coalesce(source_label, empty))), ladder)
 
 
 def file_type(header_name: Column, catalogue_name: Column, first_bytes: Column) -> Column:

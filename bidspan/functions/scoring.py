@@ -38,8 +38,8 @@ def round_half_up(value: Column) -> Column:
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
     """How many of the words occur, accents and case ignored."""
-    folded = tx.fold(text)
-    return sum((F.contains(folded, F.lit(classify.plain_fold(w))).cast("int") for w in words), F.lit(0))
+    plain = [classify.plain_fold(w) for w in words]
+    return tx.let(tx.fold(text), lambda f: sum((F.contains(f, F.lit(w)).cast("int") for w in plain), F.lit(0)))
 
 
 def value_band(value: Column) -> Column:

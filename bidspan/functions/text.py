@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -33,6 +33,15 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source) + marks, "".join(target)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Rules that test one cleaned text many times would otherwise repeat the
+    cleaning in every branch and outgrow what code generation accepts.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents."""
     source, target = _fold_table()
@@ -76,26 +85,23 @@ def fix_mojibake(text: Column) -> Column:
     return F.when(suspicious, F.coalesce(repaired, text)).otherwise(text)
 
 
+def _peel_quotes(body: Column) -> Column:
+    """Drop as many leading as trailing quotes; a lone quote stays."""
+    def quotes(part: Column) -> Column:
+        return F.length(part) - F.length(F.replace(part, F.lit('"'), F.lit("")))
+
+    lead = quotes(F.regexp_extract(body, r'^((?:"\s*)*)', 1))
+    tail = quotes(F.regexp_extract(body, r'((?:\s*")*)$', 1))
+    pairs = F.when(body.rlike(r'^[\s"]*$'), F.floor(quotes(body) / 2)).otherwise(F.least(lead, tail)).cast("string")
+    edges = F.concat(F.lit('^(?:"\\s*){'), pairs, F.lit('}|(?:\\s*"){'), pairs, F.lit("}$"))
+    wrapped = body.startswith('"') & body.endswith('"') & (pairs != "0")
+    return F.when(wrapped, F.regexp_replace(body, edges, F.lit(""))).otherwise(body)
+
+
 def clean_title(text: Column) -> Column:
     """Display title: repaired, unwrapped from literal quotes, single spaces."""
-    body = strip(fix_mojibake(text))
-    # as many quotes leave the front as leave the back; a lone quote stays
-    lead = F.length(F.regexp_extract(body, r'^((?:"\s*)*)', 1)) - F.length(
-        F.regexp_replace(F.regexp_extract(body, r'^((?:"\s*)*)', 1), '"', "")
-    )
-    tail = F.length(F.regexp_extract(body, r'((?:\s*")*)$', 1)) - F.length(
-        F.regexp_replace(F.regexp_extract(body, r'((?:\s*")*)$', 1), '"', "")
-    )
-    all_quotes = body.rlike(r'^[\s"]*$')
-    total = F.length(body) - F.length(F.replace(body, F.lit('"'), F.lit("")))
-    pairs = F.when(all_quotes, F.floor(total / 2)).otherwise(F.least(lead, tail)).cast("int")
-    peeled = F.regexp_replace(
-        body,
-        F.concat(F.lit('^(?:"\\s*){'), pairs.cast("string"), F.lit('}|(?:\\s*"){'), pairs.cast("string"), F.lit("}$")),
-        F.lit(""),
-    )
-    cleaned = F.when(body.startswith('"') & body.endswith('"') & (pairs > 0), peeled).otherwise(body)
-    return F.coalesce(squash_space(cleaned), F.lit(""))
+    body = let(text, lambda t: strip(fix_mojibake(t)))
+    return F.coalesce(squash_space(let(body, _peel_quotes)), F.lit(""))
 
 
 def strip_port(url: Column) -> Column:

@@ -144,16 +144,6 @@ def update_seen(catalog: DataFrame, seen: DataFrame) -> DataFrame:
     return catalog.join(newest, "control_no", "left").withColumn("seen_at", F.coalesce("_seen", "seen_at")).drop("_seen")
 
 
-def contains_within_bid(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """(quote_id, source_id) where every fragment of the quote occurs in a source of its bid."""
-    form = sources.select("bid_id", "source_id", tx.compare_form(F.col("text")).alias("_form"))
-    parts = quotes.select("bid_id", "quote_id", tx.split_ellipsis(F.col("quote")).alias("_parts"))
-    joined = parts.join(form, "bid_id")
-    return joined.filter(F.forall("_parts", lambda p: F.contains(F.col("_form"), p)) & (F.size("_parts") > 0)).select(
-        "quote_id", "bid_id", "source_id"
-    )
-
-
 def _shingles(form: Column, words: int) -> Column:
     tokens = F.split(form, " ")
     count = F.size(tokens) - (words - 1)
@@ -167,30 +157,42 @@ def _grams(form: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substr(form, i, F.lit(size)))))
 
 
-def contains_anywhere(quotes: DataFrame, sources: DataFrame, words: int = 5, min_chars: int = 12) -> DataFrame:
-    """(quote_id, source_id) over all sources, exact, without pairing all with all.
-
-    A fragment with at least ``words + 2`` words has an inner shingle of whole
-    words that any containing text must share; candidates come from an equi join
-    on that shingle and are then checked with ``contains``. Shorter fragments use
-    the first ``min_chars`` characters the same way. Quotes whose longest
-    fragment is shorter prove nothing and match nothing.
-    """
-    q = quotes.select("quote_id", tx.split_ellipsis(F.col("quote")).alias("_parts"))
-    longest = F.element_at(F.array_sort("_parts", lambda a, b: F.length(b) - F.length(a)), 1)
-    q = q.filter(F.size("_parts") > 0).withColumn("_probe", longest).filter(F.length("_probe") >= min_chars)
-    q = q.withColumn("_long", F.size(F.split("_probe", " ")) >= words + 2)
-    inner = F.array_join(F.slice(F.split("_probe", " "), 2, words), " ")
-    forms = sources.select("source_id", tx.compare_form(F.col("text")).alias("_form"))
+def quote_matches(
+    quotes: DataFrame, sources: DataFrame, on: list[str] | None = None, words: int = 5, min_chars: int = 12
+) -> DataFrame:
+    """(quote_id, source_id) where every fragment of the quote occurs in the source.
 
-    long_q = q.filter("_long").select("quote_id", "_parts", F.xxhash64(inner).alias("_h"))
-    long_s = forms.select("source_id", F.explode(_shingles(F.col("_form"), words)).alias("_h"))
-    candidates = long_q.join(long_s, "_h").select("quote_id", "_parts", "source_id")
+    ``on`` restricts a quote to sources with equal columns (its bid); without it
+    all sources are searched. Exact, and without pairing all with all:
 
-    short_q = q.filter(~F.col("_long")).select("quote_id", "_parts", F.xxhash64(F.substr("_probe", F.lit(1), F.lit(min_chars))).alias("_h"))
-    if not short_q.isEmpty():
-        short_s = forms.select("source_id", F.explode(_grams(F.col("_form"), min_chars)).alias("_h"))
-        candidates = candidates.unionByName(short_q.join(short_s, "_h").select("quote_id", "_parts", "source_id"))
+    - the longest fragment is the probe; with ``words + 2`` words or more it has
+      an inner shingle of whole words that any containing text must share;
+    - a shorter probe uses its first characters as a gram of the same length;
+    - candidates come from an equi join on that hash, so a bid with very many
+      quotes and sources spreads over as many hash values as it has texts;
+    - survivors are checked with ``contains`` on the comparison form.
 
-    checked = candidates.join(forms, "source_id")
+    Quotes with fewer than ``min_chars`` comparable characters match nothing.
+    """
+    on = on or []
+    q = quotes.select("quote_id", *on, tx.split_ellipsis(F.col("quote")).alias("_parts"))
+    longest = F.element_at(F.array_sort("_parts", lambda x, y: F.length(y) - F.length(x)), 1)
+    q = q.filter(F.length(F.array_join("_parts", " ")) >= min_chars).withColumn("_probe", longest)
+    inner = F.array_join(F.slice(F.split("_probe", " "), 2, words), " ")
+    is_long = F.size(F.split("_probe", " ")) >= words + 2
+    q = q.withColumn("_size", F.when(is_long, 0).otherwise(F.least(F.lit(min_chars), F.length("_probe"))))
+    q = q.withColumn("_h", F.xxhash64(F.when(is_long, inner).otherwise(F.substr("_probe", F.lit(1), F.col("_size")))))
+    forms = sources.select("source_id", *on, tx.compare_form(F.col("text")).alias("_form"))
+
+    candidates = None
+    sizes = [r["_size"] for r in q.select("_size").distinct().collect()]  # at most min_chars + 1 values
+    for size in sorted(sizes):
+        keys = _shingles(F.col("_form"), words) if size == 0 else _grams(F.col("_form"), size)
+        texts = forms.select("source_id", *on, F.explode(keys).alias("_h"))
+        part = q.filter(F.col("_size") == size).join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id")
+        candidates = part if candidates is None else candidates.unionByName(part)
+    if candidates is None:  # no quote long enough to prove anything
+        ids = f"quote_id {dict(q.dtypes)['quote_id']}, source_id {dict(forms.dtypes)['source_id']}"
+        return quotes.sparkSession.createDataFrame([], ids)
+    checked = candidates.join(forms.select("source_id", "_form"), "source_id")
     return checked.filter(F.forall("_parts", lambda p: F.contains(F.col("_form"), p))).select("quote_id", "source_id")

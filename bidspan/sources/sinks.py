@@ -33,17 +33,25 @@ class Snapshot:
         wanted = self.current() if version is None else version
         return None if wanted is None else self.spark.read.parquet(f"{self.path}/v={wanted}")
 
-    def write(self, df: DataFrame, version: int) -> bool:
-        """Write ``version`` and make it current; a version already logged is left alone."""
-        now = self.current()
-        if now is not None and version <= now:
-            return False
+    def stage(self, df: DataFrame, version: int) -> DataFrame:
+        """Write a version's data without making it current; repeating it is harmless."""
         writer = df.write.mode("overwrite")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.path}/v={version}")
+        return self.read(version)
+
+    def commit(self, version: int) -> None:
         log = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
         log.coalesce(1).write.mode("append").json(f"{self.path}/_log")
+
+    def write(self, df: DataFrame, version: int) -> bool:
+        """Write ``version`` and make it current; a version already logged is left alone."""
+        now = self.current()
+        if now is not None and version <= now:
+            return False
+        self.stage(df, version)
+        self.commit(version)
         return True
 
 
