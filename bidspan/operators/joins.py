@@ -144,17 +144,24 @@ def update_seen(catalog: DataFrame, seen: DataFrame) -> DataFrame:
     return catalog.join(newest, "control_no", "left").withColumn("seen_at", F.coalesce("_seen", "seen_at")).drop("_seen")
 
 
+def _starts(count: Column) -> Column:
+    return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+
 def _shingles(form: Column, words: int) -> Column:
-    tokens = F.split(form, " ")
-    count = F.size(tokens) - (words - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, words), " "))))
+    """Distinct hashes of every run of ``words`` words."""
+    runs = lambda tokens: F.transform(
+        _starts(F.size(tokens) - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, words), " "))
+    )
+    return F.array_distinct(tx.let(F.split(form, " "), runs))
 
 
 def _grams(form: Column, size: int) -> Column:
-    count = F.length(form) - (size - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substr(form, i, F.lit(size)))))
+    """Distinct hashes of every run of ``size`` characters."""
+    runs = lambda text: F.transform(
+        _starts(F.length(text) - (size - 1)), lambda i: F.xxhash64(F.substr(text, i, F.lit(size)))
+    )
+    return F.array_distinct(tx.let(form, runs))
 
 
 def quote_matches(
