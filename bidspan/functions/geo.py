@@ -13,7 +13,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2
     )
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    half = F.sqrt(h)  # not least(): it would skip a NULL and turn "unknown" into the antipode
+    return F.lit(2 * EARTH_KM) * F.asin(F.when(half > 1, F.lit(1.0)).otherwise(half))
 
 
 def rounded(km: Column) -> Column:

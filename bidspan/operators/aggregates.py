@@ -427,11 +427,9 @@ def search_gates(runs: DataFrame, coverage: DataFrame, p95_max: float = 300.0, p
             "_cov": coverage.select(F.try_divide(F.col("vectorised"), F.col("searchable"))).scalar(),
         }
     )
-    gates = F.array(
-        F.struct(F.lit("cobertura").alias("gate"), F.coalesce(F.col("_cov") >= min_coverage, F.lit(False)).alias("pass")),
-        F.struct(F.lit("latencia"), F.coalesce((F.col("n") >= min_runs) & (F.col("p95") <= p95_max) & (F.col("p99") <= p99_max), F.lit(False))),
-        F.struct(F.lit("completude"), F.coalesce(F.col("_complete"), F.lit(False))),
-    )
+    row = lambda name, ok: F.struct(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("pass"))
+    fast = (F.col("n") >= min_runs) & (F.col("p95") <= p95_max) & (F.col("p99") <= p99_max)
+    gates = F.array(row("cobertura", F.col("_cov") >= min_coverage), row("latencia", fast), row("completude", F.col("_complete")))
     return one.select(F.explode(gates).alias("g")).select("g.gate", "g.pass")
 
 

@@ -176,11 +176,20 @@ def knn_chunks(chunks: DataFrame, queries: DataFrame, k: int = OVERFETCH, limit:
     return top.join(chunks.select("chunk_id", F.col("text").alias("excerpt")), "chunk_id")
 
 
-def knn_within(chunks: DataFrame, docs: DataFrame, bid_id: int, queries: DataFrame, model: str, k: int = 12) -> DataFrame:
-    """Nearest chunks of one bid's active documents; filtering comes first."""
-    own = chunks.filter((F.col("bid_id") == bid_id) & (F.col("model") == model))
-    active = docs.filter((F.col("bid_id") == bid_id) & F.col("active")).select("doc_id")
-    return knn_exact(own.join(active, "doc_id", "left_semi"), queries, k, item="chunk_id")
+def knn_within(chunks: DataFrame, docs: DataFrame, query: DataFrame, model: str, k: int = 12, bid_id: int | None = None) -> DataFrame:
+    """Nearest chunks inside a bid's active documents; filtering comes first.
+
+    Without ``bid_id`` every bid gets its own top k for the one query.
+    """
+    own = chunks.filter(F.col("model") == model)
+    active = docs.filter("active")
+    if bid_id is not None:
+        own, active = own.filter(F.col("bid_id") == bid_id), active.filter(F.col("bid_id") == bid_id)
+    own = own.join(active.select("doc_id"), "doc_id", "left_semi")
+    if bid_id is not None:
+        return knn_exact(own, query, k, item="chunk_id")
+    hits = distances(own, query, "chunk_id", None, 2.5).join(own.select("chunk_id", "bid_id"), "chunk_id")
+    return windows.topn_per_group(hits, ["query_id", "bid_id"], [F.col("distance"), F.col("chunk_id")], k)
 
 
 def knn_multi_query(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:

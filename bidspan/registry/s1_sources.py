@@ -45,18 +45,18 @@ def listing_rows(t):
     )
 
 
-def envelopes(t, path):
-    """Write one envelope per line, 50 rows to a page, as the fetcher would."""
+def envelopes(t, path, damage=True):
+    """Write one envelope per line, 50 rows to a page, as the fetcher would; some pages arrive damaged."""
     page = (F.floor(F.col("bid_id") / PAGE) + 1).cast("int")
     pages = listing_rows(t).groupBy(page.alias("numeroPagina")).agg(F.array_sort(F.collect_list(F.struct("bid_id", "row"))).alias("rows"))
     total = t.raw("orders").agg(F.count(F.lit(1))).scalar()
     out = pages.select(
         F.transform("rows", lambda r: r["row"]).alias("data"), "numeroPagina", F.lit(1).cast("long").alias("segment_id"),
-        F.when(F.col("numeroPagina") % 40 == 0, F.col("numeroPagina") + 1).otherwise(F.col("numeroPagina")).alias("requestedPage"),
+        F.when(F.lit(damage) & (F.col("numeroPagina") % 40 == 0), F.col("numeroPagina") + 1).otherwise(F.col("numeroPagina")).alias("requestedPage"),
         F.ceil(total / PAGE).cast("int").alias("totalPaginas"), total.alias("totalRegistros"), F.lit(False).alias("empty"),
     )
     body = F.to_json(F.struct(*out.columns))
-    damaged = F.when(F.col("numeroPagina") % 60 == 0, F.lit("<html>proxy</html>")).otherwise(body)
+    damaged = F.when(F.lit(damage) & (F.col("numeroPagina") % 60 == 0), F.lit("<html>proxy</html>")).otherwise(body)
     out.select(damaged.alias("value")).write.text(path)
     return readers.page_envelopes(t.spark, path)
 

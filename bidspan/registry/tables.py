@@ -283,8 +283,8 @@ class Tables:
         return self.calls.select(
             e.alias("segment_id"), "job_id", F.col("event_type").alias("uf"), (k % 15 + 1).alias("modality_id"),
             F.date_sub(day, (k % 7)).alias("from_date"), day.alias("to_date"),
-            F.when(e % 50 == 7, "falhou").when(e % 50 == 9, "pendente").when(e % 50 == 11, "executando").otherwise("concluido").alias("status"),
-            (k % 3).alias("priority"), (k % 10).cast("long").alias("pages_applied"), F.when(k % 7 != 0, (k % 12).cast("long")).alias("total_pages"),
+            F.when(k % 3 != 0, "concluido").when(e % 50 == 7, "falhou").when(e % 10 == 9, "pendente").when(e % 50 == 11, "executando").otherwise("concluido").alias("status"),
+            (e % 3).cast("int").alias("priority"), (k % 10).cast("long").alias("pages_applied"), F.when(k % 7 != 0, (k % 12).cast("long")).alias("total_pages"),
             F.col("ts").alias("updated_at"), F.when(e % 4 == 1, F.col("ts") + span(days=1)).alias("retry_at"),
         )
 

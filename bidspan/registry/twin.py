@@ -94,9 +94,8 @@ def temporal(now: str = f"TIMESTAMP '{NOW}'") -> str:
 
 
 def haversine(a: str, b: str, c: str, d: str) -> str:
-    return (
-        f"2*6371.0*asin(least(1.0, sqrt(pow(sin(radians({c}-({a}))/2),2) + cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-({b}))/2),2))))"
-    )
+    half = f"sqrt(pow(sin(radians({c}-({a}))/2),2) + cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-({b}))/2),2))"
+    return f"2*6371.0*asin(CASE WHEN {half} > 1 THEN 1.0 ELSE {half} END)"
 
 
 STOPS = ", ".join(lit(w) for w in index.STOP_WORDS)
@@ -216,7 +215,8 @@ FROM (SELECT job_id, min(ts) AS started_at, max(ts) AS last_ts, count(*) FILTER
   count(*) FILTER (event_type = 'purchase') AS total_updated FROM calls GROUP BY job_id)""",
     "segments": """
 SELECT event_id AS segment_id, job_id, event_type AS uf, (k % 15 + 1)::INT AS modality_id, ts::DATE - (k % 7)::INT AS from_date, ts::DATE AS to_date,
-  CASE event_id % 50 WHEN 7 THEN 'falhou' WHEN 9 THEN 'pendente' WHEN 11 THEN 'executando' ELSE 'concluido' END AS status, k % 3 AS priority,
+  CASE WHEN k % 3 <> 0 THEN 'concluido' WHEN event_id % 50 = 7 THEN 'falhou' WHEN event_id % 10 = 9 THEN 'pendente' WHEN event_id % 50 = 11 THEN 'executando' ELSE 'concluido' END AS status,
+  (event_id % 3)::INT AS priority,
   (k % 10)::BIGINT AS pages_applied, CASE WHEN k % 7 <> 0 THEN (k % 12)::BIGINT END AS total_pages, ts AS updated_at,
   CASE WHEN event_id % 4 = 1 THEN ts + INTERVAL 1 DAY END AS retry_at FROM calls""",
     "frontier": """
