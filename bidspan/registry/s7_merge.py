@@ -305,7 +305,8 @@ def _(t):
 @query("stream_day_counts", f"SELECT {sql_day('(ts - INTERVAL 3 HOUR)::DATE')} AS day, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     raw = t.raw("events").select("event_id", "ts")
-    stream = sj.file_stream(t.spark, f"{t.dir}/events.parquet", raw.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    # the bracket makes it a pattern, which reads one file as well as a folder of files
+    stream = sj.file_stream(t.spark, f"{t.dir}/events.parque[t]", raw.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counted = sj.stream_day_counts(stream, "ts", "40 days").select(F.col("w.start").alias("start"), "n")
     return update_run(t, counted, ["start"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
