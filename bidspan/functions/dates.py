@@ -18,12 +18,8 @@ def local_to_utc(text: Column, zone: str = LOCAL_ZONE) -> Column:
     """Source text to an instant: an explicit offset is respected, otherwise it is local time."""
     has_offset = text.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$")
     with_offset = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
-    pattern = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2}))?"
-    part = [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("int") for i in range(1, 7)]
-    local = F.try_make_timestamp(
-        part[0], part[1], part[2], part[3], part[4], F.coalesce(part[5], F.lit(0)).cast("decimal(8,6)"), F.lit(zone)
-    )
-    return F.when(has_offset, with_offset).otherwise(local)
+    clock = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?", 0).try_cast("timestamp_ntz")
+    return F.when(has_offset, with_offset).otherwise(F.to_utc_timestamp(clock.cast("timestamp"), zone))
 
 
 def local_day(instant: Column, days: int = 0, zone: str = LOCAL_ZONE) -> Column:

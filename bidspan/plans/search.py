@@ -13,6 +13,7 @@ from bidspan.functions import dates, geo
 from bidspan.functions import text as tx
 from bidspan.operators import filters, ordering, windows
 from bidspan.plans import index, vectors
+from bidspan.session import settle
 
 
 @dataclass(frozen=True)
@@ -126,7 +127,8 @@ def search_hybrid(
         return search_lexical(bids, docs, cities, wanted, context, limit=limit, offset=offset)
 
     pool = eligible(bids, docs, cities, wanted, context)
-    ids = pool.select("bid_id")
+    # the eligible ids feed three rankings and the page: computed once, narrow
+    ids = settle(pool.select("bid_id", "closes_at"), "eligible")
     count = ids.count()
     chosen = strategy(count, config)
     own = object_vectors.filter(F.col("model") == config.model)
@@ -147,9 +149,10 @@ def search_hybrid(
 
     lexical = lexical_ranking(pool, postings, stats, term)
     w, v = config.weight_lexical, config.weight_vector
-    fused = vectors.fuse_rrf([(lexical, w), (objects, v), (pieces, v)])
-    rows = pool.join(fused.withColumn("rrf_score", F.round("rrf_score", 12)), "bid_id")
-    out = ordering.page_with_total(rows, ordering.relevance_keys(), limit, offset)
+    fused = vectors.fuse_rrf([(lexical, w), (objects, v), (pieces, v)]).withColumn("rrf_score", F.round("rrf_score", 12))
+    ranked = settle(fused.join(ids, "bid_id"), "fused")
+    page = ordering.page_with_total(ranked, ordering.relevance_keys(), limit, offset).drop("closes_at")
+    out = pool.join(page, "bid_id").orderBy(*ordering.relevance_keys())  # at most a page of wide rows
     return _computed(out, context.now).withColumns(
         {"mode": F.lit("hibrido"), "strategy": F.lit(chosen), "eligible": F.lit(count).cast("long")}
     )

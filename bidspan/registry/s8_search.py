@@ -21,7 +21,7 @@ from bidspan.session import fresh_path, settle
 
 WANTED = {"value_min": 20000, "published_from": "1996-01-01", "has_notice": True, "term": "escola", "origin_code": s2.ORIGIN, "radius_km": 2500}
 MATCHED = f"""
-SELECT b.*, {s2.KM} AS km FROM bids b JOIN cities c USING (city_code), (SELECT lat, lon FROM cities WHERE city_code = '{s2.ORIGIN}') o
+SELECT b.*, {s2.KM} AS km FROM bids b JOIN (SELECT city_code, lat, lon FROM cities) c USING (city_code), (SELECT lat, lon FROM cities WHERE city_code = '{s2.ORIGIN}') o
 WHERE value >= 20000 AND {s2.sql_day('published_at', '>=', '1996-01-01')} AND bid_id IN (SELECT bid_id FROM docs WHERE active AND doc_type = 'edital') AND {s2.KM} <= 2500
 AND (contains({s2.SEARCHED}, 'escola') OR {s2.has_terms(s2.OBJ, ix.query_tokens('escola'))})"""
 PAGE_COLS = f"bid_id, control_no, object, value::DOUBLE AS value, {w.is_open()} AS open_now, {w.temporal()} AS temporal_state, round(km, 1) AS distance_km"
