@@ -159,6 +159,10 @@ def file_type(header_name: Column, catalogue_name: Column, first_bytes: Column)
     return F.struct(name.alias("name"), ext.alias("ext"), mime.alias("mime"), ok.alias("ok"))
 
 
+def _holds(terms: list[str]):
+    return lambda name: tx.any_contains(name, terms)
+
+
 def checklist(types: Column, names: Column) -> Column:
     """struct of four presence flags and their count, from a bid's types and names."""
     folded = F.transform(names, lambda n: tx.fold(F.coalesce(n, F.lit(""))))
@@ -167,7 +171,7 @@ def checklist(types: Column, names: Column) -> Column:
         by_type = F.lit(False)
         for t in wanted:
             by_type = by_type | F.coalesce(F.array_contains(types, t), F.lit(False))
-        flags[flag] = by_type | F.exists(folded, lambda n, terms=terms: tx.any_contains(n, terms))
+        flags[flag] = by_type | F.exists(folded, _holds(terms))
     count = sum((f.cast("int") for f in flags.values()), F.lit(0))
     return F.struct(*[f.alias(n) for n, f in flags.items()], count.alias("ready"))
 

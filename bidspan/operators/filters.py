@@ -231,6 +231,11 @@ def document_flags_wanted(filters: Mapping[str, Any]) -> list[str]:
 # ------------------------------------------------------------- smaller screens
 
 
+def distance_cut(limit: float) -> Column:
+    """Strictly nearer than the limit."""
+    return F.col("distance") < limit
+
+
 def items_matching(term: str = "", kind: str = "todos") -> Column:
     """Line items by text, exact number or code, and by material/service."""
     cond = F.lit(True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bidspan.functions import classify, scoring
 from bidspan.functions import text as tx
+from bidspan.functions.vectors import cosine_distance
 from bidspan.operators import filters as fl
 from bidspan.plans import index, search
 from bidspan.registry import twin as w
@@ -232,6 +233,16 @@ def _(t):
     return t.files.select("doc_id", classify.text_density_state(F.col("chars"), F.col("pages")).alias("state"))
 
 
+@query("flt_distance_cut", f"""
+SELECT v.vec_id, round(d, 6) AS distance FROM (SELECT v.vec_id, 1 - list_dot_product(v.embedding::DOUBLE[], q.embedding) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.embedding, q.embedding)) AS d
+FROM embeddings v JOIN themes q ON q.query_id = v.label) v WHERE d < 0.95""")
+def _(t):
+    """Strict distance cut on each vector's distance to its own label's mean."""
+    joined = t.raw("embeddings").join(t.themes.withColumnRenamed("embedding", "center"), F.col("label") == F.col("query_id"))
+    measured = joined.select("vec_id", cosine_distance(F.col("embedding"), F.col("center")).alias("distance"))
+    return measured.filter(fl.distance_cut(0.95)).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 def relevance_sql(name, label, typ, active, url):
     f = w.fold(f"coalesce({name}, '') || ' ' || coalesce({label}, '')")
     types = " ".join(f"WHEN {typ} = '{k}' THEN {v}" for k, v in classify.TYPE_RELEVANCE.items())

@@ -173,6 +173,23 @@ def _(t):
     return joins.update_seen(t.bid_core, seen).select("bid_id", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
 
 
+@query("join_upsert_guarded", f"""
+SELECT bid_id, CASE WHEN wins THEN 'x' || source_hash ELSE source_hash END AS source_hash, CASE WHEN wins THEN 'atualizado' WHEN bid_id % 3 = 0 THEN 'ignorado' END AS action, team_status FROM (
+  SELECT *, bid_id % 3 = 0 AND (updated_at_source IS NULL OR bid_id % 2 = 0) AS wins FROM bids)""")
+def _(t):
+    """A third of the catalogue arrives again, half of it older: only newer versions may change rows."""
+    from bidspan.operators.merge import merge_catalog
+
+    cols = ["control_no", "bid_id", "closes_at", "updated_at_source", "source_hash", "seen_at"]
+    team = ["team_status", "priority", "notes", "accessed_at", "created_at", "changed_at", "synced_at"]
+    shift = F.when(F.col("bid_id") % 2 == 0, F.expr("interval 1 day")).otherwise(F.expr("interval -1 day"))
+    batch = t.bids.filter(F.col("bid_id") % 3 == 0).select(*cols).withColumns(
+        {"source_hash": F.concat(F.lit("x"), "source_hash"), "updated_at_source": F.col("updated_at_source") + shift, "position": F.col("bid_id")}
+    )
+    merged = merge_catalog(t.bids.select(*cols, *team), batch, "todas", t.now)
+    return merged.select("bid_id", "source_hash", "action", "team_status")
+
+
 def parts_of(x):
     return f"list_filter(list_transform(regexp_split_to_array({x}, '\\[[^\\]]*\\]|\\(\\.\\.\\.\\)|\\.{{3}}|…'), lambda p: {w.compare_form('p')}), lambda p: p <> '')"
 

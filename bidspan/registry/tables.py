@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bidspan.functions import classify, hashing, scoring
 from bidspan.functions import text as tx
@@ -55,12 +56,19 @@ def span(days: Column | int = 0, hours: Column | int = 0) -> Column:
     return F.make_dt_interval(as_col(days), as_col(hours))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = configure(spark), sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table. Its schema is read from the files once per process, not per use."""
+        path = f"{self.dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @property
     def now(self) -> Column:

@@ -109,6 +109,16 @@ def binary_meta(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     )
 
 
+def expected_files(expected: DataFrame, meta: DataFrame, key: str = "path") -> DataFrame:
+    """Files that should be stored, with their verdict.
+
+    Spark's file sources list no zero-length files, so an expected file that
+    was not read is an empty one and says so.
+    """
+    joined = expected.select(key).join(meta, key, "left")
+    return joined.withColumn("verdict", F.coalesce("verdict", F.lit("vazio"))).withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+
+
 def payload_archive(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Payload rows to append: one per (key, hash), not stored yet."""
     from bidspan.operators.joins import anti_conflict
