@@ -63,9 +63,13 @@ def trim_null(text: Column) -> Column:
 
 
 def squash_space(text: Column) -> Column:
-    """Drop NUL characters and collapse runs of blanks."""
-    no_nul = F.regexp_replace(text, r"\x00", "")
-    return strip(F.regexp_replace(no_nul, BLANK_CLASS + "+", " "))
+    """Drop NUL characters and collapse runs of blanks.
+
+    Every kind of blank becomes a space in one ``translate`` pass; the pattern
+    that remains is plain spaces, which is several times cheaper to match.
+    """
+    spaced = F.translate(text, BLANKS + "\x00", " " * len(BLANKS))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def compact(text: Column) -> Column:

@@ -58,19 +58,21 @@ def global_rank(df: DataFrame, keys: Sequence[str], directions: Sequence[bool],
     """Exact 1-based rank of every row without a single-task window.
 
     Rows are range-partitioned on the order; each partition is numbered on its
-    own and shifted by the sizes of the partitions before it.
+    own and shifted by the sizes of the partitions before it. The input is
+    written first: range partitioning samples it, and would otherwise compute
+    it twice. Pass narrow rows (keys and order columns).
     """
     order = [F.col(k).asc_nulls_last() if asc else F.col(k).desc_nulls_last() for k, asc in zip(keys, directions)]
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     from bidspan.session import settle
 
+    ranged = settle(df, "unranked").repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     ranged = settle(ranged, "rank")  # partition ids must not change between the two uses
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     numbered = ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part")
-    return numbered.withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+    return numbered.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
 
 
 def best_chunk(hits: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from bidspan.functions import classify, hashing, scoring
 from bidspan.functions import text as tx
 from bidspan.operators import windows
-from bidspan.session import configure
+from bidspan.session import configure, spread, thin_scan
 from bidspan.sources import readers
 
 NOW = "1998-09-02 12:00:00"
@@ -56,7 +56,8 @@ def span(days: Column | int = 0, hours: Column | int = 0) -> Column:
     return F.make_dt_interval(as_col(days), as_col(hours))
 
 
-_SCHEMAS: dict[str, StructType] = {}
+_SCHEMAS: dict[str, tuple[StructType, bool]] = {}
+HEAVY = {"orders", "lineitem", "documents", "pages"}
 
 
 class Tables:
@@ -64,11 +65,18 @@ class Tables:
         self.spark, self.dir = configure(spark), sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        """A given table. Its schema is read from the files once per process, not per use."""
+        """A given table. Its schema and task count are read from the files once per process.
+
+        A table with text to process that is stored in fewer row groups than
+        there are cores is spread over them (see ``session.spread``).
+        """
         path = f"{self.dir}/{name}.parquet"
         if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+            df = self.spark.read.parquet(path)
+            _SCHEMAS[path] = (df.schema, name in HEAVY and thin_scan(df))
+        schema, thin = _SCHEMAS[path]
+        df = self.spark.read.schema(schema).parquet(path)
+        return spread(df, df.columns[0]) if thin else df
 
     @property
     def now(self) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bidspan.functions import scoring
 from bidspan.operators import merge, projections, windows
+from bidspan.session import settle
 from bidspan.sources import readers, schemas
 from bidspan.sources.sinks import Snapshot
 
@@ -81,6 +82,7 @@ def stream_pages(
         held, next_pages = catalog.read(done).drop("action"), ledger.read(done)
         pages = readers.page_quality(df).filter(F.col("quality") != "invalida")
         decisions = merge.page_ledger(pages.select("segment_id", F.col("numeroPagina").alias("page")), next_pages)
+        decisions = settle(decisions, "pages")  # page numbers only; asked three times below
         gap = decisions.filter(F.col("decision") == "erro").select("segment_id", "page").first()
         if gap is not None:
             raise ValueError(f"page {gap['page']} of segment {gap['segment_id']} is out of order")
