@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidspan.functions import dates, geo
-from bidspan.functions import text as tx
 from bidspan.operators import filters, ordering, windows
 from bidspan.plans import index, vectors
 from bidspan.session import settle
@@ -156,8 +155,3 @@ def search_hybrid(
     return _computed(out, context.now).withColumns(
         {"mode": F.lit("hibrido"), "strategy": F.lit(chosen), "eligible": F.lit(count).cast("long")}
     )
-
-
-def embed_source(bids: DataFrame) -> DataFrame:
-    text = tx.embed_text(F.col("object"), F.col("agency"), F.col("city"))
-    return bids.withColumn("embed_text", text).withColumn("embed_hash", F.md5(text))

@@ -20,13 +20,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (unit tests on one machine) is a fresh
-    temporary folder made and recorded, so later calls agree.
+    Only on a local master that names none (unit tests on one machine) is a
+    fresh temporary folder made and recorded, so later calls agree.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = os.environ.get("BIDSPAN_WORK") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
         named = spark.sparkContext.getCheckpointDir()

@@ -124,7 +124,3 @@ def payload_archive(new: DataFrame, stored: DataFrame) -> DataFrame:
     from bidspan.operators.joins import anti_conflict
 
     return anti_conflict(new, stored, ["key", "hash"])
-
-
-def blank_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: tx.trim_null(F.col(c)) for c in columns})

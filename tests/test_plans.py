@@ -40,7 +40,7 @@ def test_pages_are_top_k(tables):
 
 
 def test_group_limits_run_before_the_shuffle(tables):
-    text = plan(wn.topn_per_group(tables.items, ["bid_id"], [F.desc("total"), F.col("number")], 3))
+    text = plan(wn.topn_per_group(tables.items, ["suppkey"], [F.desc("total"), F.col("number")], 3))
     assert text.count("WindowGroupLimit") == 2
 
 
