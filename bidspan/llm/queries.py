@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import lines, mixing, packing, sharding
+from bidspan.llm import lines, mixing, packing, quality, sharding, simhash
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -126,3 +126,16 @@ from p"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(mixing.mix_documents(table(spark, sf_dir, "documents")))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
