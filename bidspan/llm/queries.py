@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import lines, mixing, packing, quality, sharding, simhash
+from bidspan.llm import lines, mixing, packing, quality, sharding, simhash, sketch
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -139,3 +139,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_sketch")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.fingerprint_text(F.col("sketch")).alias("fingerprint"), sketch.fingerprint_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "held_by_edited",
+    )
