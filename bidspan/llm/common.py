@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ class Settled:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Jobs run inside hand at most ``rows`` rows at a time to Python, for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame, settle: Settled) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, component)``; the component is its least node.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import lines, mixing, packing, quality, sharding, simhash, sketch
+from bidspan.llm import lines, mixing, packing, paragraphs, quality, sharding, simhash, sketch, topk
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -149,3 +149,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.fingerprint_text(F.col("sketch")).alias("fingerprint"), sketch.fingerprint_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited", "near_next", "held_by_edited",
     )
+
+
+_OP4 = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify rank <= 5"""
+
+
+@query("op4_topk", _OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op3_paragraphs")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.shared_paragraphs(table(spark, sf_dir, "documents"))
