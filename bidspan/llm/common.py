@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ def hex_bucket(digits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, digits), 16, 10).cast("int")
 
 
+def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
+    """The arrays of a batch as one; an empty one if there are none."""
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 class Settled:
     """Tables written to the shared folder to cut lineage; superseded ones can be removed.
 

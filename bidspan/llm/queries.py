@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import lines, mixing, packing, paragraphs, quality, sharding, simhash, sketch, topk
+from bidspan.llm import lines, mixing, packing, pages, paragraphs, quality, sharding, simhash, sketch, topk
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -170,3 +170,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_paragraphs")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.shared_paragraphs(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
