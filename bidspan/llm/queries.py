@@ -26,16 +26,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def vocabulary() -> str:
-    """The file of the byte-level vocabulary; an installed package names it on every machine."""
+def vocabulary() -> dict[str, str]:
+    """The files of the byte-level vocabulary; an installed package names them on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 @query("op1_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), **vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
