@@ -33,7 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in windows of 1024 token ids."""
-    return packing.pack_documents(docs, vocabulary())
+    return packing.pack_documents(docs, **vocabulary())
 
 
 STAGES = [
