@@ -28,8 +28,9 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, m
     """``sizes(source, source_size)`` with ``rank``, ``weight`` and ``target``.
 
     The weighted shares are filled like water: sources by rising ``cap / weight``,
-    so a source is full exactly if the level reaches its cap. The windows hold one
-    row per source, the only thing here that is not partitioned.
+    so a source is full exactly if the level reaches its cap. From the first source
+    that stays below its cap on, levels computed as if it were full only fall. The
+    windows hold one row per source, the only thing here that is not partitioned.
     """
     ranked = sizes.withColumn("rank", F.expr("row_number() over (order by source nulls last)"))
     cycle = F.array(*(F.lit(int(w)) for w in weights))
@@ -39,7 +40,7 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, m
         .withColumn("filled", F.expr("coalesce(sum(cap) over (order by full_at, rank rows between unbounded preceding and 1 preceding), 0)"))
         .withColumn("open", F.expr("sum(weight) over (order by full_at, rank rows between current row and unbounded following)"))
         .withColumn("level", (F.expr("sum(source_size) over ()") * F.lit(float(share)) - F.col("filled")) / F.col("open"))
-        .withColumn("level", F.expr("min(case when level <= full_at then level end) over ()"))
+        .withColumn("level", F.expr("max(case when level <= full_at then level end) over ()"))
     )
     return level.select("source", "source_size", "rank", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 

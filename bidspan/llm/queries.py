@@ -112,7 +112,7 @@ with d as (
   f as (select *, {mixing.MOST} * source_size as cap, {mixing.MOST} * source_size / weight as full_at from w),
   v as (select *, (sum(source_size) over () * {mixing.SHARE}::double - coalesce(sum(cap) over (order by full_at, rank rows between unbounded preceding and 1 preceding), 0)::double)
       / sum(weight) over (order by full_at, rank rows between current row and unbounded following) as level from f),
-  t as (select source, source_size, least(cap::double, weight * (select min(level) from v where level <= full_at)) as target from v),
+  t as (select source, source_size, least(cap::double, weight * (select max(level) from v where level <= full_at)) as target from v),
   p as (
     select d.*, t.source_size, t.target, round(t.target)::bigint as want,
       (sum(size) over (partition by d.source order by ord, doc_id nulls first, size rows between unbounded preceding and current row))::bigint - size as start
