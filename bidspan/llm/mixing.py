@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, m
 
 def slot_schedule(spark, targets: DataFrame, n_slots: int) -> DataFrame:
     """``slot, rank, block``: slot i plays the next unplayed block of the source that its point falls on."""
-    high = F.expr("sum(target) over (order by rank)") / F.expr("sum(target) over ()")
+    high = F.expr("sum(target) over (order by rank)") / F.expr("nullif(sum(target) over (), 0)")
     edges = targets.select("rank", high.alias("high")).agg(F.array_sort(F.collect_list(F.struct("rank", "high"))).alias("e"))
     edges = edges.select(F.transform("e", lambda x: x["high"])).scalar()
     point = (((F.col("id") + 1) % POINTS) * STEP % POINTS).cast("double") / POINTS
