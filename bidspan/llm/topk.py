@@ -101,7 +101,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, scale: int = SCAL
             counts = histograms.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
             above = "coalesce(sum(n) over (partition by query_id order by bin desc rows between unbounded preceding and 1 preceding), 0)"
             ranked = counts.withColumn("above", F.expr(above)).join(state, "query_id").where("above < need and above + n >= need")
-            found = ranked.select("block", "query_id", (F.col("low") + F.col("bin") * width).alias("low"), (F.col("need") - F.col("above")).alias("need"))
+            found = ranked.select("block", "query_id", (F.col("low") + F.col("bin").cast("long") * F.lit(width).cast("long")).alias("low"), (F.col("need") - F.col("above")).alias("need"))
             # fewer candidates than needed: all count, so the range stays at its lower end
             after = settle(found.unionByName(state.join(found, "query_id", "left_anti").select("block", "query_id", "low", "need")))
             settle.drop(state)
