@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidspan.functions import dates, geo
-from bidspan.operators import filters, ordering, windows
+from bidspan.operators import filters, ordering, projections, windows
 from bidspan.plans import index, vectors
 from bidspan.session import settle
 
@@ -23,8 +23,6 @@ class HybridConfig:
     distance_limit: float = 0.40
     model: str = "bge-m3"
     min_chars: int = 4
-    exact_limit: int = 5000
-    chunk_cut: int | None = vectors.OVERFETCH
 
 
 def object_text() -> Column:
@@ -36,10 +34,14 @@ def term_predicate(term: str) -> Column:
     return filters.substring(term) | index.fulltext(object_text(), term)
 
 
-def eligible(bids: DataFrame, docs: DataFrame, cities: DataFrame, wanted: Mapping[str, Any], context: filters.Context, active_only: bool = True) -> DataFrame:
-    """Every filter of the map except the term, cheapest first; adds ``km``."""
+def eligible(
+    bids: DataFrame, docs: DataFrame, cities: DataFrame, wanted: Mapping[str, Any], context: filters.Context, active_only: bool = True, shortlist: DataFrame | None = None
+) -> DataFrame:
+    """Every filter of the map except the term, cheapest first; adds ``km``. Bids on the ``shortlist`` are left out."""
     cond = filters.conjunction(wanted, context)
     out = bids if cond is None else bids.filter(cond)
+    if shortlist is not None:
+        out = filters.not_shortlisted(out, shortlist)
     types = filters.document_flags_wanted(wanted)
     if types:
         out = filters.has_document(out, docs, types, active_only)
@@ -53,12 +55,19 @@ def _computed(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def lexical_matches(bids, docs, cities, wanted, context, active_only=True) -> DataFrame:
+def lexical_matches(bids, docs, cities, wanted, context, active_only=True, shortlist=None) -> DataFrame:
     term = (wanted.get("term") or "").strip()
-    out = eligible(bids, docs, cities, wanted, context, active_only)
+    out = eligible(bids, docs, cities, wanted, context, active_only, shortlist)
     return out.filter(term_predicate(term)) if term else out
 
 
+def _listing(page: DataFrame, docs: DataFrame, doc_state: DataFrame | None, now: Column) -> DataFrame:
+    """Computed columns and document totals of the rows of a page; documents of other bids are not counted."""
+    own = docs.join(page.select("bid_id"), "bid_id", "left_semi")
+    state = page.select("bid_id", F.lit(None).cast("string").alias("state")) if doc_state is None else doc_state.join(page.select("bid_id"), "bid_id", "left_semi")
+    return projections.with_document_totals(_computed(page, now), own, state)
+
+
 def search_lexical(
     bids: DataFrame,
     docs: DataFrame,
@@ -70,11 +79,20 @@ def search_lexical(
     limit: int | None = 25,
     offset: int | None = 0,
     active_only: bool = True,
+    shortlist: DataFrame | None = None,
+    doc_state: DataFrame | None = None,
 ) -> DataFrame:
-    """Page rows with computed state, distance and ``total`` under the same filter."""
-    matched = lexical_matches(bids, docs, cities, wanted, context, active_only)
-    out = ordering.page_with_total(matched, ordering.sort_keys(key, direction), limit, offset)
-    return _computed(out, context.now).withColumn("mode", F.lit("lexical"))
+    """Page rows with computed state, distance, document totals and ``total`` under the same filter.
+
+    The filters run once: what matched is settled as ids and sort columns, from
+    which total and page are taken, and wide rows are read for the page only.
+    """
+    matched = lexical_matches(bids, docs, cities, wanted, context, active_only, shortlist)
+    keys = ordering.sort_keys(key, direction)
+    narrow = settle(matched.select("bid_id", "km", *(c for c in ordering.SORT_COLUMNS.values() if c in matched.columns)), "matched")
+    page = settle(ordering.page_with_total(narrow, keys, limit, offset).select("bid_id", "km", "total"), "page")
+    rows = bids.join(page, "bid_id")  # at most a page
+    return _listing(rows, docs, doc_state, context.now).withColumn("mode", F.lit("lexical")).orderBy(*keys)
 
 
 def search_mode(config: HybridConfig, has_vector: bool, term: str | None) -> str:
@@ -89,14 +107,21 @@ def search_fallback(config: HybridConfig, provider_failed: bool, term: str | Non
     return {"mode": search_mode(config, not provider_failed, term), "degraded": wanted and provider_failed}
 
 
-def strategy(eligible_count: int, config: HybridConfig) -> str:
-    return "exata" if eligible_count <= config.exact_limit else "aproximada"
+def search_mode_of(term: Column, config: HybridConfig, has_vector: bool = True) -> Column:
+    """:func:`search_mode` of a column of terms."""
+    usable = F.lit(config.active and has_vector) & (F.length(F.trim(F.coalesce(term, F.lit("")))) >= config.min_chars)
+    return F.when(usable, "hibrido").otherwise("lexical")
+
 
+def strategy(eligible_count: Column, exact_limit: int) -> Column:
+    """Which scan a service that switches at ``exact_limit`` reports; the search here is exact at every size."""
+    return F.when(eligible_count <= exact_limit, "exata").otherwise("aproximada")
 
-def lexical_ranking(matched: DataFrame, postings: DataFrame, stats: DataFrame, term: str) -> DataFrame:
-    """(bid_id, rank) by text score desc, id. A substring-only hit scores 0."""
+
+def lexical_ranking(hits: DataFrame, postings: DataFrame, stats: DataFrame, term: str) -> DataFrame:
+    """(bid_id, rank) of bids that match the term, by text score desc, id. A substring-only hit scores 0."""
     scored = index.rank_text(postings, stats, "bid_id", index.query_tokens(term)).select("bid_id", "score")
-    hits = matched.filter(term_predicate(term)).select("bid_id").join(scored, "bid_id", "left")
+    hits = hits.select("bid_id").join(scored, "bid_id", "left")
     hits = hits.withColumn("score", F.coalesce(F.round("score", 9), F.lit(0.0)))
     return windows.global_rank(hits, ["score", "bid_id"], [False, True])
 
@@ -115,43 +140,40 @@ def search_hybrid(
     config: HybridConfig = HybridConfig(),
     limit: int | None = 25,
     offset: int | None = 0,
+    key: str | None = None,
+    direction: str = "asc",
+    active_only: bool = True,
+    shortlist: DataFrame | None = None,
+    doc_state: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused page of three rankings over one eligible set.
-
-    ``query`` is one row (query_id, embedding) or None. The eligible count picks
-    exact scan or LSH before either is planned; only the chosen branch exists.
+    """Fused page of three complete rankings over one eligible set.
+
+    ``query`` is one row (query_id, embedding) or None. Filters come first; every
+    eligible bid within the distance limit is ranked, by its own vector and by its
+    best chunk, so ``total`` and later pages are whole, and one more bid never
+    changes the way. Rankings carry ids; wide rows and texts are read for the
+    page only. ``key`` None orders by relevance, or by deadline if the search
+    falls back to the lexical one.
     """
     term = (wanted.get("term") or "").strip()
     if search_mode(config, query is not None, term) == "lexical":
-        return search_lexical(bids, docs, cities, wanted, context, limit=limit, offset=offset)
-
-    pool = eligible(bids, docs, cities, wanted, context)
-    # the eligible ids feed three rankings and the page: computed once, narrow
-    ids = settle(pool.select("bid_id", "closes_at"), "eligible")
-    count = ids.count()
-    chosen = strategy(count, config)
-    own = object_vectors.filter(F.col("model") == config.model)
-    parts = chunks.filter(F.col("model") == config.model)
-    if chosen == "exata":
-        near = own.join(ids, "bid_id", "left_semi")
-        objects = vectors.knn_exact(near, query, vectors.CANDIDATES, config.distance_limit, "bid_id")
-        pieces = vectors.knn_chunks(parts.join(ids, "bid_id", "left_semi"), query, config.chunk_cut, config.distance_limit)
-    else:
-        found = vectors.knn_approx(own, query, vectors.CANDIDATES, config.distance_limit, "bid_id").drop("rank")
-        kept = found.join(ids, "bid_id", "left_semi")
-        objects = windows.topn_per_group(kept, ["query_id"], [F.col("distance"), F.col("bid_id")], vectors.CANDIDATES)
-        hits = vectors.knn_approx(parts, query, vectors.OVERFETCH, config.distance_limit, "chunk_id").drop("rank")
-        owned = hits.join(parts.select("chunk_id", "bid_id"), "chunk_id").join(ids, "bid_id", "left_semi")
-        best = windows.best_row(owned, ["query_id", "bid_id"], F.struct("distance", "chunk_id"), newest=False)
-        top = windows.topn_per_group(best, ["query_id"], [F.col("distance"), F.col("bid_id")], vectors.CANDIDATES)
-        pieces = top.join(parts.select("chunk_id", F.col("text").alias("excerpt")), "chunk_id")
-
-    lexical = lexical_ranking(pool, postings, stats, term)
+        return search_lexical(bids, docs, cities, wanted, context, key or "deadline", direction, limit, offset, active_only, shortlist, doc_state)
+
+    pool = eligible(bids, docs, cities, wanted, context, active_only, shortlist)
+    # one pass over the catalogue: ids, sort columns and whether the term occurs
+    columns = [c for c in ordering.SORT_COLUMNS.values() if c in pool.columns]
+    ids = settle(pool.select("bid_id", "km", *columns, term_predicate(term).alias("_hit")), "eligible")
+    own = object_vectors.filter(F.col("model") == config.model).join(ids, "bid_id", "left_semi")
+    parts = chunks.filter(F.col("model") == config.model).join(ids, "bid_id", "left_semi")
+    objects = vectors.full_ranking(vectors.under_limit(own, query, config.distance_limit, "bid_id"), "bid_id")
+    pieces = vectors.knn_chunks(parts, query, config.distance_limit)
+    lexical = lexical_ranking(ids.filter("_hit"), postings, stats, term)
     w, v = config.weight_lexical, config.weight_vector
     fused = vectors.fuse_rrf([(lexical, w), (objects, v), (pieces, v)]).withColumn("rrf_score", F.round("rrf_score", 12))
-    ranked = settle(fused.join(ids, "bid_id"), "fused")
-    page = ordering.page_with_total(ranked, ordering.relevance_keys(), limit, offset).drop("closes_at")
-    out = pool.join(page, "bid_id").orderBy(*ordering.relevance_keys())  # at most a page of wide rows
-    return _computed(out, context.now).withColumns(
-        {"mode": F.lit("hibrido"), "strategy": F.lit(chosen), "eligible": F.lit(count).cast("long")}
-    )
+    ranked = settle(fused.join(ids.drop("_hit"), "bid_id"), "fused")
+    keys = ordering.relevance_keys() if key is None else ordering.sort_keys(key, direction)
+    count = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+    page = ordering.page_with_total(ranked, keys, limit, offset).withColumn("eligible", count)
+    page = settle(page.select("bid_id", "km", "rrf_score", "semantic", "chunk_id", "total", "eligible"), "page")
+    rows = vectors.excerpts(bids.join(page, "bid_id"), chunks).drop("chunk_id")  # at most a page of wide rows
+    return _listing(rows, docs, doc_state, context.now).withColumns({"mode": F.lit("hibrido"), "strategy": F.lit("exata")}).orderBy(*keys)

@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact scans that keep only k rows per task, and LSH candidates."""
+"""Nearest neighbours: exact scans that keep only k rows per task, and cells around centroids."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidspan.functions import vectors as vx
 from bidspan.operators import windows
+from bidspan.session import settle
 
+#: Request vectors that one pass over the stored vectors compares.
 QUERIES_PER_PASS = 1024
-CANDIDATES = 200  # fixed value: vector candidates per ranking
-OVERFETCH = 600  # fixed value: rows taken index-first before filtering
+#: Vectors that centroids are fitted on, at most: the least by hash of the id.
+FIT_SAMPLE = 10_000
 
 
 def model_guard(vectors: DataFrame, model: str, dim: int) -> DataFrame:
@@ -33,31 +35,30 @@ def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("_len", length).filter(F.col("_len") > 0).withColumn("embedding", scaled).drop("_len")
 
 
-def _query_blocks(queries: DataFrame) -> list[tuple[list, np.ndarray]]:
-    """Request vectors in blocks of bounded size, unit length.
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, bool]]:
+    """Request vectors in blocks of bounded size, unit length, and whether it is the only block.
 
-    Queries are what one request asks (a vector, or a dozen themes). A larger
-    set is not refused or cut: it becomes several blocks, one exact pass each.
+    Queries are what one request asks (a vector, or a dozen themes). A larger set
+    is not refused or cut: it becomes several blocks, one exact pass each, of
+    which the driver holds one at a time.
     """
-    total = queries.count()
-    blocks = max(1, math.ceil(total / QUERIES_PER_PASS))
-    out = []
+    blocks = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.select("query_id", "embedding").collect()
-        rows = [r for r in rows if r["embedding"] is not None]
+        rows = [r for r in part.select("query_id", "embedding").collect() if r["embedding"] is not None]
         if rows:
             matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
             matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-            out.append(([r["query_id"] for r in rows], matrix))
-    return out
+            yield [r["query_id"] for r in rows], matrix, blocks == 1
 
 
-def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | None, item: str):
+def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | None, item: str, owner: str | None, probes: np.ndarray | None):
     """Per task: distances of each batch to all queries, keeping a running top k per query.
 
     Everything tied with the k-th distance is kept, so the final cut by
-    (distance, item) sees every row that could belong to it.
+    (distance, item) sees every row that could belong to it. With ``owner`` each
+    batch keeps the best item of an owner only. ``probes`` are the cells that each
+    query looks into.
     """
 
     def shrink(best: pd.DataFrame) -> pd.DataFrame:
@@ -76,15 +77,23 @@ def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | Non
             length = np.linalg.norm(v, axis=1)
             usable = length > 0
             v, keys = v[usable] / length[usable, None], pdf[item].to_numpy()[usable]
+            owners = pdf[owner].to_numpy()[usable] if owner else None
+            cells = pdf["cell"].to_numpy()[usable] if probes is not None else None
             dist = 1.0 - v @ matrix.T
             for j, query in enumerate(ids):
                 d = dist[:, j]
                 keep = np.ones(len(d), dtype=bool) if limit is None else d < limit
+                if cells is not None:
+                    keep &= np.isin(cells, probes[j])
                 if k is not None and keep.sum() > k:
                     keep &= d <= np.partition(d[keep], k - 1)[k - 1]
-                if keep.any():
-                    best.append(pd.DataFrame({"query_id": query, item: keys[keep], "distance": d[keep]}))
-                    held += int(keep.sum())
+                at = np.flatnonzero(keep)
+                if owners is not None and len(at):
+                    at = at[np.lexsort((keys[at], d[at], owners[at]))]
+                    at = at[np.concatenate(([True], owners[at][1:] != owners[at][:-1]))]
+                if len(at):
+                    best.append(pd.DataFrame({"query_id": query, item: keys[at], **({owner: owners[at]} if owner else {}), "distance": d[at]}))
+                    held += len(at)
             if k is None:
                 yield from best
                 best, held = [], 0
@@ -97,24 +106,34 @@ def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | Non
     return run
 
 
-def distances(vectors: DataFrame, queries: DataFrame, item: str, k: int | None, limit: float | None = None) -> DataFrame:
+def distances(
+    vectors: DataFrame, queries: DataFrame, item: str, k: int | None, limit: float | None = None, owner: str | None = None, probe: tuple[np.ndarray, int] | None = None
+) -> DataFrame:
     """(query_id, item, distance) of each query's candidates, exact.
 
-    With ``k`` a task returns its k nearest (and ties) per query; the caller
-    ranks them. With ``k`` None every row strictly under ``limit`` is returned.
+    With ``k`` a task returns its k nearest (and ties) per query; the caller ranks
+    them. With ``k`` None every row strictly under ``limit`` is returned, all rows
+    if that is None too. ``owner`` (``k`` None only) adds that column and returns
+    the nearest item of each owner; batches are reduced in the scan, the caller
+    reduces across them. ``probe`` is (centroids, cells to look into).
     """
-    if k is None and limit is None:
-        raise ValueError("give k or a distance limit")
+    if owner and k is not None:
+        raise ValueError("a cut before the best item of each owner would lose owners")
     types = dict(vectors.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, {item} {types[item]}, distance double"
-    slim = vectors.select(item, "embedding").filter(F.col("embedding").isNotNull())
-    passes = [slim.mapInPandas(_local_hits(ids, m, k, limit, item), schema) for ids, m in _query_blocks(queries)]
-    if not passes:
-        return vectors.sparkSession.createDataFrame([], schema)
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    return out
+    carried = [owner] if owner else []
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {item} {types[item]}, {''.join(f'{c} {types[c]}, ' for c in carried)}distance double"
+    slim = vectors.select(item, *carried, "embedding", *(["cell"] if probe else [])).filter(F.col("embedding").isNotNull())
+    out = None
+    for ids, matrix, only in _query_blocks(queries):
+        near, source = None, slim
+        if probe:
+            centroids, n = probe
+            near = np.argsort(1.0 - matrix @ centroids.T, axis=1, kind="stable")[:, :n]
+            source = slim.filter(F.col("cell").isin(np.unique(near).tolist()))
+        made = source.mapInPandas(_local_hits(ids, matrix, k, limit, item, owner, near), schema)
+        made = made if only else settle(made, "distances")
+        out = made if out is None else out.unionByName(made)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int, limit: float | None = None, item: str = "item_id") -> DataFrame:
@@ -127,53 +146,71 @@ def under_limit(vectors: DataFrame, queries: DataFrame, limit: float, item: str
     return distances(vectors, queries, item, None, limit)
 
 
-def knn_approx(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int,
-    limit: float = 0.4,
-    item: str = "item_id",
-    overfetch: int = OVERFETCH,
-    bucket: float = 1.0,
-    tables: int = 12,
-    seed: int = 42,
-) -> DataFrame:
-    """LSH candidates re-ranked by exact distance, index-first with over-fetch.
+def full_ranking(hits: DataFrame, item: str) -> DataFrame:
+    """``hits(query_id, item, distance, ...)`` with the ``rank`` of every row of its query: no cut, no one-task window."""
+    ranked = windows.global_rank(hits, ["query_id", "distance", item], [True, True, True])
+    first = ranked.groupBy("query_id").agg(F.min("rank").alias("_first"))
+    return ranked.join(first, "query_id").withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("_first")
 
-    Random-projection buckets turn "near" into an equi join; on unit vectors a
-    cosine limit is the Euclidean radius sqrt(2·limit).
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        return normalised(df.select(key, "embedding")).select(key, array_to_vector("embedding").alias("features"))
+def fit_centroids(vectors: DataFrame, cells: int, item: str = "item_id", sample: int = FIT_SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Unit centroids of at most ``cells`` cells, by spherical k-means on ``sample`` vectors at most.
 
-    items, asks = unit(vectors, item), unit(queries, "query_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    model = lsh.fit(items)
-    near = model.approxSimilarityJoin(items, asks, math.sqrt(2 * limit), distCol="gap")
-    hits = near.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col(f"datasetA.{item}").alias(item),
-        (F.col("gap") * F.col("gap") / 2).alias("distance"),
-    ).filter(F.col("distance") < limit)
-    return windows.topn_per_group(hits, ["query_id"], [F.col("distance"), F.col(item)], max(k, overfetch))
+    The sample is the least by hash of the id; it only shapes the cells. Every
+    vector is indexed.
+    """
+    rows = vectors.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64(item), item).limit(sample).select("embedding").collect()
+    v = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    length = np.linalg.norm(v, axis=1) if len(v) else np.zeros(0)
+    v = v[length > 0] / length[length > 0, None]
+    if not len(v):
+        return np.zeros((0, 0))
+    centroids = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)]
+    for _ in range(rounds):
+        nearest = (v @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, v)
+        norms = np.linalg.norm(sums, axis=1)
+        centroids = np.where(norms[:, None] > 0, sums / np.where(norms > 0, norms, 1)[:, None], centroids)
+    return centroids
+
+
+def write_cells(vectors: DataFrame, centroids: np.ndarray, path: str) -> None:
+    """Store every vector under the ``cell`` of its nearest centroid; a search reads the cells it needs only."""
+
+    @F.pandas_udf("int")
+    def cell(batch: pd.Series) -> pd.Series:
+        v = np.stack(batch.to_numpy()).astype(np.float64)
+        return pd.Series((v @ centroids.T).argmax(axis=1).astype(np.int32))
+
+    rows = vectors.filter(F.col("embedding").isNotNull()).withColumn("cell", cell("embedding"))
+    rows.write.partitionBy("cell").parquet(path)
+
+
+def knn_cells(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, k: int, limit: float | None = None, item: str = "item_id", probe: int = 8) -> DataFrame:
+    """k nearest per query among the ``probe`` cells nearest to it; all cells give the exact answer."""
+    if not len(centroids):
+        raise ValueError("no vectors were indexed")
+    hits = distances(spark.read.parquet(path), queries, item, k, limit, probe=(centroids, probe))
+    return windows.topn_per_group(hits, ["query_id"], [F.col("distance"), F.col(item)], k)
 
 
-def knn_chunks(chunks: DataFrame, queries: DataFrame, k: int = OVERFETCH, limit: float | None = None, keep: int = CANDIDATES) -> DataFrame:
-    """Nearest chunk per bid and query with its text, best ``keep`` bids ranked.
+def knn_chunks(chunks: DataFrame, queries: DataFrame, limit: float | None = None, k: int | None = None) -> DataFrame:
+    """Nearest chunk per bid and query, bids ranked; the ``k`` best bids, or all.
 
-    Ranking runs on ids; the text is joined to the few winners afterwards.
-    ``k`` None takes every chunk under ``limit``: no bid can be crowded out.
+    The best chunk of a bid is found before anything is cut, so no bid is crowded
+    out by the chunks of another. Texts are not read here; see :func:`excerpts`.
     """
-    hits = distances(chunks, queries, "chunk_id", k, limit)
-    if k is not None:
-        hits = windows.topn_per_group(hits, ["query_id"], [F.col("distance"), F.col("chunk_id")], k).drop("rank")
-    owned = hits.join(chunks.select("chunk_id", "bid_id"), "chunk_id")
-    best = windows.best_row(owned, ["query_id", "bid_id"], F.struct("distance", "chunk_id"), newest=False)
-    top = windows.topn_per_group(best, ["query_id"], [F.col("distance"), F.col("bid_id")], keep)
-    return top.join(chunks.select("chunk_id", F.col("text").alias("excerpt")), "chunk_id")
+    hits = distances(chunks, queries, "chunk_id", None, limit, owner="bid_id")
+    best = windows.best_row(hits, ["query_id", "bid_id"], F.struct("distance", "chunk_id"), newest=False)
+    if k is None:
+        return full_ranking(best, "bid_id")
+    return windows.topn_per_group(best, ["query_id"], [F.col("distance"), F.col("bid_id")], k)
+
+
+def excerpts(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rows`` with the text of their ``chunk_id`` as ``excerpt``; for the rows that are shown."""
+    return rows.join(chunks.select("chunk_id", F.col("text").alias("excerpt")), "chunk_id", "left")
 
 
 def knn_within(chunks: DataFrame, docs: DataFrame, query: DataFrame, model: str, k: int = 12, bid_id: int | None = None) -> DataFrame:
@@ -188,7 +225,8 @@ def knn_within(chunks: DataFrame, docs: DataFrame, query: DataFrame, model: str,
     own = own.join(active.select("doc_id"), "doc_id", "left_semi")
     if bid_id is not None:
         return knn_exact(own, query, k, item="chunk_id")
-    hits = distances(own, query, "chunk_id", None, 2.5).join(own.select("chunk_id", "bid_id"), "chunk_id")
+    hits = distances(own.withColumn("_place", F.struct("bid_id", "chunk_id")), query, "_place", None)
+    hits = hits.select("query_id", "_place.*", "distance")
     return windows.topn_per_group(hits, ["query_id", "bid_id"], [F.col("distance"), F.col("chunk_id")], k)
 
 
@@ -232,18 +270,19 @@ def fuse_rrf(rankings: list[tuple[DataFrame, float]], k: int = 60, key: str = "b
     """Weighted reciprocal rank fusion over any number of rankings.
 
     ``(key, rrf_score)``: rank lists are united and summed once, whatever their
-    number. A ranking may carry ``excerpt`` and counts as semantic when it has
+    number. A ranking may carry ``chunk_id`` and counts as semantic when it has
     a ``distance``.
     """
     united = None
+    kind = next((dict(df.dtypes)["chunk_id"] for df, _ in rankings if "chunk_id" in df.columns), "bigint")
     for df, weight in rankings:
         part = df.select(
             key,
             (F.lit(float(weight)) / (F.lit(k) + F.col("rank"))).alias("_part"),
             F.lit("distance" in df.columns).alias("_semantic"),
-            (F.col("excerpt") if "excerpt" in df.columns else F.lit(None).cast("string")).alias("excerpt"),
+            (F.col("chunk_id") if "chunk_id" in df.columns else F.lit(None)).cast(kind).alias("chunk_id"),
         )
         united = part if united is None else united.unionByName(part)
     return united.groupBy(key).agg(
-        F.sum("_part").alias("rrf_score"), F.bool_or("_semantic").alias("semantic"), F.max("excerpt").alias("excerpt")
+        F.sum("_part").alias("rrf_score"), F.bool_or("_semantic").alias("semantic"), F.max("chunk_id").alias("chunk_id")
     )
