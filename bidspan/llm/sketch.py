@@ -79,12 +79,18 @@ def compare_edited(docs: DataFrame, *, width: int = WIDTH, scale: int = SCALE) -
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select("doc_id", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     after = settle(next_documents(plain, settle))
-    dealt = with_sketch(plain, F.col("text"), "sketch", width=width, scale=scale).repartition("doc_id", "text_hash")
-    feeds = after.select(F.col("next_id").alias("n_id"), F.col("next_hash").alias("n_hash"), F.col("doc_id").alias("for_id"), F.col("text_hash").alias("for_hash"), "need")
-    once = dealt.withColumn("rn", F.expr("row_number() over (partition by doc_id, text_hash order by doc_id)")).where("rn = 1")
-    starts = once.join(feeds, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("text_hash") == F.col("n_hash")))
-    starts = starts.select("for_id", "for_hash", F.expr("substring(text, 1, int(need))").alias("start"), F.col("sketch").alias("next_sketch"))
-    both = dealt.join(starts, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("text_hash") == F.col("for_hash")))
+
+    def key(doc_id: str, text_hash: str, as_: str) -> list[Column]:
+        """Never null, so that joins on it use the partitions of the shuffle that is there."""
+        parts = (F.coalesce(doc_id, F.lit(0)), F.col(doc_id).isNull(), F.col(text_hash))
+        return [c.alias(f"{as_}{i}") for i, c in enumerate(parts)]
+
+    dealt = with_sketch(plain, F.col("text"), "sketch", width=width, scale=scale).select("doc_id", "text", "sketch", *key("doc_id", "text_hash", "k")).repartition("k0", "k1", "k2")
+    feeds = after.select(*key("next_id", "next_hash", "k"), *key("doc_id", "text_hash", "for"), "need")
+    once = dealt.withColumn("rn", F.expr("row_number() over (partition by k0, k1, k2 order by doc_id)")).where("rn = 1")
+    starts = once.join(feeds, ["k0", "k1", "k2"])
+    starts = starts.select(*(F.col(f"for{i}").alias(f"k{i}") for i in range(3)), F.expr("substring(text, 1, int(need))").alias("start"), F.col("sketch").alias("next_sketch"))
+    both = dealt.join(starts, ["k0", "k1", "k2"])
     n = F.char_length("text")
     both = both.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, char_length(text) - int(char_length(text) / 2))"), F.col("start")).alias("edited"), "sketch", "next_sketch")
     both = with_sketch(both, F.col("edited"), "edited_sketch", width=width, scale=scale)
