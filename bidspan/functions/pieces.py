@@ -17,11 +17,9 @@ CHUNK_OVERLAP = 200
 MAX_CHUNKS = 40  # storage cap of the original catalogue; off by default so whole texts are kept
 BLOCK_CHARS = 12_000
 BATCH_CHARS = 48_000
-EXCERPT_CHARS = 24_000
 ANCHOR_RADIUS = 500
 # a piece is cut at a gap only past this share of its size
 CHUNK_SHARE, BLOCK_SHARE = 0.8, 0.6
-PREAMBLE_CHARS = 3_000
 
 # --- fixed values: anchors of commercial fields ----------------------------------
 # Letters and digits are spelled out because Python's \w and \d also match other alphabets.

@@ -247,15 +247,12 @@ def state_expire(state: DataFrame, now: Column, lease: str = "15 minutes", retry
     return state.withColumn("state", F.when(stale, "pendente").otherwise(F.col("state")))
 
 
-ERROR_CHARS = 500
-
-
 def state_fail(state: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
     """Record failures ``(bid_id, message, final)``: transient ones wait, final ones are errors."""
     fresh = failures.select(
         "bid_id",
         F.when(F.col("final"), "erro").otherwise("pendente").alias("state"),
-        F.left(F.coalesce("message", F.lit("")), F.lit(ERROR_CHARS)).alias("error"),
+        F.coalesce("message", F.lit("")).alias("error"),
         now.alias("changed_at"),
     )
     return upsert_latest(state.select("bid_id", "state", "error", "changed_at"), fresh, ["bid_id"])

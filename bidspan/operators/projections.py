@@ -217,33 +217,25 @@ def shortlist_view(bids: DataFrame, shortlist: DataFrame, docs: DataFrame, files
     )
 
 
-PREVIEW_CHARS = 300
-PROMPT_ITEMS = 150
-PROMPT_ITEM_CHARS = 160
-
-
-def sources_preview(blocks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Saved source list: integral blocks (opening characters) and evidence excerpts."""
-    b = blocks.select(
-        "bid_id", "source_id", "doc_id", F.lit("bloco_integral").alias("kind"), "ord", F.substring("text", 1, PREVIEW_CHARS).alias("excerpt")
-    )
+def sources_preview(blocks: DataFrame, evidence: DataFrame, chars: int | None = None) -> DataFrame:
+    """Saved source list: integral blocks and evidence excerpts; ``chars`` cuts what is shown of a block."""
+    shown = F.col("text") if chars is None else F.substring("text", 1, chars)
+    b = blocks.select("bid_id", "source_id", "doc_id", F.lit("bloco_integral").alias("kind"), "ord", shown.alias("excerpt"))
     e = evidence.select("bid_id", "source_id", "doc_id", "kind", "ord", "excerpt")
     return b.unionByName(e)
 
 
-def prompt_items(items: DataFrame, tie: list[str]) -> DataFrame:
-    """First 150 items per bid, compact, plus how many there are in all.
+def prompt_items(items: DataFrame, tie: list[str], part_size: int = 150, chars: int | None = None) -> DataFrame:
+    """Items of each bid in order, compact, in parts of ``part_size``, with how many there are in all.
 
-    The rank limit is applied before the shuffle, so at most 150 items of a bid
-    meet in one task; the total is a separate map-side count.
+    Every item is in a part: one prompt takes one part. ``chars`` cuts
+    descriptions where a prompt needs it.
     """
-    rank = F.row_number().over(Window.partitionBy("bid_id").orderBy("number", *tie))
-    kept = items.withColumn("place", rank).filter(F.col("place") <= PROMPT_ITEMS)
-    line = F.struct(
-        "place", "number", F.substring("description", 1, PROMPT_ITEM_CHARS).alias("description"), "quantity", "unit",
-        "unit_price", "total", "benefit_name", "status_name",
-    )
-    lists = kept.groupBy("bid_id").agg(F.array_sort(F.collect_list(line)).alias("items"))
+    place = F.row_number().over(Window.partitionBy("bid_id").orderBy("number", *tie))
+    text = F.col("description") if chars is None else F.substring("description", 1, chars)
+    line = F.struct("place", "number", text.alias("description"), "quantity", "unit", "unit_price", "total", "benefit_name", "status_name")
+    numbered = items.withColumn("place", place).withColumn("part", F.floor((F.col("place") - 1) / part_size).cast("int"))
+    lists = numbered.groupBy("bid_id", "part").agg(F.array_sort(F.collect_list(line)).alias("items"))
     totals = items.groupBy("bid_id").agg(F.count(F.lit(1)).alias("items_total"))
     return totals.join(lists, "bid_id")
 

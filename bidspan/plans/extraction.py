@@ -13,22 +13,24 @@ from bidspan.functions import text as tx
 from bidspan.operators import windows
 from bidspan.operators.joins import quote_matches
 
+ITEM_SECTION = "habilitacao"  # fixed value: the section whose answers are items
 MIN_QUOTE_CHARS = 12  # fixed value: shorter quotes occur anywhere and prove nothing
 
 
 def cite_confirm(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """Attach ``confirmed`` and the proving ``source_id`` to each quoted answer.
 
-    Every fragment of the quote must occur in one source of the same bid. A
-    cited source that holds it is kept; otherwise the first source that does.
-    ``answers(answer_id, bid_id, quote, source_ids)``, ``sources(bid_id, source_id, text)``.
+    Every fragment of the quote must occur in one source of the same bid. Cited
+    sources come before others, and each kind in the order of ``ord``; a proof
+    that was not cited replaces the citation.
+    ``answers(answer_id, bid_id, quote, source_ids)``, ``sources(bid_id, source_id, ord, text)``.
     """
     quotes = answers.select(F.col("answer_id").alias("quote_id"), "bid_id", "quote")
     found = quote_matches(quotes, sources, on=["bid_id"], min_chars=MIN_QUOTE_CHARS)
     cited = answers.select(F.col("answer_id").alias("quote_id"), F.explode("source_ids").alias("source_id")).distinct()
-    ranked = found.join(cited.withColumn("_cited", F.lit(0)), ["quote_id", "source_id"], "left")
+    ranked = found.join(cited.withColumn("_cited", F.lit(0)), ["quote_id", "source_id"], "left").join(sources.select("source_id", "ord"), "source_id")
     first = ranked.groupBy("quote_id").agg(
-        F.min_by("source_id", F.struct(F.coalesce("_cited", F.lit(1)), F.col("source_id"))).alias("proof")
+        F.min_by("source_id", F.struct(F.coalesce("_cited", F.lit(1)), F.col("ord"), F.col("source_id"))).alias("proof")
     )
     joined = answers.join(first.withColumnRenamed("quote_id", "answer_id"), "answer_id", "left")
     fixed = F.when(
@@ -39,9 +41,14 @@ def cite_confirm(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def drop_unproven(answers: DataFrame) -> DataFrame:
-    """Negative answers without proof and quotes admitting silence become "not informed"."""
+    """Negative answers without proof and quotes admitting silence become "not informed".
+
+    Requirements of the ``habilitacao`` section are lists of items, not fields:
+    they are confirmed or not, and never cleared.
+    """
     kept = classify.keep_answer(F.col("value"), F.col("quote"), F.col("confirmed"))
-    return answers.withColumn("value", kept)
+    field = ~F.col("section").eqNullSafe(F.lit(ITEM_SECTION))
+    return answers.withColumn("value", F.when(field, kept).otherwise(F.col("value")))
 
 
 # ------------------------------------------------------------ greedy, in order
@@ -79,7 +86,7 @@ def pack_batches(blocks: DataFrame, cap: int = pieces.BATCH_CHARS) -> DataFrame:
     return _in_order(slim, ["bid_id"], ["ord"]).mapInPandas(walk, f"bid_id {types['bid_id']}, ord {types['ord']}, length int, batch int")
 
 
-def running_budget(parts: DataFrame, budget: int = pieces.EXCERPT_CHARS) -> DataFrame:
+def running_budget(parts: DataFrame, budget: int) -> DataFrame:
     """``parts(bid_id, doc_order, ord, length)`` with ``kept`` under a shared budget.
 
     A piece that would overflow ends its document; later documents may still
@@ -112,10 +119,13 @@ def anchor_windows(
     docs: DataFrame,
     patterns: list[str] | None = None,
     radius: int = pieces.ANCHOR_RADIUS,
-    preamble: int = pieces.PREAMBLE_CHARS,
-    budget: int = pieces.EXCERPT_CHARS,
+    preamble: int | None = None,
+    budget: int | None = None,
 ) -> DataFrame:
-    """Excerpts around anchors plus the opening of each document, within the bid's budget.
+    """Excerpts around anchors, plus the opening of each document if ``preamble`` gives its length.
+
+    All excerpts are returned; ``budget`` packs them into one prompt of so many
+    characters a bid (see :func:`running_budget`), leaving out what does not fit.
 
     ``docs(bid_id, doc_id, doc_type, text)``; result ``(bid_id, doc_order, doc_id, ord, excerpt)``.
     Spans are found per text, merged with a window, packed on lengths only, and
@@ -129,8 +139,9 @@ def anchor_windows(
         F.greatest(F.lit(0), F.col("_s.start") - radius).alias("start"),
         F.least(F.col("_n"), F.col("_s.start") + radius).alias("end"),
     )
-    opening = clean.select("doc_id", F.lit(0).alias("start"), F.least(F.lit(preamble), size).alias("end"))
-    merged = windows.interval_merge(around.unionByName(opening), ["doc_id"])
+    if preamble is not None:
+        around = around.unionByName(clean.select("doc_id", F.lit(0).alias("start"), F.least(F.lit(preamble), size).alias("end")))
+    merged = windows.interval_merge(around, ["doc_id"])
 
     weight = F.lit(9)
     for label, w in pieces.TYPE_ORDER.items():
@@ -139,6 +150,8 @@ def anchor_windows(
     cut = merged.join(clean.select("bid_id", "doc_id", order.alias("doc_order"), "text"), "doc_id")
     excerpt = tx.strip(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
     cut = cut.select("bid_id", "doc_order", "doc_id", F.col("start").alias("ord"), excerpt.alias("excerpt"))
+    if budget is None:
+        return cut
     kept = running_budget(cut.withColumn("length", F.length("excerpt")), budget).filter("kept")
     return cut.join(kept.select("bid_id", "doc_order", "ord"), ["bid_id", "doc_order", "ord"], "left_semi")
 

@@ -264,7 +264,7 @@ UNION ALL SELECT '{HEADER}' || chr(13)""")
 def _(t):
     path = fresh_path(t.spark, "csv")
     bids = joins.scalar_count(t.bids, t.docs.filter("active"))
-    sinks.write_csv(bids, t.now, path)
+    sinks.write_csv(bids.orderBy("bid_id"), t.now, path)
     return t.spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
 
 
@@ -352,7 +352,7 @@ def _(t):
 
 
 @query("sources_preview", """
-SELECT bid_id, source_id, doc_id, 'bloco_integral' AS kind, 0 AS ord, md5(text[1:300]) AS excerpt FROM sources
+SELECT bid_id, source_id, doc_id, 'bloco_integral' AS kind, 0 AS ord, md5(text) AS excerpt FROM sources
 UNION ALL SELECT bid_id, 'chunk-' || chunk_id, doc_id, 'evidencia', ord, md5(text) FROM chunks""")
 def _(t):
     blocks = t.sources.withColumn("ord", F.lit(0))
@@ -362,8 +362,8 @@ def _(t):
 
 @query("prompt_items", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY bid_id ORDER BY number, partkey, suppkey, total) AS place FROM items)
-SELECT bid_id, count(*) AS items_total, count(*) FILTER (place <= 150)::INT AS kept, string_agg(number || ':' || description[1:160], '|' ORDER BY place) FILTER (place <= 150) AS lines FROM r GROUP BY bid_id""")
+SELECT bid_id, (SELECT count(*) FROM items i WHERE i.bid_id = r.bid_id) AS items_total, ((place - 1) // 4)::INT AS part, count(*)::INT AS kept, string_agg(number || ':' || description, '|' ORDER BY place) AS lines FROM r GROUP BY bid_id, part""")
 def _(t):
-    p = projections.prompt_items(t.items, ["partkey", "suppkey", "total"])
+    p = projections.prompt_items(t.items, ["partkey", "suppkey", "total"], 4)
     line = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["number"].cast("string"), i["description"])), "|")
-    return p.select("bid_id", "items_total", F.size("items").alias("kept"), line.alias("lines"))
+    return p.select("bid_id", "items_total", "part", F.size("items").alias("kept"), line.alias("lines"))

@@ -146,7 +146,7 @@ def _(t):
 
 
 @query("state_fail", """
-SELECT bid_id, CASE WHEN bid_id % 7 = 0 THEN CASE WHEN bid_id % 2 = 0 THEN 'erro' ELSE 'pendente' END ELSE s.state END AS state, CASE WHEN bid_id % 7 = 0 THEN 500 END AS error_chars
+SELECT bid_id, CASE WHEN bid_id % 7 = 0 THEN CASE WHEN bid_id % 2 = 0 THEN 'erro' ELSE 'pendente' END ELSE s.state END AS state, CASE WHEN bid_id % 7 = 0 THEN 1200 END AS error_chars
 FROM (SELECT bid_id FROM bids WHERE bid_id % 7 = 0 UNION SELECT bid_id FROM doc_state) LEFT JOIN doc_state s USING (bid_id)""")
 def _(t):
     failures = t.bid_core.filter("bid_id % 7 = 0").select("bid_id", F.repeat(F.lit("falha "), 200).alias("message"), (F.col("bid_id") % 2 == 0).alias("final"))
@@ -296,10 +296,10 @@ def _(t):
 
 @query("stream_metrics", "SELECT job_id, sum(latency_ms)::BIGINT AS latency_ms, sum(timeouts)::BIGINT AS timeouts, count(*) AS requests FROM calls GROUP BY job_id")
 def _(t):
-    events = t.calls.select("event_id", "job_id", "latency_ms", "timeouts")
+    events = t.calls.select("event_id", "job_id", "latency_ms", "timeouts", "ts")
     stream = sj.file_stream(t.spark, replayed(t, events, "timeouts = 0"), events.schema)
     sums = {"latency_ms": F.col("latency_ms"), "timeouts": F.col("timeouts"), "requests": F.lit(1)}
-    return update_run(t, sj.stream_metrics(stream, "job_id", "event_id", sums), ["job_id"])
+    return update_run(t, sj.stream_metrics(stream, "job_id", "event_id", sums, "ts", "40 days"), ["job_id"])
 
 
 @query("stream_day_counts", f"SELECT {sql_day('(ts - INTERVAL 3 HOUR)::DATE')} AS day, count(*) AS n FROM events GROUP BY 1")

@@ -337,9 +337,9 @@ def _(t):
 # --------------------------------------------------------------------- extraction
 
 CITED = f"""
-WITH a AS (SELECT *, {parts_of('quote')} AS parts FROM answers), s AS (SELECT bid_id, source_id, {w.compare_form('text')} AS form FROM sources),
-m AS (SELECT answer_id, s.source_id, list_contains(source_ids, s.source_id) AS cited FROM a JOIN s USING (bid_id) WHERE length(array_to_string(parts, ' ')) >= 12 AND len(list_filter(parts, lambda p: NOT contains(form, p))) = 0),
-f AS (SELECT answer_id, arg_min(source_id, (NOT cited, source_id)) AS proof FROM m GROUP BY answer_id),
+WITH a AS (SELECT *, {parts_of('quote')} AS parts FROM answers), s AS (SELECT bid_id, source_id, ord, {w.compare_form('text')} AS form FROM sources),
+m AS (SELECT answer_id, s.source_id, ord, list_contains(source_ids, s.source_id) AS cited FROM a JOIN s USING (bid_id) WHERE length(array_to_string(parts, ' ')) >= 12 AND len(list_filter(parts, lambda p: NOT contains(form, p))) = 0),
+f AS (SELECT answer_id, arg_min(source_id, (NOT cited, ord)) AS proof FROM m GROUP BY answer_id),
 c AS (SELECT a.*, proof, proof IS NOT NULL AS confirmed, CASE WHEN proof IS NOT NULL AND NOT list_contains(source_ids, proof) THEN [proof] ELSE source_ids END AS fixed FROM a LEFT JOIN f USING (answer_id))"""
 
 
@@ -352,7 +352,7 @@ def _(t):
     return confirmed(t).select("answer_id", "confirmed", "proof", F.array_join("source_ids", ",").alias("source_ids"))
 
 
-@query("cite_drop_unproven", f"""{CITED} SELECT answer_id, CASE WHEN starts_with(quote, 'O edital não menciona') THEN NULL WHEN starts_with(value, 'Não') AND NOT confirmed THEN NULL ELSE value END AS value FROM c""")
+@query("cite_drop_unproven", f"""{CITED} SELECT answer_id, CASE WHEN section = 'habilitacao' THEN value WHEN starts_with(quote, 'O edital não menciona') THEN NULL WHEN starts_with(value, 'Não') AND NOT confirmed THEN NULL ELSE value END AS value FROM c""")
 def _(t):
     return ex.drop_unproven(confirmed(t)).select("answer_id", "value")
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from bidspan.functions import classify, scoring
 from bidspan.functions import text as tx
 from bidspan.operators import windows
-from bidspan.session import configure, spread, thin_scan
+from bidspan.session import configure
 from bidspan.sources import readers
 
 NOW = "1998-09-02 12:00:00"
@@ -56,8 +56,7 @@ def span(days: Column | int = 0, hours: Column | int = 0) -> Column:
     return F.make_dt_interval(as_col(days), as_col(hours))
 
 
-_SCHEMAS: dict[str, tuple[StructType, bool]] = {}
-HEAVY = {"orders", "lineitem", "documents", "pages"}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 class Tables:
@@ -65,18 +64,17 @@ class Tables:
         self.spark, self.dir = configure(spark), sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        """A given table. Its schema and task count are read from the files once per process.
+        """A given table; its schema is read from the files once per process.
 
-        A table with text to process that is stored in fewer row groups than
-        there are cores is spread over them (see ``session.spread``).
+        Splits are the reader's. ``spark.bidspan.deal`` lets a caller name tables
+        whose rows are dealt over all cores first, for files of one row group.
         """
         path = f"{self.dir}/{name}.parquet"
         if path not in _SCHEMAS:
-            df = self.spark.read.parquet(path)
-            _SCHEMAS[path] = (df.schema, name in HEAVY and thin_scan(df))
-        schema, thin = _SCHEMAS[path]
-        df = self.spark.read.schema(schema).parquet(path)
-        return spread(df, df.columns[0]) if thin else df
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        dealt = self.spark.conf.get("spark.bidspan.deal", "").split(",")
+        return df.repartition(self.spark.sparkContext.defaultParallelism, df.columns[0]) if name in dealt else df
 
     @property
     def now(self) -> Column:
@@ -336,13 +334,15 @@ class Tables:
     @cached_property
     def sources(self) -> DataFrame:
         """Source texts of the analysis: the given documents, three to a bid."""
-        return self.raw("documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("bid_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), "text")
+        return self.raw("documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("bid_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("doc_id").alias("ord"), "text")
 
     @cached_property
     def answers(self) -> DataFrame:
-        """Extracted answers: each quotes the first line of its document but cites that document or its neighbour."""
+        """Extracted answers: each quotes its document, some from two places with an ellipsis between, and cites that document or its neighbour."""
         k = F.col("doc_id")
-        first = F.element_at(F.split("text", "\n"), 1)
+        lines = F.split("text", "\n")
+        two = F.concat_ws(" [...] ", F.element_at(lines, 1), F.element_at(lines, -1))
+        first = F.when(k % 6 == 5, two).otherwise(F.element_at(lines, 1))
         cited = F.array(F.concat(F.lit("doc-"), (k + k % 2).cast("string")), F.concat(F.lit("nada-"), k.cast("string")))
         return self.raw("documents").select(
             k.alias("answer_id"), F.floor((k + F.when(k % 4 == 3, 3).otherwise(0)) / 3).alias("bid_id"),

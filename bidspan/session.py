@@ -40,19 +40,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def thin_scan(df) -> bool:
-    """Whether the files give a scan fewer tasks than there are cores."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df, key: str):
-    """Rows over all cores by ``key``, for a heavy per-row step behind a thin scan.
-
-    A table stored as one row group is one scan task however many cores there
-    are. Tables of many row groups, the normal case on a cluster, are not thin
-    and should be left as they are: no shuffle is needed.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def settle(df, label: str):

@@ -39,9 +39,9 @@ def page_quality(pages: DataFrame) -> DataFrame:
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Rows of good pages with their page metadata; ``position`` orders rows over pages."""
+    """Rows of good pages with their page metadata; ``position`` is a total order of rows over pages and segments."""
     rows = pages.select("segment_id", "numeroPagina", "totalPaginas", F.posexplode("data").alias("_i", "_r"))
-    position = (F.col("numeroPagina").cast("long") * 1_000_000 + F.col("_i")).alias("position")
+    position = F.struct("numeroPagina", "segment_id", "_i").alias("position")
     return rows.select("segment_id", F.col("numeroPagina").alias("page"), "totalPaginas", position, "_r.*")
 
 

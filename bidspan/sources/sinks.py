@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from bidspan.operators import projections
+from bidspan.session import exists
 
 
 class Snapshot:
@@ -20,10 +20,8 @@ class Snapshot:
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by or []
 
     def versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version bigint").json(f"{self.path}/_log")
-        except AnalysisException:
-            return None
+        log = f"{self.path}/_log"
+        return self.spark.read.schema("version bigint").json(log) if exists(self.spark, log) else None
 
     def current(self) -> int | None:
         log = self.versions()
@@ -58,13 +56,13 @@ class Snapshot:
 def write_csv(bids: DataFrame, now: Column, path: str) -> None:
     """Spreadsheet export: BOM, header, CRLF, every cell quoted.
 
-    One file is the point of the export, so it runs in one task; callers pass
-    the filtered list a person asked for. Rows keep the order of ``bids``.
+    Part files in order: the first holds the header, the others the rows, in the
+    order of ``bids`` (sort it, and it is written by range, in as many tasks as
+    it takes). Joined by name, for instance when they are sent, they are one file.
     """
-    header = "﻿" + ";".join(name for name, _ in projections.csv_cells(now))
-    top = bids.sparkSession.range(1).select(F.lit(header).alias("value"))
-    lines = projections.csv_line(bids, now).select("value")
-    top.coalesce(1).union(lines.coalesce(1)).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    header = "\ufeff" + ";".join(name for name, _ in projections.csv_cells(now))
+    top = bids.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
+    top.union(projections.csv_line(bids, now).select("value")).write.option("lineSep", "\r\n").text(path)
 
 
 def report(df: DataFrame) -> DataFrame:

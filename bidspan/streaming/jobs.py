@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bidspan.functions import scoring
 from bidspan.operators import merge, projections, windows
-from bidspan.session import settle
+from bidspan.session import LOCAL_ZONE, settle
 from bidspan.sources import readers, schemas
 from bidspan.sources.sinks import Snapshot
 
@@ -69,27 +69,39 @@ def stream_pages(
     """Merge listing pages as they arrive, each page once and in order.
 
     A trigger may hold many pages; they are merged together, so one snapshot is
-    written per trigger and not per page. A missing page fails the batch before
-    anything is written, and a repeated one has no effect. The catalogue's log
-    row commits the batch: ledger, history and counters are keyed by the batch
-    id, so a batch that died half-way is simply repeated.
+    written per trigger and not per page. A page that arrives before its
+    predecessor waits in ``waiting`` under ``log_path`` and is merged when the gap
+    closes; a repeated page has no effect. Nothing stops the stream and nothing
+    vanishes: invalid pages and rows without identity go to ``rejected_pages`` and
+    ``rejected_rows`` with the reason, and every version of a payload is appended
+    once to ``payloads``. The catalogue's log row commits the batch: all else is
+    keyed by the batch id, so a batch that died half-way is simply repeated.
     """
+    waiting = Snapshot(spark, f"{log_path}/waiting")
+    columns = list(spark.createDataFrame([], schemas.ENVELOPE).columns)
+
+    def log(df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{log_path}/{name}/batch={batch}")
 
     def on_batch(df: DataFrame, batch: int) -> None:
         done = catalog.current()
         if batch <= done:
             return  # committed before a restart
         held, next_pages = catalog.read(done).drop("action"), ledger.read(done)
-        pages = readers.page_quality(df).filter(F.col("quality") != "invalida")
+        judged = readers.page_quality(df)
+        log(judged.filter(F.col("quality") == "invalida"), "rejected_pages", batch)
+        pages = judged.filter(F.col("quality") != "invalida").select(*columns)
+        if done >= 0:
+            pages = pages.unionByName(waiting.read(done))
         decisions = merge.page_ledger(pages.select("segment_id", F.col("numeroPagina").alias("page")), next_pages)
         decisions = settle(decisions, "pages")  # page numbers only; asked three times below
-        gap = decisions.filter(F.col("decision") == "erro").select("segment_id", "page").first()
-        if gap is not None:
-            raise ValueError(f"page {gap['page']} of segment {gap['segment_id']} is out of order")
+        early = decisions.filter(F.col("decision") == "erro").select("segment_id", F.col("page").alias("numeroPagina"))
+        waiting.stage(pages.join(early, ["segment_id", "numeroPagina"], "left_semi").select(*columns), batch)
         apply = decisions.filter(F.col("decision") == "aplicar").select("segment_id", "page")
         rows = readers.page_rows(pages).join(apply, ["segment_id", "page"], "left_semi")
         mapped = projections.map_header(rows, now, seen_in_proposals, config)
-        valid, _ = readers.quarantine(mapped, F.col("control_no"), "numeroControlePNCP ausente")
+        valid, rejected = readers.quarantine(mapped, F.col("control_no"), "numeroControlePNCP ausente")
+        log(rejected, "rejected_rows", batch)
 
         counters = Observation(f"merge-{batch}")
         action = F.col("action")
@@ -102,10 +114,14 @@ def stream_pages(
             F.count_if(action == "ignorado").alias("ignored"),
         )
         staged = catalog.stage(merged.filter(F.coalesce("action", F.lit("")) != "recusado"), batch)
-        merge.history(staged, now).write.mode("overwrite").parquet(f"{log_path}/history/batch={batch}")
+        log(merge.history(staged, now), "history", batch)
+        payloads = valid.select(F.col("control_no").alias("key"), F.col("source_hash").alias("hash"), F.to_json(F.struct(*valid.columns)).alias("payload")).dropDuplicates(["key", "hash"])
+        stored = staged.filter("false").select(F.col("control_no").alias("key"), F.col("source_hash").alias("hash"))
+        if done >= 0:
+            stored = spark.read.parquet(f"{log_path}/payloads").filter(F.col("batch") < batch).select("key", "hash")
+        log(readers.payload_archive(payloads, stored), "payloads", batch)
         names = ["received", "refused", "new", "updated", "ignored"]
-        row = spark.range(1).select(*[F.lit(counters.get[n]).cast("long").alias(n) for n in names])
-        row.write.mode("overwrite").parquet(f"{log_path}/counters/batch={batch}")
+        log(spark.range(1).select(*[F.lit(counters.get[n]).cast("long").alias(n) for n in names]), "counters", batch)
         moved = apply.groupBy("segment_id").agg((F.max("page") + 1).alias("next_page"))
         ledger.stage(merge.upsert_latest(next_pages, moved, ["segment_id"]), batch)
         catalog.commit(batch)
@@ -125,16 +141,20 @@ def stream_latest_state(stream: DataFrame, key: str, order: list[str], added: Co
     return stream.groupBy(key).agg(F.max_by(added, F.struct(*order)).alias("member"))
 
 
-def stream_metrics(stream: DataFrame, job: str, event: str, sums: dict[str, Column]) -> DataFrame:
-    """Additive counters per job, each event id counted once (update mode)."""
-    return stream.dropDuplicates([event]).groupBy(job).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+def stream_metrics(stream: DataFrame, job: str, event: str, sums: dict[str, Column], watermark_column: str, delay: str) -> DataFrame:
+    """Additive counters per job, each event id counted once within the delay (update mode).
+
+    Ids older than the watermark leave the state, so it does not grow for ever.
+    """
+    once = stream.withWatermark(watermark_column, delay).dropDuplicatesWithinWatermark([event])
+    return once.groupBy(job).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
 def stream_day_counts(stream: DataFrame, ts: str, delay: str = "2 days") -> DataFrame:
-    """Rows per local day. Brasília has had no clock changes since 2019, so a day
-    is the window from 03:00 UTC; earlier dates belong in the batch form."""
-    day = F.window(ts, "1 day", startTime="3 hours")
-    return stream.withWatermark(ts, delay).groupBy(day.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per local day, ``w.start`` being the day as a UTC midnight; clock changes of any year count."""
+    day = F.window(F.col("_day"), "1 day")
+    local = stream.withColumn("_day", F.from_utc_timestamp(ts, LOCAL_ZONE))
+    return local.withWatermark("_day", delay).groupBy(day.alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_late(catalog: DataFrame, late: DataFrame, now: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from bidspan.sources import readers, sinks
 def test_csv_bytes(spark, tables, tmp_path):
     bids = joins.scalar_count(tables.bids.filter("bid_id < 5"), tables.docs).withColumn("object", F.lit('linha "1"\nlinha 2'))
     sinks.write_csv(bids.orderBy("bid_id"), tables.now, f"{tmp_path}/csv")
-    raw = open(glob.glob(f"{tmp_path}/csv/part-*")[0], "rb").read()
+    raw = b"".join(open(part, "rb").read() for part in sorted(glob.glob(f"{tmp_path}/csv/part-*")))
     assert raw.startswith(b"\xef\xbb\xbfPNCP ID;") and raw.count(b"\r\n") == 6
     line = raw.decode("utf-8-sig").split("\r\n")[1]
     assert line.count('";"') == 17 and '"linha ""1"" linha 2"' in line

@@ -64,25 +64,35 @@ def test_pages_merge_in_order_resume_and_replay(spark, tables, tmp_path):
     assert spark.read.parquet(f"{flow.base}/log/history").count() == 3
 
 
-def test_a_gap_fails_before_anything_is_written(spark, tables, tmp_path):
+def test_a_page_waits_for_its_predecessor(spark, tables, tmp_path):
     flow = Flow(spark, tables, tmp_path)
     put(flow.pages, "a.json", 1, [row("A", "um")])
     flow.run()
-    put(flow.pages, "c.json", 3, [row("C", "tres")])
-    with pytest.raises(Exception, match="out of order"):
-        flow.run()
-    assert flow.objects() == {"A": "um"} and flow.catalog.current() == 0
-    put(flow.pages, "b.json", 2, [])
+    put(flow.pages, "c.json", 3, [row("C", "tres"), row("A", "um de novo", "2026-09-05T10:00:00")])
+    flow.run()
+    assert flow.objects() == {"A": "um"}
+    put(flow.pages, "b.json", 2, [row("B", "dois")])
+    flow.run()
+    assert flow.objects() == {"A": "um de novo", "B": "dois", "C": "tres"}
+    payloads = spark.read.parquet(f"{flow.base}/log/payloads")
+    assert payloads.count() == payloads.select("key", "hash").distinct().count() == 4
 
 
-def test_damaged_and_wrong_pages_are_not_merged(spark, tables, tmp_path):
+def test_damaged_pages_and_rows_are_set_aside(spark, tables, tmp_path):
     flow = Flow(spark, tables, tmp_path)
-    put(flow.pages, "a.json", 1, [row("A", "um")])
+    put(flow.pages, "a.json", 1, [row("A", "um"), row("", "sem identidade")])
     put(flow.pages, "x.json", 7, [row("X", "outra")], asked=2)
     with open(os.path.join(flow.pages, "y.json"), "w") as f:
         f.write("<html>proxy</html>")
+    os.utime(os.path.join(flow.pages, "y.json"), (1_700_000_000,) * 2)
     flow.run()
     assert flow.objects() == {"A": "um"}
+    reasons = {r["reason"] for r in spark.read.parquet(f"{flow.base}/log/rejected_pages").collect()}
+    assert len(reasons) == 2
+    assert [r["object"] for r in spark.read.parquet(f"{flow.base}/log/rejected_rows").collect()] == ["sem identidade"]
+    put(flow.pages, "b.json", 2, [row("B", "dois")])  # the page that was asked for comes after all
+    flow.run()
+    assert flow.objects() == {"A": "um", "B": "dois"}
 
 
 def test_a_batch_repeated_after_a_crash_changes_nothing(spark, tables, tmp_path):
