@@ -173,9 +173,11 @@ def quote_matches(
     - the longest fragment is the probe; with ``words + 2`` words or more it has
       an inner shingle of whole words that any containing text must share;
     - a shorter probe uses its first characters as a gram of the same length;
-    - candidates come from an equi join on that hash, so a bid with very many
-      quotes and sources spreads over as many hash values as it has texts;
-    - survivors are checked with ``contains`` on the comparison form.
+    - candidates come from an equi join on that hash, in one pass over the texts
+      for all lengths, so a bid with very many quotes and sources spreads over as
+      many hash values as it has texts;
+    - survivors are checked with ``contains`` on the comparison form, the second
+      and last time that texts are read.
 
     Quotes with fewer than ``min_chars`` comparable characters match nothing.
     """
@@ -189,15 +191,12 @@ def quote_matches(
     q = q.withColumn("_h", F.xxhash64(F.when(is_long, inner).otherwise(F.substr("_probe", F.lit(1), F.col("_size")))))
     forms = sources.select("source_id", *on, tx.compare_form(F.col("text")).alias("_form"))
 
-    candidates = None
     sizes = [r["_size"] for r in q.select("_size").distinct().collect()]  # at most min_chars + 1 values
-    for size in sorted(sizes):
-        keys = _shingles(F.col("_form"), words) if size == 0 else _grams(F.col("_form"), size)
-        texts = forms.select("source_id", *on, F.explode(keys).alias("_h"))
-        part = q.filter(F.col("_size") == size).join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id")
-        candidates = part if candidates is None else candidates.unionByName(part)
-    if candidates is None:  # no quote long enough to prove anything
+    if not sizes:  # no quote long enough to prove anything
         ids = f"quote_id {dict(q.dtypes)['quote_id']}, source_id {dict(forms.dtypes)['source_id']}"
         return quotes.sparkSession.createDataFrame([], ids)
+    keys = F.concat(*(_shingles(F.col("_form"), words) if size == 0 else _grams(F.col("_form"), size) for size in sorted(sizes)))
+    texts = forms.select("source_id", *on, F.explode(keys).alias("_h"))
+    candidates = q.select("quote_id", *on, "_parts", "_h").join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id")
     checked = candidates.join(forms.select("source_id", "_form"), "source_id")
     return checked.filter(F.forall("_parts", lambda p: F.contains(F.col("_form"), p))).select("quote_id", "source_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bidspan.functions import classify
 from bidspan.functions import text as tx
+from bidspan.session import settle
 
 # --- fixed values: words that carry no meaning for search --------------------
 STOP_WORDS = [
@@ -153,8 +154,10 @@ def write_index(postings_: DataFrame, key: str, path: str) -> None:
     """Store postings ordered by token, so a term lookup skips files by min/max.
 
     The range key includes the document, so a very common token spans files.
+    Postings are settled first: the sampling for the ranges would otherwise
+    tokenise the corpus a second time.
     """
-    postings_.repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(path)
+    settle(postings_, "postings").repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(path)
 
 
 def rank_text(postings_: DataFrame, stats: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:

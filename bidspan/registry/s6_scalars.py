@@ -544,11 +544,15 @@ def _(t):
 
 
 @query("json_result_validate", """
-SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN k END AS k, CASE WHEN event_id % 10 <> 0 AND event_type IN ('view', 'click') THEN event_type ELSE 'outro' END AS kind, event_id % 10 <> 0 AS valid FROM calls""")
-def _(t):
-    text = F.when(F.col("event_id") % 10 == 0, F.lit("não é json")).otherwise(F.concat(F.lit('{"k": '), F.col("k").cast("string"), F.lit(', "kind": "'), F.col("event_type"), F.lit('"}')))
-    parsed = t.calls.select("event_id", jsonx.typed(text, "k int, kind string").alias("r"))
-    return parsed.select("event_id", "r.k", jsonx.enum_or(F.col("r.kind"), ["view", "click"], "outro").alias("kind"), F.col("r.k").isNotNull().alias("valid"))
+SELECT event_id, CASE WHEN event_id % 10 > 1 THEN k END AS k, CASE WHEN event_id % 10 <> 0 AND event_type IN ('view', 'click') THEN event_type ELSE 'outro' END AS kind, CASE WHEN event_id % 10 NOT IN (0, 2) THEN 'nota ' || k END AS note,
+  CASE event_id % 10 WHEN 0 THEN 'não é JSON de objeto' WHEN 1 THEN 'campo obrigatório ausente: k' ELSE '' END AS reason FROM calls""")
+def _(t):
+    kind, k, n = F.col("event_type"), F.col("k").cast("string"), F.col("event_id") % 10
+    note = F.when(n == 2, F.lit("  ")).otherwise(F.concat(F.lit(" nota "), k))
+    body = F.concat(F.lit('{"kind": "'), kind, F.lit('", "note": "'), note, F.lit('"'), F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit(', "k": '), k)), F.lit("}"))
+    text = F.when(n == 0, F.lit("não é json")).when(n == 3, F.concat(F.lit('{"resultado": '), body, F.lit("}"))).otherwise(body)
+    answer = jsonx.validated(text, "k int, kind string, note string", ["k"], {"kind": (["view", "click"], "outro")})
+    return t.calls.select("event_id", answer.alias("a")).select("event_id", "a.value.*", F.coalesce("a.reason", F.lit("")).alias("reason"))
 
 
 @query("json_build_item", "SELECT bid_id, json_object('bid_id', bid_id, 'object', object, 'score', score)::VARCHAR AS json FROM bids")

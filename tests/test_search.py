@@ -226,15 +226,16 @@ def test_quote_matches_equal_brute_force(spark, one):
 
 def test_citations_prefer_and_correct_sources(spark):
     answers = spark.createDataFrame(
-        [(1, 1, "prazos", "5 dias", "entrega em cinco dias", ["s2"]), (2, 1, "prazos", "5 dias", "entrega em cinco dias", ["s9"]), (3, 1, "prazos", "Não exige", "frase inventada pelo modelo", ["s1"]), (4, 1, "prazos", "x", None, [])],
+        [(1, 1, "prazos", "5 dias", "entrega em cinco dias", ["s2"]), (2, 1, "prazos", "5 dias", "entrega em cinco dias", ["s9"]), (3, 1, "prazos", "Não exige", "frase inventada pelo modelo", ["s1"]), (4, 1, "prazos", "x", None, []), (5, 1, "habilitacao", "Não exige", "frase inventada pelo modelo", ["s1"])],
         "answer_id int, bid_id int, section string, value string, quote string, source_ids array<string>",
     )
-    sources = spark.createDataFrame([(1, "s1", "A entrega em cinco dias."), (1, "s2", "Entrega em CINCO dias úteis"), (2, "s9", "entrega em cinco dias")], "bid_id int, source_id string, text string")
+    sources = spark.createDataFrame([(1, "s10", 0, "A entrega em cinco dias."), (1, "s2", 1, "Entrega em CINCO dias úteis"), (2, "s9", 2, "entrega em cinco dias")], "bid_id int, source_id string, ord int, text string")
     got = {r["answer_id"]: r for r in ex.drop_unproven(ex.cite_confirm(answers, sources)).collect()}
     assert got[1]["confirmed"] and got[1]["source_ids"] == ["s2"]
-    assert got[2]["confirmed"] and got[2]["source_ids"] == ["s1"]
+    assert got[2]["confirmed"] and got[2]["source_ids"] == ["s10"]  # the first in source order, not by name
     assert not got[3]["confirmed"] and got[3]["value"] is None and got[3]["source_ids"] == ["s1"]
     assert not got[4]["confirmed"] and got[4]["value"] == "x"
+    assert not got[5]["confirmed"] and got[5]["value"] == "Não exige"  # items are never cleared
 
 
 def test_index_finds_what_the_scan_finds(tables):
