@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,33 +104,33 @@ def kappa(pairs: DataFrame, categories: int = 4, a: str = "rating_a", b: str = "
     )
 
 
+def poisson_edges(bits: int = 32, terms: int = 12) -> list[int]:
+    """Where the Poisson(1) distribution steps from one count to the next, on a scale of ``bits`` bits."""
+    steps = [math.exp(-1) / math.factorial(k) for k in range(terms)]
+    return [int(sum(steps[: k + 1]) * 2**bits) for k in range(terms)]
+
+
 def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: str = "20260921", key: str = "query_id") -> DataFrame:
     """Paired bootstrap 95% interval of the relative gain of means, seeded.
 
-    ``pairs(query_id, base, candidate)``; NULLs are left out. Draws are hashes
-    of (seed, resample, draw), so any partitioning gives the same result. Each
-    draw picks a row by number through an equi join; a resample is one sum, so
-    nothing is collected. Query sets are small (an evaluation set), resamples
-    are what fans out.
+    ``pairs(query_id, base, candidate)``; NULLs are left out. Each row weighs in a
+    resample by a Poisson(1) count, a hash of (seed, resample, key), in place of
+    being drawn by number: the same in the limit, without numbering rows or
+    joining draws. Weights arise where the row lies and are summed before
+    anything is shuffled, so a resample is two sums, whatever the partitioning.
     """
     clean = pairs.filter(F.col("base").isNotNull() & F.col("candidate").isNotNull())
-    from bidspan.operators.windows import global_rank
-
-    numbered = global_rank(clean.select(key, "base", "candidate"), [key], [True], "_i").select("_i", "base", "candidate")
-    from bidspan.session import settle
-
-    numbered = settle(numbered, "bootstrap")
-    size = numbered.count()
-    gain = scoring.relative_gain(F.avg("base"), F.avg("candidate"))
-    draws = numbered.sparkSession.range(resamples).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(1), F.lit(max(size, 1)))).alias("draw"))
-    roll = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", "draw")), 1, 8), 16, 10).cast("long")
-    draws = draws.withColumn("_i", F.pmod(roll, F.lit(max(size, 1))) + 1)
-    stats = draws.join(numbered, "_i").groupBy("resample").agg(gain.alias("gain"))
-    interval = stats.agg(
+    roll = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    weight = reduce(operator.add, ((F.col("_roll") >= e).cast("int") for e in poisson_edges()))
+    draws = clean.select(key, "base", "candidate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("_roll", roll).withColumn("_w", weight)
+    sums = draws.groupBy("resample").agg(F.sum(F.col("_w") * F.col("base")).alias("_b"), F.sum(F.col("_w") * F.col("candidate")).alias("_c"))
+    interval = sums.select(scoring.relative_gain(F.col("_b"), F.col("_c")).alias("gain")).agg(
         F.expr("percentile_disc(0.025) within group (order by gain)").alias("low"),
         F.expr("percentile_disc(0.975) within group (order by gain)").alias("high"),
     )
-    return numbered.agg(gain.alias("estimate")).withColumns({c: interval.select(c).scalar() for c in ("low", "high")})
+    estimate = clean.agg(scoring.relative_gain(F.avg("base"), F.avg("candidate")).alias("estimate"))
+    ends = interval.select(F.struct("low", "high").alias("ends")).scalar()
+    return estimate.withColumn("_ends", ends).select("estimate", "_ends.low", "_ends.high")
 
 
 MIN_PER_SEGMENT = 10

@@ -306,9 +306,9 @@ def _(t):
 RESAMPLES = 2000
 
 
-@query("eval_bootstrap", f"""{PAIRED}, p AS (SELECT row_number() OVER (ORDER BY query_id) AS i, base, candidate FROM pr WHERE base IS NOT NULL AND candidate IS NOT NULL), n AS (SELECT count(*) AS n FROM p),
-d AS (SELECT resample, ('0x' || md5('7:' || resample || ':' || draw)[1:8])::BIGINT % n + 1 AS i FROM n, (SELECT unnest(range({RESAMPLES})) AS resample), LATERAL (SELECT unnest(range(1, n + 1)) AS draw)),
-g AS (SELECT resample, (avg(candidate) - avg(base)) / avg(base) AS gain FROM d JOIN p USING (i) GROUP BY resample)
+@query("eval_bootstrap", f"""{PAIRED}, p AS (SELECT query_id, base, candidate FROM pr WHERE base IS NOT NULL AND candidate IS NOT NULL),
+d AS (SELECT resample, base, candidate, len(list_filter({ev.poisson_edges()}, lambda e: ('0x' || md5('7:' || resample || ':' || query_id)[1:8])::BIGINT >= e)) AS w FROM p, (SELECT unnest(range({RESAMPLES})) AS resample)),
+g AS (SELECT resample, (sum(w * candidate) - sum(w * base)) / sum(w * base) AS gain FROM d GROUP BY resample)
 SELECT round((SELECT (avg(candidate) - avg(base)) / avg(base) FROM p), 6) AS estimate, round(quantile_disc(gain, 0.025), 6) AS low, round(quantile_disc(gain, 0.975), 6) AS high FROM g""")
 def _(t):
     out = ev.bootstrap(paired(t), RESAMPLES, "7")
