@@ -19,6 +19,8 @@ from bidspan.functions import classify, dates, geo
 from bidspan.functions import text as tx
 from bidspan.session import LOCAL_ZONE
 
+ESSENTIAL = 8  # fixed value: documents of a bid that are read first
+
 
 @dataclass(frozen=True)
 class Context:
@@ -228,6 +230,20 @@ def document_flags_wanted(filters: Mapping[str, Any]) -> list[str]:
     return [t for name, t in _DOCUMENT_FILTERS.items() if name in filters and not is_empty(filters[name])]
 
 
+def essential_documents(docs: DataFrame, limit: int = ESSENTIAL) -> DataFrame:
+    """The documents of each bid that matter most, with ``relevance`` and ``place``; the limit is the feature.
+
+    Inactive documents and those without an address are out, ties go to the
+    smaller id. Ranks are cut before the shuffle, so a bid with very many
+    documents sends ``limit`` rows a task.
+    """
+    from bidspan.operators.windows import topn_per_group
+
+    relevance = classify.document_relevance(F.col("name"), F.col("source_type"), F.col("doc_type"), F.col("active"), F.col("url"))
+    scored = docs.withColumn("relevance", relevance).filter(F.col("relevance") > 0)
+    return topn_per_group(scored, ["bid_id"], [F.desc("relevance"), F.col("doc_id")], limit).withColumnRenamed("rank", "place")
+
+
 # ------------------------------------------------------------- smaller screens
 
 

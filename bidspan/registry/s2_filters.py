@@ -257,12 +257,7 @@ ESSENTIAL = 2
 SELECT bid_id, doc_id, relevance, place FROM (SELECT *, row_number() OVER (PARTITION BY bid_id ORDER BY relevance DESC, doc_id)::INT AS place
 FROM (SELECT *, {RELEVANCE} AS relevance FROM docs WHERE active AND coalesce(url, '') <> '') WHERE relevance > 0) WHERE place <= {ESSENTIAL}""")
 def _(t):
-    from bidspan.operators.windows import topn_per_group
-
-    rel = classify.document_relevance(F.col("name"), F.col("source_type"), F.col("doc_type"), F.col("active"), F.col("url"))
-    scored = t.docs.withColumn("relevance", rel).filter(F.col("relevance") > 0)
-    top = topn_per_group(scored, ["bid_id"], [F.desc("relevance"), F.col("doc_id")], ESSENTIAL)
-    return top.select("bid_id", "doc_id", "relevance", F.col("rank").alias("place"))
+    return fl.essential_documents(t.docs, ESSENTIAL).select("bid_id", "doc_id", "relevance", "place")
 
 
 @query("filter_count", """
