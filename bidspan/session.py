@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 LOCAL_ZONE = "America/Sao_Paulo"
 
+_made: list[str] = []  # paths given out by fresh_path
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Instants are UTC everywhere; local days are derived with an explicit zone."""
@@ -36,8 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nobody has used yet; :func:`clear_work` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all tables that this process has written to the shared folder; for callers whose results are stored."""
+    while _made:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
