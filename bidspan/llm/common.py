@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,49 @@ class Settled:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``column`` as tables of whole groups; small groups are joined up to ``least`` rows."""
+    held, n, tail, group = [], 0, [], None
+    for b in batches:
+        keys = b.column(column).to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
+        for start, end in zip(begins, [*begins[1:], len(keys)]):
+            if keys[start] != group and tail:
+                held, n, tail = held + tail, n + sum(map(len, tail)), []
+                if n >= least:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+            group = keys[start]
+            tail.append(b.slice(start, end - start))
+    if held or tail:
+        yield pa.Table.from_batches(held + tail)
+
+
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links a-b: members that are connected share the least label."""
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def pair_groups(rows: DataFrame, key: str, item: str, chunk: int) -> DataFrame:
+    """``rows`` of keys with two items and more, under groups ``g`` in which every two items of a key meet.
+
+    A key over ``chunk`` items is split by a hash of the item, and every two of its
+    parts are a group of their own, so no key is one task however large.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = rows.join(sizes, key).withColumn("_parts", F.ceil(F.col("_n") / chunk).cast("int"))
+    met = met.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))
+    groups = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.xxhash64(key, F.least(k, "_part"), F.greatest(k, "_part")))
+    return met.select(*rows.columns, F.explode(groups).alias("g"))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Jobs run inside hand at most ``rows`` rows at a time to Python, for rows that are large."""
