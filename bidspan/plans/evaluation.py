@@ -123,12 +123,17 @@ def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: str = "20260921",
     roll = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "resample", F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
     weight = reduce(operator.add, ((F.col("_roll") >= e).cast("int") for e in poisson_edges()))
     draws = clean.select(key, "base", "candidate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("_roll", roll).withColumn("_w", weight)
-    sums = draws.groupBy("resample").agg(F.sum(F.col("_w") * F.col("base")).alias("_b"), F.sum(F.col("_w") * F.col("candidate")).alias("_c"))
-    interval = sums.select(scoring.relative_gain(F.col("_b"), F.col("_c")).alias("gain")).agg(
+
+    def gain(weight: Column) -> Column:
+        """Of the sums; in decimals, so that their order does not matter."""
+        total = lambda c: F.sum((weight * F.col(c)).cast("decimal(28,15)")).cast("double")
+        return scoring.relative_gain(total("base"), total("candidate")).alias("gain")
+
+    interval = draws.groupBy("resample").agg(gain(F.col("_w"))).agg(
         F.expr("percentile_disc(0.025) within group (order by gain)").alias("low"),
         F.expr("percentile_disc(0.975) within group (order by gain)").alias("high"),
     )
-    estimate = clean.agg(scoring.relative_gain(F.avg("base"), F.avg("candidate")).alias("estimate"))
+    estimate = clean.agg(gain(F.lit(1)).alias("estimate"))
     ends = interval.select(F.struct("low", "high").alias("ends")).scalar()
     return estimate.withColumn("_ends", ends).select("estimate", "_ends.low", "_ends.high")
 
