@@ -9,6 +9,8 @@ from bidspan.llm.common import BLANKS, ascii_lower
 
 #: A key counts from this many code points, in this many documents.
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Tasks that the lines of one key are dealt to on their way back to the documents.
+SALTS = 8
 
 
 def line_key(line: Column) -> Column:
@@ -23,8 +25,8 @@ def drop_shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
     but the one with the largest ``doc_id`` that holds them; what stays is put
     together again in order of position. Only hashes and positions are shuffled
     for the count; texts move once, for the reassembly. A line that stands in
-    very many documents is pre-aggregated where it is read; its way back is a
-    plain join on the hash, which adaptive execution splits when one key is hot.
+    very many documents is pre-aggregated where it is read, and salted on its way
+    back to the documents.
 
     A null or empty text is one empty line. A null ``doc_id`` is one document
     that ranks below all ids. Rows that repeat a ``doc_id`` count as one document.
@@ -47,7 +49,8 @@ def drop_shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
         .where(F.col("in_docs") >= min_docs)
     )
     gone = (
-        lines.join(shared, ["h1", "h2"])
+        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
+        .join(shared.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(SALTS))))), ["h1", "h2", "salt"])
         .where(~F.col("doc_id").eqNullSafe(F.col("holder")))
         .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
