@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidspan.llm.common import Settled, components
+from bidspan.llm.common import Settled, components, join_labels, pair_groups, whole_groups
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Runs of bits that fingerprints are divided into; ``BLOCKS - RADIUS`` of them are equal in any linked pair.
@@ -115,15 +115,7 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     step = max(16, 2**22 // max(1, len(fps)))
     for at in range(0, len(fps), step):
         a, b = close_pairs(fps, at, min(len(fps), at + step), radius)
-        while len(a):
-            la, lb = label[a], label[b]
-            apart = la != lb
-            if not apart.any():
-                break
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while (label[label] != label).any():
-                label = label[label]
+        label = join_labels(label, a, b)
     moved = label != np.arange(len(fps))
     return fps[moved], fps[label[moved]]
 
@@ -143,35 +135,13 @@ def linked_fingerprints(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOC
     task however large. A task returns a forest, not its pairs.
     """
     rows = fps.select("fp", F.explode(_band_keys(F.col("fp"), radius, blocks)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int"))
-    met = met.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("key", F.least(k, "part"), F.greatest(k, "part")))
-    groups = met.select("fp", F.explode(pairs).alias("g")).repartition("g").sortWithinPartitions("g")
+    groups = pair_groups(rows, "key", "fp", CHUNK).select("fp", "g").repartition("g").sortWithinPartitions("g")
     kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(parts: list[np.ndarray]) -> pa.RecordBatch:
-            u, v = _forest(np.concatenate(parts), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=kinds)
-
-        held, n, open_group = [], 0, None  # whole groups, and the one that may go on in the next batch
-        tail: list[np.ndarray] = []
-        for b in batches:
-            fp, g = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(g)) + 1
-            for part, group in zip(np.split(fp, cuts), g[np.concatenate(([0], cuts))].tolist()) if len(g) else ():
-                if group != open_group and tail:
-                    held += tail
-                    n += sum(map(len, tail))
-                    tail = []
-                    if n >= JOIN:
-                        yield forest(held)
-                        held, n = [], 0
-                open_group = group
-                tail.append(part)
-        if held or tail:
-            yield forest(held + tail)
+        for t in whole_groups(batches, 1, JOIN):
+            u, v = _forest(t.column(0).to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=kinds)
 
     return groups.mapInArrow(run, "u bigint, v bigint")
 
