@@ -64,3 +64,12 @@ def drop_shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+
+
+def without_shared_lines(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with the kept text as ``text`` (and its length as ``n_chars``); all other columns, whatever their names, as they were."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped")}
+    kept = drop_shared_lines(docs.withColumnsRenamed(own), **how).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast("long"))
+    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
