@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bidspan.llm import lines, mixing, packing, quality, simhash
 from bidspan.llm.common import Settled, table
@@ -17,8 +16,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more that 5 documents share stay in one of them only."""
-    kept = lines.drop_shared_lines(docs).withColumn("text", F.col("kept_text"))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return lines.without_shared_lines(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
