@@ -187,11 +187,14 @@ def write_cells(vectors: DataFrame, centroids: np.ndarray, path: str) -> None:
     rows.write.partitionBy("cell").parquet(path)
 
 
-def knn_cells(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, k: int, limit: float | None = None, item: str = "item_id", probe: int = 8) -> DataFrame:
-    """k nearest per query among the ``probe`` cells nearest to it; all cells give the exact answer."""
+def knn_cells(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, k: int, limit: float | None = None, item: str = "item_id", probe: int | None = None) -> DataFrame:
+    """k nearest per query among the ``probe`` cells nearest to it; all cells, the default, give the exact answer.
+
+    Fewer cells lose neighbours, how many depends on the vectors: measure before choosing.
+    """
     if not len(centroids):
         raise ValueError("no vectors were indexed")
-    hits = distances(spark.read.parquet(path), queries, item, k, limit, probe=(centroids, probe))
+    hits = distances(spark.read.parquet(path), queries, item, k, limit, probe=(centroids, len(centroids) if probe is None else probe))
     return windows.topn_per_group(hits, ["query_id"], [F.col("distance"), F.col(item)], k)
 
 

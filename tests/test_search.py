@@ -166,6 +166,15 @@ def test_cells(spark, tmp_path):
     assert np.mean(recalls) >= 0.9 and all(len(v) <= 10 for v in got.values())
 
 
+def test_cells_lose_nothing_unless_told(spark, tmp_path):
+    data, items = random_vectors(spark, 1000, 64, 11)
+    qdata, q = random_vectors(spark, 20, 64, 12)
+    centroids = vx.fit_centroids(items, 40)
+    vx.write_cells(items, centroids, f"{tmp_path}/cells")
+    got = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", centroids, q.withColumnRenamed("item_id", "query_id"), 10))
+    assert got == as_lists(vx.knn_exact(items, q.withColumnRenamed("item_id", "query_id"), 10))
+
+
 def test_zero_and_null_vectors_are_left_out(spark):
     items = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "item_id int, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<float>")
