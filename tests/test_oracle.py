@@ -2,14 +2,19 @@
 query with BIDSPAN_FULL=1, or ``python tests/oracle.py <sf dir>`` for a report."""
 
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
 import oracle
+from bidspan.registry import all as registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = registry.queries(), registry.oracle_sql()
 SAMPLE = """src_documents_array page_quality map_item snapshot_io csv_export purchase_identity detail_view flt_fulltext flt_radius
 flt_or_branches flt_due_documents filter_dispatch flt_item_match_state join_full_outer_fusion join_radius_theta join_citation_source
 join_nested_children set_known_sources set_union_dedup_sources agg_dashboard agg_doc_coverage agg_frontier agg_api_health agg_latency_summary
@@ -31,9 +36,23 @@ def test_query_equals_its_twin(spark, con, name):
     assert result["ok"] is not False, result["problem"]
 
 
-def test_every_query_has_a_twin_but_the_hash_based_one():
+def test_every_query_has_a_twin():
     assert set(QUERIES) == set(TWINS)
 
 
+def test_entry_stands_without_the_training_data_part(tmp_path):
+    """A copy without that subpackage, with the pipeline file and without it, offers the catalogue queries."""
+    root = pathlib.Path(entry.__file__).parent
+    shutil.copytree(root / "bidspan", tmp_path / "bidspan", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    count = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"]
+    for rest in ([], ["corpus_pipeline.py"]):
+        for name in rest:
+            if (root / name).exists():
+                shutil.copy(root / name, tmp_path)
+        out = subprocess.run(count, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
+        assert out.split() == [str(len(QUERIES))] * 2
+
+
 def test_entry_has_a_stable_schema(spark):
     assert entry.entry(spark).columns == entry.entry(spark).columns
