@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import lines, mixing, packing, pages, paragraphs, quality, sharding, simhash, sketch, topk
+from bidspan.llm import centroids, lines, mixing, packing, pages, paragraphs, quality, sharding, simhash, sketch, topk
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -175,3 +175,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pages")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _kmeans_sql() -> str:
+    """The rounds written out: a table of centroids and one of assignments each."""
+    kept = f"""
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as v from embeddings
+    where len(embedding) = {centroids.DIM} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  n as (select row_number() over (order by sha256('{centroids.SEED}:' || vec_id::varchar) nulls last, v) as rid, * from v),
+  c0 as (select rid - 1 as cluster, v as c from n where rid <= {centroids.K})"""
+    steps = []
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(f"""
+  a{i} as (
+    select rid, arg_min(cluster, (d, cluster)) as cluster, min(d) as d
+    from (select rid, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from n, c{i}) group by rid)""")
+        if i < centroids.ROUNDS:
+            steps.append(f"""
+  s{i} as (
+    select cluster, list((s - (((s % k) + k) % k)) // k order by axis) as c
+    from (select cluster, axis, sum(x)::hugeint as s, count(*) as k from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as axis from n join a{i} using (rid)) group by cluster, axis)
+    group by cluster),
+  c{i + 1} as (select cluster, coalesce(s{i}.c, c{i}.c)::bigint[] as c from c{i} left join s{i} using (cluster))""")
+    r = centroids.ROUNDS
+    return f"""{kept},{",".join(steps)}
+select vec_id, cluster::int as cluster, d as distance, (sum(d) over (partition by cluster))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from n join a{r} using (rid) join c{r} using (cluster)"""
+
+
+@query("op12_centroids", _kmeans_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
