@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import centroids, lines, mixing, packing, pages, paragraphs, quality, sharding, simhash, sketch, topk
+from bidspan.llm import centroids, lines, mixing, packing, pages, paragraphs, prefixes, quality, sharding, simhash, sketch, topk
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -208,3 +208,37 @@ from n join a{r} using (rid) join c{r} using (cluster)"""
 @query("op12_centroids", _kmeans_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_OP11 = f"""
+with t as (
+    select conv_id, md5(octet_length(encode(role)) || ':' || role || text) as sym, octet_length(encode(text)) as n_bytes,
+      row_number() over (partition by conv_id order by turn nulls first, role, md5(octet_length(encode(role)) || ':' || role || text)) - 1 as pos
+    from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),{_CRC},
+  c as (
+    select conv_id, conv_id - conv_id % {prefixes.LENDER} as lender,
+      xor(list_reduce(list_prepend(4294967295::bigint, {_BYTES.format('b')}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) % {prefixes.LENT} as h
+    from (select distinct conv_id, encode(conv_id::varchar) as b from t), crc_table),
+  r as (
+    select c.conv_id, 0 as part, pos, sym, n_bytes from c join t on t.conv_id = c.lender and pos < h
+    union all select c.conv_id, 1, pos, sym, n_bytes from c join t on t.conv_id = c.conv_id and pos >= h),
+  k as (select conv_id, n_bytes, row_number() over w as depth, md5(string_agg(sym, '') over w) as key from r window w as (partition by conv_id order by part, pos)),
+  m as (
+    select conv_id, depth, key, coalesce(lag(key) over (partition by conv_id order by depth), '') as up, n_bytes from k
+    union all select conv_id, 0, '', null, 0 from c),
+  ends as (select arg_max(key, depth) as key, conv_id from m group by conv_id),
+  tips as (select key, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from ends group by key),
+  n as (select key, up, min(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * min(n_bytes) as saved from m group by key, up),
+  below as (select distinct a.key, b.key as under from m a join m b on a.conv_id = b.conv_id and a.depth <= b.depth),
+  children as (select up as key, count(*) as n_children from n group by up),
+  total as (
+    select below.key, count(*) filter (children.key is null) as n_leaves, sum(saved) as saved_tokens
+    from below join n on n.key = under left join children on children.key = under group by below.key)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  saved_tokens::bigint as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from n left join n p on p.key = n.up left join children on children.key = n.key join total on total.key = n.key left join tips on tips.key = n.key"""
+
+
+@query("op11_prefixes", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
