@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidspan.llm import centroids, lines, mixing, packing, pages, paragraphs, prefixes, quality, sharding, simhash, sketch, topk
+from bidspan.llm import centroids, lines, mixing, packing, pages, paragraphs, prefixes, quality, sharding, simhash, sketch, suffixes, topk
 from bidspan.llm.common import table
 
 SHARDS = 16
@@ -242,3 +242,10 @@ from n left join n p on p.key = n.up left join children on children.key = n.key
 @query("op11_prefixes", _OP11)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_suffixes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
