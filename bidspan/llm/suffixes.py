@@ -155,7 +155,7 @@ def _strings(length: int):
 
 
 def suffix_ranks(level: DataFrame, settle: Settled, length: int) -> DataFrame:
-    """``run, s, i, r``: how many suffixes are smaller, for ``level(run, s, i, c, pos, upto)``, where ``c`` is the letter's name.
+    """``run, s, i, r``: how many suffixes are smaller, for ``level(run, s, i, c, pos, upto)``; ``c`` names a letter by the number of smaller ones plus 1.
 
     Suffixes at 1 and 2 modulo 3 are the sample: their triples are sorted and
     named, and the names, one string per residue, are ranked by the same function.
@@ -168,7 +168,7 @@ def suffix_ranks(level: DataFrame, settle: Settled, length: int) -> DataFrame:
     far have neighbouring ranks, in any order.
     """
     if level.where(F.col("upto") - F.col("pos") < length).limit(1).count() == 0:
-        return level.select("run", "s", "i", F.col("c").alias("r"))
+        return level.select("run", "s", "i", (F.col("c") - 1).alias("r"))
     place, residue = "over (partition by run, s order by i)", F.col("i") % 3
     triples = level.withColumns({"c1": F.expr(f"lead(c, 1, 0L) {place}"), "c2": F.expr(f"lead(c, 2, 0L) {place}"), "far": F.expr(f"lead(upto, 2, {_END}L) {place}")})
     named = ranked_runs(triples.where(residue != 0).drop("upto"), ["c", "c1", "c2"], ["run", "s", "i"], settle)

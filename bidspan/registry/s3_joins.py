@@ -179,6 +179,7 @@ SELECT bid_id, CASE WHEN wins THEN 'x' || source_hash ELSE source_hash END AS so
 def _(t):
     """A third of the catalogue arrives again, half of it older: only newer versions may change rows."""
     from bidspan.operators.merge import merge_catalog
+    from bidspan.registry.s7_merge import stored
 
     cols = ["control_no", "bid_id", "closes_at", "updated_at_source", "source_hash", "seen_at"]
     team = ["team_status", "priority", "notes", "accessed_at", "created_at", "changed_at", "synced_at"]
@@ -186,8 +187,9 @@ def _(t):
     batch = t.bids.filter(F.col("bid_id") % 3 == 0).select(*cols).withColumns(
         {"source_hash": F.concat(F.lit("x"), "source_hash"), "updated_at_source": F.col("updated_at_source") + shift, "position": F.col("bid_id")}
     )
-    merged = merge_catalog(t.bids.select(*cols, *team), batch, "todas", t.now)
-    return merged.select("bid_id", "source_hash", "action", "team_status")
+    table = stored(t, t.bids.select(*cols, *team), "control_no")
+    table.merge(batch, 1, lambda held, b: merge_catalog(held, b, "todas", t.now))
+    return table.read().select("bid_id", "source_hash", "action", "team_status")
 
 
 def parts_of(x):

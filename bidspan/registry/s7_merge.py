@@ -13,10 +13,18 @@ from bidspan.registry.s1_sources import sql_stamp, stamp
 from bidspan.registry.s4_aggregates import CLOSED, MERGE, RESCORE, merge_case
 from bidspan.registry.tables import EVENTS_TODAY, MODEL, NOW
 from bidspan.session import fresh_path
-from bidspan.sources.sinks import Snapshot
+from bidspan.sources.sinks import KeyedTable, Snapshot
 from bidspan.streaming import jobs as sj
 
 NOWS = f"TIMESTAMP '{NOW}'"
+PARTS_OF_TABLE = 16
+
+
+def stored(t, rows, key):
+    """``rows`` as a table by key hash, its first version written."""
+    table = KeyedTable(t.spark, fresh_path(t.spark, "table"), key, PARTS_OF_TABLE)
+    table.write(rows, 0)
+    return table
 
 
 @query("merge_catalog", f"""
@@ -25,8 +33,9 @@ SELECT control_no, action, CASE WHEN action IN ('novo', 'atualizado') THEN new_o
   {sql_stamp(NOWS)} AS synced_at, {sql_stamp("coalesce(new_seen, CASE WHEN held THEN seen_at END)")} AS seen_at FROM ({MERGE}) WHERE action <> 'recusado'""")
 def _(t):
     catalog, batch = merge_case(t)
-    m = mg.merge_catalog(catalog, batch, "abertas", t.now).filter("action <> 'recusado'")
-    return m.select("control_no", "action", "object", "team_status", *[stamp(c, c) for c in ("changed_at", "created_at", "synced_at", "seen_at")])
+    table = stored(t, catalog, "control_no")
+    table.merge(batch, 1, lambda held, b: mg.merge_catalog(held, b, "abertas", t.now).filter("coalesce(action, '') <> 'recusado'"))
+    return table.read().filter("action IS NOT NULL").select("control_no", "action", "object", "team_status", *[stamp(c, c) for c in ("changed_at", "created_at", "synced_at", "seen_at")])
 
 
 @query("merge_version_guard", "SELECT bid_id, updated_at_source IS NULL OR closes_at IS NULL OR closes_at >= updated_at_source + INTERVAL 9 DAY AS wins FROM bids")
@@ -61,7 +70,10 @@ UNION ALL SELECT bid_id, 99, name || ' v2', active, 'gravado' FROM docs WHERE bi
 
 @query("merge_documents", MERGED_DOCS)
 def _(t):
-    return mg.merge_documents(*refresh_case(t)).select("bid_id", "seq", "name", "active", "action")
+    docs, fresh, refreshed = refresh_case(t)
+    table = stored(t, docs, "bid_id")
+    table.merge(fresh, 1, lambda held, b: mg.merge_documents(held, b, refreshed), keys=refreshed)
+    return table.read().select("bid_id", "seq", "name", "active", "action")
 
 
 @query("merge_score", """
@@ -236,18 +248,23 @@ SELECT control_no, object, score, category, 'nova' AS team_status, 'novo' AS act
 def _(t):
     pages, base = fresh_path(t.spark, "pages"), fresh_path(t.spark, "stream")
     s1.envelopes(t, pages, damage=False)
-    catalog, ledger = Snapshot(t.spark, f"{base}/catalog"), Snapshot(t.spark, f"{base}/ledger")
+    catalog, ledger = KeyedTable(t.spark, f"{base}/catalog", "control_no", PARTS_OF_TABLE), Snapshot(t.spark, f"{base}/ledger")
     catalog.write(empty_catalog(t), -1)
     ledger.write(t.spark.createDataFrame([], "segment_id bigint, next_page int"), -1)
     sj.stream_pages(t.spark, pages, catalog, ledger, f"{base}/log", t.now, f"{base}/checkpoint")
     return catalog.read().select("control_no", "object", "score", "category", "team_status", "action")
 
 
-def replayed(t, df, again):
-    """The table written as a stream source, part of it twice."""
+DELAY = "2 days"  # far below the month that the events span
+
+
+def arriving(t, df, again):
+    """The table as a stream source of two files: every third event arrives in the second, and part of the first again."""
     path = fresh_path(t.spark, "events")
-    df.unionByName(df.filter(again)).write.parquet(path)
-    return path
+    k = F.col("event_id") % 3
+    for part in (df.filter(k != 2), df.filter(k == 2).unionByName(df.filter(again))):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return sj.file_stream(t.spark, path, df.schema, files_per_trigger=1)
 
 
 def update_run(t, stream, keys):
@@ -259,10 +276,9 @@ def update_run(t, stream, keys):
 @query("stream_dedup", "SELECT event_id, job_id, event_type FROM calls")
 def _(t):
     events = t.calls.select("event_id", "job_id", "event_type", "ts")
-    stream = sj.file_stream(t.spark, replayed(t, events, "event_type <> 'view'"), events.schema)
     out = fresh_path(t.spark, "out")
-    sj.run_available(sj.stream_dedup(stream, "event_id", "ts", "40 days"), sj.write_batches(out), fresh_path(t.spark, "ckpt"))
-    return t.spark.read.parquet(out).select("event_id", "job_id", "event_type")
+    sj.stream_dedup(arriving(t, events, "event_type <> 'view'"), out, fresh_path(t.spark, "ckpt"), "event_id", "ts", DELAY)
+    return sj.deduplicated(t.spark, out, sj.ddl(events), "event_id", DELAY).select("event_id", "job_id", "event_type")
 
 
 @query("stream_late_data", """
@@ -275,11 +291,11 @@ def _(t):
     late = late.select("control_no", "object", "status_id", "closes_at", "updated_at_source", "source_hash", "seen_at", "position")
     path = fresh_path(t.spark, "late")
     late.write.parquet(path)
-    store = Snapshot(t.spark, fresh_path(t.spark, "catalog"))
+    store = KeyedTable(t.spark, fresh_path(t.spark, "catalog"), "control_no", PARTS_OF_TABLE)
     store.write(catalog, -1)
 
     def on_batch(df, batch):
-        store.write(sj.merge_late(store.read(), df, t.now), batch)
+        store.merge(df, batch, lambda held, late: sj.merge_late(held, late, t.now))
 
     sj.run_available(sj.file_stream(t.spark, path, late.schema), on_batch, fresh_path(t.spark, "ckpt"))
     return store.read().select("control_no", "object")
@@ -297,17 +313,16 @@ def _(t):
 @query("stream_metrics", "SELECT job_id, sum(latency_ms)::BIGINT AS latency_ms, sum(timeouts)::BIGINT AS timeouts, count(*) AS requests FROM calls GROUP BY job_id")
 def _(t):
     events = t.calls.select("event_id", "job_id", "latency_ms", "timeouts", "ts")
-    stream = sj.file_stream(t.spark, replayed(t, events, "timeouts = 0"), events.schema)
     sums = {"latency_ms": F.col("latency_ms"), "timeouts": F.col("timeouts"), "requests": F.lit(1)}
-    return update_run(t, sj.stream_metrics(stream, "job_id", "event_id", sums, "ts", "40 days"), ["job_id"])
+    out = fresh_path(t.spark, "out")
+    sj.stream_metrics(arriving(t, events, "timeouts = 0"), out, fresh_path(t.spark, "ckpt"), "job_id", "event_id", sums, "ts", DELAY)
+    return sj.metrics(t.spark, out, sj.ddl(events), "job_id", "event_id", sums, DELAY)
 
 
 @query("stream_day_counts", f"SELECT {sql_day('(ts - INTERVAL 3 HOUR)::DATE')} AS day, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    raw = t.raw("events").select("event_id", "ts")
-    # the bracket makes it a pattern, which reads one file as well as a folder of files
-    stream = sj.file_stream(t.spark, f"{t.dir}/events.parque[t]", raw.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = sj.stream_day_counts(stream, "ts", "40 days").select(F.col("w.start").alias("start"), "n")
-    return update_run(t, counted, ["start"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
-
-
+    events = t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = fresh_path(t.spark, "out")
+    sj.stream_day_counts(arriving(t, events, "false"), out, fresh_path(t.spark, "ckpt"), "ts", DELAY)
+    counted = sj.day_counts(t.spark, out, sj.ddl(events), "ts")
+    return counted.select(F.date_format("local_day", "yyyy-MM-dd").alias("day"), "n")

@@ -47,8 +47,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def clear_work(spark: SparkSession) -> None:
     """Remove all tables that this process has written to the shared folder; for callers whose results are stored."""
     while _made:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, _made.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever it is stored; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

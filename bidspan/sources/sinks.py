@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from bidspan.operators import projections
-from bidspan.session import exists
+from bidspan.session import exists, remove
 
 
 class Snapshot:
@@ -52,6 +56,110 @@ class Snapshot:
         self.commit(version)
         return True
 
+    def drop(self, version: int) -> None:
+        """Remove a superseded version; one that is not there is no error."""
+        remove(self.spark, f"{self.path}/v={version}")
+
+
+class KeyedTable:
+    """A table in a fixed number of partitions by the hash of its key.
+
+    A batch reads and rewrites the partitions its keys fall into and no other. They
+    are written beside the table (``stage``), then moved into it by a dynamic
+    partition overwrite (``commit``), which removes what they replace; the copy
+    beside goes when the log row is there. A commit that died half-way left its
+    copy, and the next one who opens the table finishes it. Readers that need one
+    version read between commits.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, parts: int = 32):
+        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
+        self._recover()
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        """Partitions that the keys of ``batch`` fall into; at most as many numbers as there are partitions."""
+        return sorted(r["part"] for r in batch.select(self.part().alias("part")).distinct().collect())
+
+    def _rows(self, name: str):
+        path = f"{self.path}/{name}"
+        if not exists(self.spark, path):
+            return None
+        rows = self.spark.read.schema("version bigint, columns string, parts array<int>").json(f"{path}/*")
+        return rows.orderBy(F.desc("version")).first()
+
+    def current(self) -> int | None:
+        row = self._rows("log")
+        return None if row is None else row["version"]
+
+    def read(self, parts: Sequence[int] | None = None) -> DataFrame | None:
+        """The table, or some of its partitions: the files of others are not listed."""
+        row = self._rows("log")
+        if row is None:
+            return None
+        columns = StructType.fromJson(json.loads(row["columns"]))
+        if parts is not None and not parts or not exists(self.spark, f"{self.path}/data"):
+            return self.spark.createDataFrame([], columns)
+        rows = self.spark.read.schema(StructType(columns.fields).add("part", IntegerType())).parquet(f"{self.path}/data")
+        return (rows if parts is None else rows.filter(F.col("part").isin(list(parts)))).drop("part")
+
+    def stage(self, rows: DataFrame, version: int, parts: Sequence[int] | None = None) -> DataFrame:
+        """Write all rows of ``parts`` (of the whole table, if None) beside the table; repeating it is harmless."""
+        path = f"{self.path}/staged/v={version}"
+        rows.withColumn("part", self.part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
+        whole = list(range(self.parts)) if parts is None else list(parts)
+        self._log("ready", version, rows, whole)
+        return self._staged(version, rows.schema)
+
+    def _staged(self, version: int, columns: StructType) -> DataFrame:
+        return self.spark.read.schema(StructType(columns.fields).add("part", IntegerType())).parquet(f"{self.path}/staged/v={version}").drop("part")
+
+    def _log(self, name: str, version: int, rows: DataFrame, parts: Sequence[int]) -> None:
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(rows.schema.json()).alias("columns"), F.array(*[F.lit(p) for p in parts]).cast("array<int>").alias("parts"))
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/{name}/{version}")
+
+    def commit(self, version: int) -> None:
+        """Make a staged version the table's: its log row comes first, as the promise that an interrupted move is finished."""
+        row = self._rows("ready")
+        before = self.current()
+        columns = StructType.fromJson(json.loads(row["columns"]))
+        self._log("log", version, self.spark.createDataFrame([], columns), row["parts"])
+        if before is not None:
+            remove(self.spark, f"{self.path}/log/{before}")
+        self._publish(version, columns, row["parts"])
+
+    def _publish(self, version: int, columns: StructType, parts: Sequence[int]) -> None:
+        rows = self._staged(version, columns).withColumn("part", self.part())
+        rows.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/data")
+        filled = set(self.touched(rows))
+        for part in parts:
+            if part not in filled:  # an overwrite leaves partitions alone that got no row
+                remove(self.spark, f"{self.path}/data/part={part}")
+        remove(self.spark, f"{self.path}/ready")
+        remove(self.spark, f"{self.path}/staged")
+
+    def _recover(self) -> None:
+        ready, now = self._rows("ready"), self.current()
+        if ready is not None and now is not None and ready["version"] == now:
+            self._publish(now, StructType.fromJson(json.loads(ready["columns"])), ready["parts"])
+
+    def write(self, rows: DataFrame, version: int, parts: Sequence[int] | None = None) -> bool:
+        """Stage and commit; a version already logged is left alone."""
+        now = self.current()
+        if now is not None and version <= now:
+            return False
+        self.stage(rows, version, parts)
+        self.commit(version)
+        return True
+
+    def merge(self, batch: DataFrame, version: int, apply: Callable[[DataFrame, DataFrame], DataFrame], keys: DataFrame | None = None) -> bool:
+        """Replace what the batch touches by ``apply(held, batch)``; ``keys`` names further keys it speaks of."""
+        named = batch.select(self.key) if keys is None else batch.select(self.key).unionByName(keys.select(self.key))
+        parts = self.touched(named)
+        return self.write(apply(self.read(parts), batch), version, parts)
+
 
 def write_csv(bids: DataFrame, now: Column, path: str) -> None:
     """Spreadsheet export: BOM, header, CRLF, every cell quoted.

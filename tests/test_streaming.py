@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidspan.registry.s7_merge import empty_catalog
-from bidspan.sources.sinks import Snapshot
+from bidspan.sources.sinks import KeyedTable, Snapshot
 from bidspan.streaming import jobs as sj
 
 
@@ -33,7 +33,7 @@ class Flow:
         self.spark, self.base = spark, str(base)
         self.pages = os.path.join(self.base, "pages")
         os.makedirs(self.pages)
-        self.catalog, self.ledger = Snapshot(spark, f"{self.base}/catalog"), Snapshot(spark, f"{self.base}/ledger")
+        self.catalog, self.ledger = KeyedTable(spark, f"{self.base}/catalog", "control_no", 8), Snapshot(spark, f"{self.base}/ledger")
         self.catalog.write(empty_catalog(tables), -1)
         self.ledger.write(spark.createDataFrame([], "segment_id bigint, next_page int"), -1)
 
@@ -117,3 +117,97 @@ def test_snapshot_versions(spark, tmp_path):
     assert snap.read().count() == 3
     snap.commit(1)
     assert snap.read().count() == 7 and snap.read(0).count() == 3
+
+
+def files_of(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_a_batch_of_one_key_leaves_the_other_partitions_alone(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", "k", 8)
+    assert table.current() is None and table.read() is None
+    table.write(spark.range(100).selectExpr("id AS k", "id * 2 AS v"), 0)
+    before = files_of(f"{tmp_path}/t/data")
+    batch = spark.createDataFrame([(7, -1)], "k long, v long")
+    part = table.touched(batch)[0]
+    assert table.merge(batch, 1, lambda held, b: held.join(b.select("k"), "k", "left_anti").unionByName(b))
+    after = files_of(f"{tmp_path}/t/data")
+    outside = lambda files: {f: t for f, t in files.items() if f"part={part}/" not in f}
+    assert outside(before) == outside(after) and len(outside(before)) >= 7
+    assert not set(before) - set(outside(before)) & set(after)  # superseded files are gone
+    assert os.listdir(f"{tmp_path}/t/log") == ["1"] and not os.path.exists(f"{tmp_path}/t/staged")
+    assert {r["k"]: r["v"] for r in table.read().collect()} == {**{k: 2 * k for k in range(100)}, 7: -1}
+    assert not table.merge(batch, 1, lambda held, b: b) and table.current() == 1
+
+
+def test_a_partition_that_becomes_empty_is_emptied(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", "k", 4)
+    table.write(spark.range(3).toDF("k"), 0)
+    table.merge(spark.range(3).toDF("k"), 1, lambda held, b: held.filter("k = 1"))
+    assert [r["k"] for r in table.read().collect()] == [1]
+
+
+def test_an_interrupted_commit_is_finished_by_the_next_who_opens(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", "k", 4)
+    table.write(spark.range(10).toDF("k"), 0)
+    table._publish = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        table.merge(spark.range(10, 12).toDF("k"), 1, lambda held, b: held.unionByName(b))
+    again = KeyedTable(spark, f"{tmp_path}/t", "k", 4)
+    assert again.current() == 1 and sorted(r["k"] for r in again.read().collect()) == list(range(12))
+
+
+def events(spark, rows):
+    return spark.createDataFrame(rows, "event string, job int, n int, at string").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+
+
+FIRST = [("a", 1, 5, "2026-09-10 10:00:00"), ("a", 1, 5, "2026-09-10 10:00:00"), ("b", 2, 7, "2026-09-20 10:00:00"), ("c", 1, 1, None)]
+SECOND = [
+    ("a", 1, 5, "2026-09-10 10:00:00"),  # told on time, repeated behind the watermark
+    ("d", 1, 11, "2026-09-11 02:00:00"),  # late
+    ("b", 2, 7, "2026-09-20 10:00:00"),  # repeated on time
+    ("c", 1, 1, None),
+    ("e", 2, 13, "2026-09-19 23:00:00"),  # within the delay
+]
+THIRD = [("d", 1, 11, "2026-09-11 02:00:00"), ("f", 1, 17, "2026-09-21 10:00:00")]  # late again; on time
+
+
+def arrive(spark, path, rows, n):
+    events(spark, rows).coalesce(1).write.mode("append").parquet(path)
+    for name in os.listdir(path):
+        if name.endswith(".parquet") and os.stat(os.path.join(path, name)).st_mtime > 1_800_000_000:
+            os.utime(os.path.join(path, name), (1_700_000_000 + n * 60,) * 2)
+
+
+def test_late_events_are_counted_once(spark, tmp_path):
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    sums = {"n": F.col("n"), "requests": F.lit(1)}
+    for i, rows in enumerate((FIRST, SECOND, THIRD)):
+        arrive(spark, path, rows, i)
+        stream = sj.file_stream(spark, path, events(spark, FIRST).schema)
+        sj.stream_metrics(stream, out, f"{tmp_path}/ck", "job", "event", sums, "ts", "2 days")
+    schema = sj.ddl(events(spark, FIRST))
+    late = spark.read.parquet(f"{out}/late")
+    assert sorted(r["event"] for r in late.collect()) == ["a", "d", "d"]
+    found = {r["job"]: (r["n"], r["requests"]) for r in sj.metrics(spark, out, schema, "job", "event", sums, "2 days").collect()}
+    assert found == {1: (5 + 1 + 11 + 17, 4), 2: (20, 2)}
+    assert sorted(r["event"] for r in sj.deduplicated(spark, out, schema, "event", "2 days").collect()) == list("abcdef")
+
+
+def test_late_days_are_counted(spark, tmp_path):
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for i, rows in enumerate((FIRST, SECOND)):
+        arrive(spark, path, rows, i)
+        sj.stream_day_counts(sj.file_stream(spark, path, events(spark, FIRST).schema), out, f"{tmp_path}/ck", "ts", "2 days")
+    assert spark.read.parquet(f"{out}/late").count() == 2
+    found = {str(r["local_day"]): r["n"] for r in sj.day_counts(spark, out, sj.ddl(events(spark, FIRST)), "ts").collect()}
+    assert found == {"2026-09-10": 4, "2026-09-19": 1, "2026-09-20": 2, "None": 2}
+
+
+def test_a_repeated_batch_of_events_changes_nothing(spark, tmp_path):
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    sums = {"n": F.col("n")}
+    arrive(spark, path, FIRST, 0)
+    for ck in ("one", "two"):  # a new checkpoint: the same rows again as batch 0
+        sj.stream_metrics(sj.file_stream(spark, path, events(spark, FIRST).schema), out, f"{tmp_path}/{ck}", "job", "event", sums, "ts", "2 days")
+    assert {r["job"]: r["n"] for r in sj.metrics(spark, out, sj.ddl(events(spark, FIRST)), "job", "event", sums, "2 days").collect()} == {1: 6, 2: 7}
