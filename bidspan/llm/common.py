@@ -60,6 +60,19 @@ class Settled:
         self.paths[id(out)] = (out, path)
         return out
 
+    @contextmanager
+    def scope(self):
+        """Tables settled inside go at its end, but those handed to what it yields."""
+        before, kept = set(self.paths), set()
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.add(id(df))
+            return df
+
+        yield keep
+        for name in set(self.paths) - before - kept:
+            self.drop(self.paths[name][0])
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that no later plan reads."""
         _, path = self.paths.pop(id(df))

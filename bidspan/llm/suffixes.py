@@ -14,7 +14,7 @@ from bidspan.llm.common import Settled, small_batches
 from bidspan.llm.sorted_runs import ranked_runs
 
 #: Length of the strings that may not repeat; grams and windows of grams that choose the places of the suffix array.
-LENGTH, GRAM, WINDOW = 400, 16, 128
+LENGTH, GRAM, WINDOW = 400, 16, 256
 #: A letter: the bytes from a place on that also fix where the next place is.
 LETTER = GRAM + WINDOW
 #: Bytes of texts hashed together, texts handed to Python at a time, texts remembered by a task.
@@ -120,11 +120,11 @@ def _sieve(length: int):
     return run
 
 
-_RUNS = "digest binary, pos array<bigint>, low array<int>, high array<int>, lead array<binary>, head array<binary>"
+_RUNS = "digest binary, base long, segment binary, pos array<bigint>, low array<int>, high array<int>"
 
 
 def _strings(length: int):
-    """The letters of the stretches that hold surviving places, on to ``length`` bytes behind the last of them."""
+    """Stretches of text that hold surviving places, on to ``length`` bytes behind the last of them, with all places in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,13 +142,11 @@ def _strings(length: int):
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], held.view(np.int8), [0]))))
                 for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
                     at, ok = a[i:j], alive[i:j]
-                    found["digest"].append(digest)
-                    found["pos"].append(at)
-                    found["low"].append(np.where(ok, at - last[i:j], -1).astype(np.int32))
-                    found["high"].append(np.where(ok, at - first[i:j], -1).astype(np.int32))
-                    found["lead"].append([body[max(0, x - WINDOW + 1) : x] if y else b"" for x, y in zip(at.tolist(), ok.tolist())])
-                    found["head"].append([body[x : x + (length if y else LETTER)] for x, y in zip(at.tolist(), ok.tolist())])
-            kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+                    base = max(0, int(at[0]) - WINDOW + 1)
+                    row = (digest, base, body[base : int(at[-1]) + length], at, np.where(ok, at - last[i:j], -1).astype(np.int32), np.where(ok, at - first[i:j], -1).astype(np.int32))
+                    for column, value in zip(found.values(), row):
+                        column.append(value)
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found.values(), kinds)], names=list(found))
 
     return run
@@ -169,6 +167,12 @@ def suffix_ranks(level: DataFrame, settle: Settled, length: int) -> DataFrame:
     """
     if level.where(F.col("upto") - F.col("pos") < length).limit(1).count() == 0:
         return level.select("run", "s", "i", (F.col("c") - 1).alias("r"))
+    with settle.scope() as keep:
+        return keep(_merged_ranks(level, settle, length))
+
+
+def _merged_ranks(level: DataFrame, settle: Settled, length: int) -> DataFrame:
+    """The step of :func:`suffix_ranks`: sample, recursion, and the two sorts that merge."""
     place, residue = "over (partition by run, s order by i)", F.col("i") % 3
     triples = level.withColumns({"c1": F.expr(f"lead(c, 1, 0L) {place}"), "c2": F.expr(f"lead(c, 2, 0L) {place}"), "far": F.expr(f"lead(upto, 2, {_END}L) {place}")})
     named = ranked_runs(triples.where(residue != 0).drop("upto"), ["c", "c1", "c2"], ["run", "s", "i"], settle)
@@ -185,8 +189,30 @@ def suffix_ranks(level: DataFrame, settle: Settled, length: int) -> DataFrame:
     return settle(one.where(residue == 1).select(*keys, (F.col("less0") + F.col("r") - 1).alias("r")).unionByName(zero))
 
 
-_SORTED = "run long, pos long, low int, high int, lead binary, reach int, levels array<int>, begins array<bigint>, part int, mark int, head binary"
-_SORTED_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+_PLACES = "r long, run long, pos long, low int, high int, before binary, head binary"
+
+
+def _placed(length: int):
+    """Every surviving place with its rank, the bytes before it in reverse, and the bytes from it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PLACES.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        for b in batches:
+            rows = []
+            for number, base, segment, *places_ in zip(*[b.column(c).to_pylist() for c in ("run", "base", "segment", "r", "pos", "low", "high")]):
+                for r, pos, low, high in zip(*places_):
+                    if low >= 0:
+                        at = pos - base
+                        rows.append((r, number, pos, low, high, segment[max(0, at - WINDOW + 1) : at][::-1], segment[at : at + length]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return run
+
+
+_SORTED = "run long, pos long, low int, high int, twin boolean, before binary, reach int, levels array<int>, begins array<bigint>, part int, mark int, head binary"
+_SORTED_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _common(heads: list[bytes], length: int) -> np.ndarray:
@@ -204,6 +230,11 @@ def _adjacent(length: int, floor: int):
     ``levels`` and ``begins`` are a stack: the stretch of suffixes that share t
     bytes with this one begins at the last entry whose level is below t. A stretch
     may begin in an earlier task, so nothing is entered for a task's first row.
+
+    Equal suffixes are ordered by the bytes before them, so most places whose
+    strings all repeat see it at a neighbour (``twin``). One that sees it above, at
+    a place that is a twin too, needs no stack and bytes: whoever shares a part of
+    its strings shares them with the first of such places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +247,12 @@ def _adjacent(length: int, floor: int):
         def give(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SORTED_TYPES)], names=names)
 
+        def closed(w: tuple, here: int, down: bool) -> tuple:
+            number, pos, low, high, before, reach, stack, starts, up, spare = w
+            if spare:
+                return number, pos, low, high, True, None, None, None, None, part, 0, None
+            return number, pos, low, high, up or down, before, max(reach, here), stack, starts, part, 0, None
+
         for b in batches:
             heads = b.column("head").to_pylist()
             if not heads:
@@ -225,7 +262,7 @@ def _adjacent(length: int, floor: int):
             else:
                 shared = _common([last, *heads], length).tolist()
             rows = []
-            for k, (r, pos, low, high, lead) in enumerate(zip(*[b.column(c).to_pylist() for c in ("run", "pos", "low", "high", "lead")])):
+            for k, (number, pos, low, high, before) in enumerate(zip(*[b.column(c).to_pylist() for c in ("run", "pos", "low", "high", "before")])):
                 here = max(shared[k], floor)
                 if n and here < length:
                     while levels and levels[-1] >= here:
@@ -233,16 +270,21 @@ def _adjacent(length: int, floor: int):
                         begins.pop()
                     levels.append(here)
                     begins.append((part << 33) + n)
+                up = spare = False
                 if waiting is not None:
-                    rows.append((*waiting[:5], max(waiting[5], here), *waiting[6:]))
-                waiting = (r, pos, low, high, lead, here, list(levels), list(begins), part, 0, None)
+                    above = waiting[4]
+                    up = here >= length - low and before[:high] == above[:high]
+                    down = here >= length - waiting[2] and before[: waiting[3]] == above[: waiting[3]]
+                    spare = up and (waiting[8] or down)
+                    rows.append(closed(waiting, here, down))
+                waiting = (number, pos, low, high, before, here, list(levels), list(begins), up, spare)
                 n += 1
             last = heads[-1]
             if rows:
                 yield give(rows)
         if waiting is not None:
-            none = (None,) * 6
-            yield give([(*waiting[:5], length, *waiting[6:]), (*none, [], [], part, 1, first), (*none, list(levels), list(begins), part, 2, last)])
+            none = (None,) * 7
+            yield give([closed(waiting, length, False), (*none, [], [], part, 1, first), (*none, list(levels), list(begins), part, 2, last)])
 
     return run
 
@@ -265,53 +307,32 @@ def _carried(marks: list, length: int, floor: int) -> list[tuple[int, list[int],
     return out
 
 
-_LEADS = np.random.default_rng(11).integers(0, 2**64, (WINDOW, 256), dtype=np.uint64)
+_FACTORS = np.random.default_rng(11).integers(0, 2**64, (WINDOW, 256), dtype=np.uint64)
 
 
-def _lead_hashes(leads: list[bytes]) -> np.ndarray:
-    """Column d: a hash of the d bytes before the place."""
-    m = np.frombuffer(b"".join(x[::-1].ljust(WINDOW - 1, b"\0") for x in leads), np.uint8).reshape(-1, WINDOW - 1)
-    each = _LEADS[np.arange(WINDOW - 1)[None, :], m]
+def _hashes(before: list[bytes]) -> np.ndarray:
+    """Column d: a hash of the d bytes before the place, which are given in reverse."""
+    m = np.frombuffer(b"".join(x.ljust(WINDOW - 1, b"\0") for x in before), np.uint8).reshape(-1, WINDOW - 1)
+    each = _FACTORS[np.arange(WINDOW - 1)[None, :], m]
     return _stirred(np.concatenate((np.zeros((len(m), 1), np.uint64), np.cumsum(each, axis=1, dtype=np.uint64)), axis=1) + np.arange(WINDOW, dtype=np.uint64) * _MIX[0])
 
 
-def _begin(levels: np.ndarray, begins: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return begins[np.searchsorted(levels, t) - 1]
-
-
-def _outer_keys(length: int):
-    """``k1, k2`` of the longest string each place answers for with all that stands before and behind it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            low, high = b.column("low").to_numpy(), b.column("high").to_numpy()
-            h = _lead_hashes(b.column("lead").to_pylist())[np.arange(len(high)), high] + _stirred(low.astype(np.uint64))
-            k1 = [s[int(np.searchsorted(v, length - x)) - 1] for v, s, x in zip(b.column("levels").to_pylist(), b.column("begins").to_pylist(), low.tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k1, pa.int64()), pa.array(h.view(np.int64))], names=[*b.schema.names, "k1", "k2"])
-
-    return run
-
-
-def _inner_keys(length: int):
+def _strings_of(length: int):
     """Every string a place answers for: the stretch of suffixes that share its rest, and a hash of what is before the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h = _lead_hashes(b.column("lead").to_pylist())
-            runs, pos, low, high, reach = (b.column(c).to_numpy() for c in ("run", "pos", "low", "high", "reach"))
-            low = np.maximum(low, length - reach)  # longer rests have no partner
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for k, (levels, begins) in enumerate(zip(b.column("levels").to_pylist(), b.column("begins").to_pylist())):
-                d = np.arange(low[k], high[k] + 1)
-                if len(d):
-                    for column, v in zip(out, (np.full(len(d), runs[k]), pos[k] - d, _begin(np.array(levels), np.array(begins, np.int64), length - d), h[k, d].view(np.int64))):
-                        column.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict(dict(zip(("run", "p", "k1", "k2"), (np.concatenate(c) for c in out))))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                h = _hashes(b.column("before").to_pylist())
+                runs, pos, low, high, reach = (b.column(c).to_numpy() for c in ("run", "pos", "low", "high", "reach"))
+                low = np.maximum(low, length - reach)  # longer rests have no partner
+                n = np.maximum(high - low + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                d = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                begin = [s[i] for k, (v, s) in enumerate(zip(b.column("levels").to_pylist(), b.column("begins").to_pylist())) for i in (np.searchsorted(v, length - np.arange(low[k], high[k] + 1)) - 1).tolist()]
+                if len(row):
+                    yield pa.RecordBatch.from_pydict({"run": runs[row], "p": pos[row] - d, "k1": np.array(begin, np.int64), "k2": h[row, d].view(np.int64)})
 
     return run
 
@@ -319,35 +340,39 @@ def _inner_keys(length: int):
 def repeated_starts(texts: DataFrame, settle: Settled, length: int = LENGTH) -> DataFrame:
     """``digest, first, last``: stretches of starts of strings of ``length`` bytes that begin elsewhere too, in ``texts(digest, body)``."""
     spark = texts.sparkSession
-    if length < LETTER + WINDOW:
-        raise ValueError(f"strings of at least {LETTER + WINDOW} bytes")
+    if length < LETTER:
+        raise ValueError(f"strings of at least {LETTER} bytes")
     floor = length - WINDOW
-    with small_batches(spark, TEXTS_A_BATCH):
-        sieved = settle(texts.mapInArrow(_sieve(length), "digest binary, pos long, h long"))
-    alive = ranked_runs(sieved, ["h"], ["digest", "pos"], settle, twins_only=True).groupBy("digest").agg(F.collect_list("pos").alias("kept"))
-    once = texts.groupBy("digest").agg(F.first("body").alias("body"))
-    with small_batches(spark, TEXTS_A_BATCH):
-        runs = settle(once.join(alive, "digest").mapInArrow(_strings(length), _RUNS).withColumn("run", F.monotonically_increasing_id()))
-    letters = runs.select("run", F.posexplode(F.transform("head", lambda h: F.substring(h, 1, LETTER))).alias("i", "letter"), "pos")
-    letters = letters.select("run", F.lit(0).cast("long").alias("s"), "i", "letter", F.expr("pos[i]").alias("pos"), F.when(F.col("i") == F.size("pos") - 1, F.lit(_END)).otherwise(F.expr("pos[i]") + LETTER).alias("upto"))
-    named = ranked_runs(letters, ["letter"], ["run", "s", "i"], settle)
-    ranks = suffix_ranks(settle(named.select("run", "s", "i", (F.col("less0") + 1).alias("c"), "pos", "upto")), settle, length)
-    order = ranks.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("r"))
-    each = runs.join(order, "run").select("run", F.explode(F.arrays_zip("r", "pos", "low", "high", "lead", "head")).alias("x")).select("run", "x.*").where("low >= 0")
-    dealt = settle(each).repartitionByRange("r", "run", "pos").sortWithinPartitions("r", "run", "pos")
-    found = settle(dealt.mapInArrow(_adjacent(length, floor), _SORTED))
-    carried = spark.createDataFrame(_carried(found.where("mark > 0").select("part", "mark", "levels", "begins", "head").collect(), length, floor), "part int, below array<int>, before array<bigint>")
+    with settle.scope() as keep:
+        with small_batches(spark, TEXTS_A_BATCH):
+            sieved = settle(texts.mapInArrow(_sieve(length), "digest binary, pos long, h long"))
+        alive = ranked_runs(sieved, ["h"], ["digest", "pos"], settle, twins_only=True).groupBy("digest").agg(F.collect_list("pos").alias("kept"))
+        settle.drop(sieved)
+        once = texts.groupBy("digest").agg(F.first("body").alias("body"))
+        with small_batches(spark, TEXTS_A_BATCH):
+            runs = keep(settle(once.join(alive, "digest").mapInArrow(_strings(length), _RUNS).withColumn("run", F.monotonically_increasing_id())))
+    with settle.scope() as keep:
+        letters = runs.select("run", "base", "segment", F.posexplode("pos").alias("i", "pos"), F.size("pos").alias("n"))
+        letter = F.substring(F.col("segment"), (F.col("pos") - F.col("base") + 1).cast("int"), F.lit(LETTER))
+        upto = F.when(F.col("i") == F.col("n") - 1, F.lit(_END)).otherwise(F.col("pos") + LETTER)
+        named = ranked_runs(letters.select("run", F.lit(0).cast("long").alias("s"), "i", letter.alias("letter"), "pos", upto.alias("upto")), ["letter"], ["run", "s", "i"], settle)
+        ranks = keep(suffix_ranks(settle(named.select("run", "s", "i", (F.col("less0") + 1).alias("c"), "pos", "upto")), settle, length))
+    with settle.scope() as keep:
+        order = ranks.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("r"))
+        with small_batches(spark, TEXTS_A_BATCH):
+            each = runs.drop("digest").join(order, "run").mapInArrow(_placed(length), _PLACES)
+            found = keep(settle(each.repartitionByRange("r", "before", "run", "pos").sortWithinPartitions("r", "before", "run", "pos").mapInArrow(_adjacent(length, floor), _SORTED)))
+    settle.drop(ranks)
+    carried = spark.createDataFrame(_carried(found.where("mark > 0").select("part", "mark", "levels", "begins", "head").collect(), length, floor), "part int, below array<int>, above array<bigint>")
     under = F.filter("below", lambda v: F.coalesce(v < F.get("levels", F.lit(0)), F.lit(True)))
-    stacked = found.where("mark = 0").join(F.broadcast(carried), "part").withColumn("under", F.size(under))  # one row a task
+    stacked = found.where("mark = 0 and before is not null").join(F.broadcast(carried), "part").withColumn("under", F.size(under))  # one row a task
     whole = stacked.select(
-        "run", "pos", "low", "high", "lead", "reach", F.concat(F.slice("below", F.lit(1), F.col("under")), "levels").alias("levels"), F.concat(F.slice("before", F.lit(1), F.col("under")), "begins").alias("begins")
+        "run", "pos", "low", "high", "before", "reach", F.concat(F.slice("below", F.lit(1), F.col("under")), "levels").alias("levels"), F.concat(F.slice("above", F.lit(1), F.col("under")), "begins").alias("begins")
     )
-    keyed = whole.mapInArrow(_outer_keys(length), f"{', '.join(_SORTED.split(', ')[:8])}, k1 long, k2 long")
-    outer = settle(ranked_runs(settle(keyed), ["k1", "k2"], ["run", "pos"], settle))
-    inner = settle(outer.where("not twin or leads").mapInArrow(_inner_keys(length), "run long, p long, k1 long, k2 long"))
-    single = ranked_runs(inner, ["k1", "k2"], ["run", "p"], settle, twins_only=True).select("run", "p")
+    strings = whole.mapInArrow(_strings_of(length), "run long, p long, k1 long, k2 long")
+    single = ranked_runs(strings, ["k1", "k2"], ["run", "p"], settle, twins_only=True).select("run", "p")
     island = single.withColumn("island", F.expr("p - row_number() over (partition by run order by p)")).groupBy("run", "island").agg(F.min("p").alias("first"), F.max("p").alias("last"))
-    starts = outer.where("twin").select("run", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low")).alias("last")).unionByName(island.drop("island"))
+    starts = found.where("twin").select("run", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low")).alias("last")).unionByName(island.drop("island"))
     return starts.join(runs.select("run", "digest"), "run").select("digest", "first", "last")
 
 
