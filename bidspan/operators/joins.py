@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidspan.functions import geo
+from bidspan.functions import geo, winnow
 from bidspan.functions import text as tx
+from bidspan.session import settle
 
 
 def semi_known(batch: DataFrame, catalog: DataFrame, key: str = "control_no") -> DataFrame:
@@ -144,35 +145,16 @@ def update_seen(catalog: DataFrame, seen: DataFrame) -> DataFrame:
     return catalog.join(newest, "control_no", "left").withColumn("seen_at", F.coalesce("_seen", "seen_at")).drop("_seen")
 
 
-def _starts(count: Column) -> Column:
-    return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-
-
-def _shingles(form: Column, words: int) -> Column:
-    """Distinct hashes of every run of ``words`` words."""
-    runs = lambda tokens: F.transform(
-        _starts(F.size(tokens) - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, words), " "))
-    )
-    return F.array_distinct(tx.let(F.split(form, " "), runs))
-
-
-def _grams(form: Column, size: int) -> Column:
-    """Distinct hashes of every run of ``size`` characters, found in one pass by a lookahead."""
-    runs = F.regexp_extract_all(form, F.lit("(?=(.{%d}))" % size), F.lit(1))
-    return F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g)))
-
-
-def quote_matches(
-    quotes: DataFrame, sources: DataFrame, on: list[str] | None = None, words: int = 5, min_chars: int = 12
-) -> DataFrame:
+def quote_matches(quotes: DataFrame, sources: DataFrame, on: list[str] | None = None, min_chars: int = 12) -> DataFrame:
     """(quote_id, source_id) where every fragment of the quote occurs in the source.
 
     ``on`` restricts a quote to sources with equal columns (its bid); without it
     all sources are searched. Exact, and without pairing all with all:
 
-    - the longest fragment is the probe; with ``words + 2`` words or more it has
-      an inner shingle of whole words that any containing text must share;
-    - a shorter probe uses its first characters as a gram of the same length;
+    - the longest fragment is the probe, and one winnowed gram of it is looked for
+      (see :mod:`bidspan.functions.winnow`): a text that holds the probe has that
+      gram among its own winnowed ones, of which there is one in every 33
+      characters for long quotes, 7 for middling and 3 for short ones;
     - candidates come from an equi join on that hash, in one pass over the texts
       for all lengths, so a bid with very many quotes and sources spreads over as
       many hash values as it has texts;
@@ -184,19 +166,16 @@ def quote_matches(
     on = on or []
     q = quotes.select("quote_id", *on, tx.split_ellipsis(F.col("quote")).alias("_parts"))
     longest = F.element_at(F.array_sort("_parts", lambda x, y: F.length(y) - F.length(x)), 1)
-    q = q.filter(F.length(F.array_join("_parts", " ")) >= min_chars).withColumn("_probe", longest)
-    inner = F.array_join(F.slice(F.split("_probe", " "), 2, words), " ")
-    is_long = F.size(F.split("_probe", " ")) >= words + 2
-    q = q.withColumn("_size", F.when(is_long, 0).otherwise(F.least(F.lit(min_chars), F.length("_probe"))))
-    q = q.withColumn("_h", F.xxhash64(F.when(is_long, inner).otherwise(F.substr("_probe", F.lit(1), F.col("_size")))))
+    q = q.filter(F.length(F.array_join("_parts", " ")) >= min_chars).select("quote_id", *on, "_parts", longest.alias("_probe"))
+    q = settle(q.withColumn("_h", winnow.probe_key(F.col("_probe"))), "probes")
     forms = sources.select("source_id", *on, tx.compare_form(F.col("text")).alias("_form"))
 
-    sizes = [r["_size"] for r in q.select("_size").distinct().collect()]  # at most min_chars + 1 values
-    if not sizes:  # no quote long enough to prove anything
+    lengths = q.select(F.least(F.octet_length("_probe"), F.lit(winnow.TIERS[0][0])).alias("n")).distinct().collect()  # at most 96 values
+    tiers = sorted({winnow.tier(r["n"]) for r in lengths})
+    if not tiers:  # no quote long enough to prove anything
         ids = f"quote_id {dict(q.dtypes)['quote_id']}, source_id {dict(forms.dtypes)['source_id']}"
         return quotes.sparkSession.createDataFrame([], ids)
-    keys = F.concat(*(_shingles(F.col("_form"), words) if size == 0 else _grams(F.col("_form"), size) for size in sorted(sizes)))
-    texts = forms.select("source_id", *on, F.explode(keys).alias("_h"))
+    texts = forms.select("source_id", *on, F.explode(winnow.text_keys(F.col("_form"), tiers)).alias("_h"))
     candidates = q.select("quote_id", *on, "_parts", "_h").join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id")
     checked = candidates.join(forms.select("source_id", "_form"), "source_id")
     return checked.filter(F.forall("_parts", lambda p: F.contains(F.col("_form"), p))).select("quote_id", "source_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidspan.functions import classify
@@ -131,11 +131,20 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     the index shuffles nothing, and no token, however common, meets in one
     task. The document length rides along, so scoring needs no join back.
     """
+    return _exploded(_grouped_documents(docs, key, text), key)
+
+
+def _grouped_documents(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, length, groups): a document's tokens with their positions, one group a token."""
     all_words = F.transform(
         words(text), lambda t, i: F.struct(F.when(~t.isin(STOP_WORDS), stem(t)).alias("token"), i.alias("position"))
     )
     kept = F.filter(all_words, lambda p: p["token"].isNotNull())
-    rows = docs.select(key, kept.alias("_p")).select(key, F.size("_p").alias("length"), F.explode(_grouped(F.col("_p"))).alias("_g"))
+    return docs.select(key, kept.alias("_p")).select(key, F.size("_p").alias("length"), _grouped(F.col("_p")).alias("_groups"))
+
+
+def _exploded(grouped: DataFrame, key: str) -> DataFrame:
+    rows = grouped.select(key, "length", F.explode("_groups").alias("_g"))
     return rows.select(
         F.get("_g", F.lit(0))["token"].alias("token"),
         key,
@@ -160,6 +169,37 @@ def write_index(postings_: DataFrame, key: str, path: str) -> None:
     settle(postings_, "postings").repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(path)
 
 
+class TextIndex:
+    """A stored index: postings in token order, and the collection's figures in one row.
+
+    Texts are tokenised once, when it is written. A query's tokens are filters of
+    the postings' scan, which skips files by their token ranges; no text is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    @classmethod
+    def write(cls, docs: DataFrame, key: str, text: Column, path: str) -> TextIndex:
+        index = cls(docs.sparkSession, path, key)
+        grouped = settle(_grouped_documents(docs, key, text), "tokens")
+        grouped.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).write.parquet(f"{index.path}/stats")
+        rows = _exploded(grouped, key)
+        rows.repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(f"{index.path}/postings")
+        return index
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/stats")
+
+    def rank(self, terms: Sequence[str]) -> DataFrame:
+        return rank_text(self.postings, self.stats, self.key, terms)
+
+
 def rank_text(postings_: DataFrame, stats: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
     """BM25 score per document holding at least one term; ``(key, score, matched)``."""
     wanted = sorted(set(terms))

@@ -61,11 +61,31 @@ def lexical_matches(bids, docs, cities, wanted, context, active_only=True, short
     return out.filter(term_predicate(term)) if term else out
 
 
-def _listing(page: DataFrame, docs: DataFrame, doc_state: DataFrame | None, now: Column) -> DataFrame:
-    """Computed columns and document totals of the rows of a page; documents of other bids are not counted."""
-    own = docs.join(page.select("bid_id"), "bid_id", "left_semi")
-    state = page.select("bid_id", F.lit(None).cast("string").alias("state")) if doc_state is None else doc_state.join(page.select("bid_id"), "bid_id", "left_semi")
-    return projections.with_document_totals(_computed(page, now), own, state)
+#: Pages up to this many rows are fetched as ids, which the scans of wide rows and documents then look for.
+PAGE_ROWS = 1000
+
+
+class _Page:
+    """The rows of one page: as ids in the scans' filters, or as a table if the page is large."""
+
+    def __init__(self, page: DataFrame, limit: int | None):
+        if limit is not None and limit <= PAGE_ROWS:
+            rows = page.collect()
+            self.ids = [r["bid_id"] for r in rows]
+            self.page = page.sparkSession.createDataFrame(rows, page.schema)
+        else:
+            self.ids, self.page = None, settle(page, "page")
+
+    def own(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.page.select("bid_id"), "bid_id", "left_semi") if self.ids is None else rows.filter(F.col("bid_id").isin(self.ids))
+
+    def wide(self, bids: DataFrame) -> DataFrame:
+        return self.own(bids).join(self.page, "bid_id")
+
+    def listing(self, rows: DataFrame, docs: DataFrame, doc_state: DataFrame | None, now: Column) -> DataFrame:
+        """Computed columns and document totals; documents of other bids are not counted."""
+        state = self.page.select("bid_id", F.lit(None).cast("string").alias("state")) if doc_state is None else self.own(doc_state)
+        return projections.with_document_totals(_computed(rows, now), self.own(docs), state)
 
 
 def search_lexical(
@@ -85,14 +105,14 @@ def search_lexical(
     """Page rows with computed state, distance, document totals and ``total`` under the same filter.
 
     The filters run once: what matched is settled as ids and sort columns, from
-    which total and page are taken, and wide rows are read for the page only.
+    which total and page are taken. Wide rows, documents and states are read for
+    the page only, its ids being part of their scans' filters.
     """
     matched = lexical_matches(bids, docs, cities, wanted, context, active_only, shortlist)
     keys = ordering.sort_keys(key, direction)
     narrow = settle(matched.select("bid_id", "km", *(c for c in ordering.SORT_COLUMNS.values() if c in matched.columns)), "matched")
-    page = settle(ordering.page_with_total(narrow, keys, limit, offset).select("bid_id", "km", "total"), "page")
-    rows = bids.join(page, "bid_id")  # at most a page
-    return _listing(rows, docs, doc_state, context.now).withColumn("mode", F.lit("lexical")).orderBy(*keys)
+    page = _Page(ordering.page_with_total(narrow, keys, limit, offset).select("bid_id", "km", "total"), limit)
+    return page.listing(page.wide(bids), docs, doc_state, context.now).withColumn("mode", F.lit("lexical")).orderBy(*keys)
 
 
 def search_mode(config: HybridConfig, has_vector: bool, term: str | None) -> str:
@@ -174,6 +194,6 @@ def search_hybrid(
     keys = ordering.relevance_keys() if key is None else ordering.sort_keys(key, direction)
     count = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     page = ordering.page_with_total(ranked, keys, limit, offset).withColumn("eligible", count)
-    page = settle(page.select("bid_id", "km", "rrf_score", "semantic", "chunk_id", "total", "eligible"), "page")
-    rows = vectors.excerpts(bids.join(page, "bid_id"), chunks).drop("chunk_id")  # at most a page of wide rows
-    return _listing(rows, docs, doc_state, context.now).withColumns({"mode": F.lit("hibrido"), "strategy": F.lit("exata")}).orderBy(*keys)
+    page = _Page(page.select("bid_id", "km", "rrf_score", "semantic", "chunk_id", "total", "eligible"), limit)
+    rows = vectors.excerpts(page.wide(bids), page.own(chunks)).drop("chunk_id")
+    return page.listing(rows, docs, doc_state, context.now).withColumns({"mode": F.lit("hibrido"), "strategy": F.lit("exata")}).orderBy(*keys)

@@ -52,7 +52,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, bool]]
             yield [r["query_id"] for r in rows], matrix, blocks == 1
 
 
-def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | None, item: str, owner: str | None, probes: np.ndarray | None):
+def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | None, item: str, owner: str | None, probes: list[np.ndarray] | None):
     """Per task: distances of each batch to all queries, keeping a running top k per query.
 
     Everything tied with the k-th distance is kept, so the final cut by
@@ -107,7 +107,7 @@ def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | Non
 
 
 def distances(
-    vectors: DataFrame, queries: DataFrame, item: str, k: int | None, limit: float | None = None, owner: str | None = None, probe: tuple[np.ndarray, int] | None = None
+    vectors: DataFrame, queries: DataFrame, item: str, k: int | None, limit: float | None = None, owner: str | None = None
 ) -> DataFrame:
     """(query_id, item, distance) of each query's candidates, exact.
 
@@ -115,22 +115,17 @@ def distances(
     them. With ``k`` None every row strictly under ``limit`` is returned, all rows
     if that is None too. ``owner`` (``k`` None only) adds that column and returns
     the nearest item of each owner; batches are reduced in the scan, the caller
-    reduces across them. ``probe`` is (centroids, cells to look into).
+    reduces across them.
     """
     if owner and k is not None:
         raise ValueError("a cut before the best item of each owner would lose owners")
     types = dict(vectors.dtypes)
     carried = [owner] if owner else []
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {item} {types[item]}, {''.join(f'{c} {types[c]}, ' for c in carried)}distance double"
-    slim = vectors.select(item, *carried, "embedding", *(["cell"] if probe else [])).filter(F.col("embedding").isNotNull())
+    slim = vectors.select(item, *carried, "embedding").filter(F.col("embedding").isNotNull())
     out = None
     for ids, matrix, only in _query_blocks(queries):
-        near, source = None, slim
-        if probe:
-            centroids, n = probe
-            near = np.argsort(1.0 - matrix @ centroids.T, axis=1, kind="stable")[:, :n]
-            source = slim.filter(F.col("cell").isin(np.unique(near).tolist()))
-        made = source.mapInPandas(_local_hits(ids, matrix, k, limit, item, owner, near), schema)
+        made = slim.mapInPandas(_local_hits(ids, matrix, k, limit, item, owner, None), schema)
         made = made if only else settle(made, "distances")
         out = made if out is None else out.unionByName(made)
     return vectors.sparkSession.createDataFrame([], schema) if out is None else out
@@ -176,25 +171,91 @@ def fit_centroids(vectors: DataFrame, cells: int, item: str = "item_id", sample:
 
 
 def write_cells(vectors: DataFrame, centroids: np.ndarray, path: str) -> None:
-    """Store every vector under the ``cell`` of its nearest centroid; a search reads the cells it needs only."""
+    """Store every vector under the ``cell`` of its nearest centroid, and each cell's centroid, size and radius.
 
-    @F.pandas_udf("int")
-    def cell(batch: pd.Series) -> pd.Series:
+    The radius is the largest angle between the centroid and a vector of its cell;
+    with it a search knows how near a cell's vectors can be without reading them.
+    """
+
+    @F.pandas_udf("struct<cell int, angle double>")
+    def place(batch: pd.Series) -> pd.DataFrame:
         v = np.stack(batch.to_numpy()).astype(np.float64)
-        return pd.Series((v @ centroids.T).argmax(axis=1).astype(np.int32))
+        cosines = v @ centroids.T
+        cell, length = cosines.argmax(axis=1), np.linalg.norm(v, axis=1)
+        best = np.divide(cosines[np.arange(len(v)), cell], length, out=np.ones(len(v)), where=length > 0)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": np.arccos(np.clip(best, -1.0, 1.0))})
+
+    rows = vectors.filter(F.col("embedding").isNotNull()).withColumn("_place", place("embedding"))
+    rows.select("*", "_place.*").drop("_place").write.partitionBy("cell").parquet(f"{path}/vectors")
+    spark = vectors.sparkSession
+    sizes = spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
+    middles = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
+    middles.join(sizes, "cell", "left").write.parquet(f"{path}/cells")
+
 
-    rows = vectors.filter(F.col("embedding").isNotNull()).withColumn("cell", cell("embedding"))
-    rows.write.partitionBy("cell").parquet(path)
+def reachable(angles: np.ndarray, radius: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Per query (row) and cell, whether the cell can hold a vector within the distance ``edge`` of the query."""
+    least = 1.0 - np.cos(np.maximum(angles - radius, 0.0))
+    return least <= edge[:, None] + 1e-9
 
 
-def knn_cells(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, k: int, limit: float | None = None, item: str = "item_id", probe: int | None = None) -> DataFrame:
-    """k nearest per query among the ``probe`` cells nearest to it; all cells, the default, give the exact answer.
+def nearest_cells(angles: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Per query, its nearest cells, as few as hold ``k`` vectors."""
+    order = np.argsort(angles, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    out = np.zeros(angles.shape, bool)
+    np.put_along_axis(out, order, before < k, axis=1)
+    return out
+
+
+def knn_cells(
+    spark: SparkSession, path: str, queries: DataFrame, k: int, limit: float | None = None, item: str = "item_id", probe: int | None = None, read: list[int] | None = None
+) -> DataFrame:
+    """k nearest per query by (distance, item) from a stored index, with ``rank``: exact, from the cells that can matter.
+
+    Each query first looks into its nearest cells, as few as hold k vectors. The
+    k-th distance found bounds what is left: only cells whose angle to the query,
+    less their radius, is within it are read too, so vectors that cluster cost a
+    part of the cells and the answer is still exact. ``probe`` looks into that many
+    nearest cells instead and stops there: fewer reads, neighbours may be missed.
+    ``read``, if given, receives the number of (query, cell) pairs that were read.
 
-    Fewer cells lose neighbours, how many depends on the vectors: measure before choosing.
+    Only the cells' centroids and, per query, one distance pass through the driver.
     """
-    if not len(centroids):
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # one row a cell
+    if not cells:
         raise ValueError("no vectors were indexed")
-    hits = distances(spark.read.parquet(path), queries, item, k, limit, probe=(centroids, len(centroids) if probe is None else probe))
+    middles = np.array([c["centroid"] for c in cells], dtype=np.float64)
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    sizes, radius = np.array([c["n"] or 0 for c in cells]), np.array([c["radius"] or 0.0 for c in cells])
+    rows = spark.read.parquet(f"{path}/vectors").select(item, "embedding", "cell")
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {item} {dict(rows.dtypes)[item]}, distance double"
+
+    def look(ids: list, matrix: np.ndarray, wanted: np.ndarray) -> DataFrame:
+        if read is not None:
+            read.append(int(wanted.sum()))
+        some = rows.filter(F.col("cell").isin(np.flatnonzero(wanted.any(axis=0)).tolist()))
+        return settle(some.mapInPandas(_local_hits(ids, matrix, k, limit, item, None, [np.flatnonzero(w) for w in wanted]), schema), "distances")
+
+    parts = [spark.createDataFrame([], schema)]
+    for ids, matrix, _ in _query_blocks(queries):
+        angles = np.arccos(np.clip(matrix @ middles.T, -1.0, 1.0))
+        if probe is not None:
+            wanted = np.zeros(angles.shape, bool)
+            np.put_along_axis(wanted, np.argsort(angles, axis=1, kind="stable")[:, :probe], True, axis=1)
+            parts.append(look(ids, matrix, wanted & (sizes > 0)))
+            continue
+        first = nearest_cells(angles, sizes, k) & (sizes > 0)
+        parts.append(look(ids, matrix, first))
+        ranked = windows.topn_per_group(parts[-1], ["query_id"], [F.col("distance"), F.col(item)], k)
+        found = {r["query_id"]: r["edge"] for r in ranked.groupBy("query_id").agg(F.max("distance").alias("edge"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).collect()}
+        edge = np.array([found.get(q, np.inf if limit is None else limit) for q in ids], dtype=np.float64)
+        rest = reachable(angles, radius, edge) & (sizes > 0) & ~first
+        if rest.any():
+            parts.append(look(ids, matrix, rest))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
     return windows.topn_per_group(hits, ["query_id"], [F.col("distance"), F.col(item)], k)
 
 

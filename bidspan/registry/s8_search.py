@@ -17,7 +17,7 @@ from bidspan.registry import twin as w
 from bidspan.registry.core import query
 from bidspan.registry.s3_joins import COS, KNOWN, RUNS, parts_of, two_runs
 from bidspan.registry.tables import MODEL
-from bidspan.session import fresh_path, settle
+from bidspan.session import fresh_path, kept_path, settle
 
 WANTED = {"value_min": 20000, "published_from": "1996-01-01", "has_notice": True, "term": "escola", "origin_code": s2.ORIGIN, "radius_km": 2500}
 MATCHED = f"""
@@ -36,6 +36,19 @@ def _(t):
     return page.selectExpr(*PAGE)
 
 
+_INDEXES: dict[tuple, ix.TextIndex] = {}
+_CELLS: dict[tuple, str] = {}
+
+
+def stored_index(t, name):
+    """The text index of the documents or of the bids' objects, written once per session and input."""
+    key = (t.spark.sparkContext.applicationId, t.dir, name)
+    if key not in _INDEXES:
+        source, item, text = (t.raw("documents"), "doc_id", F.col("text")) if name == "documents" else (t.bids, "bid_id", se.object_text())
+        _INDEXES[key] = ix.TextIndex.write(source, item, text, kept_path(t.spark, f"index-{name}"))
+    return _INDEXES[key]
+
+
 def bm25(source, key, text, terms):
     """CTE body: BM25 score per key over ``source``, from first principles."""
     toks = w.tokens(text)
@@ -53,9 +66,7 @@ TERMS = ix.query_tokens("thand ention und questa reder")
 
 @query("rank_text", f"SELECT doc_id, round(score, 6) AS score, matched FROM ({bm25('documents', 'doc_id', 'text', TERMS)})")
 def _(t):
-    docs = t.raw("documents").select("doc_id", "text")
-    posts = ix.postings(docs, "doc_id", F.col("text"))
-    ranked = ix.rank_text(posts, ix.collection_stats(docs, F.col("text")), "doc_id", TERMS)
+    ranked = stored_index(t, "documents").rank(TERMS)
     return ranked.select("doc_id", F.round("score", 6).alias("score"), "matched")
 
 
@@ -76,10 +87,9 @@ HYBRID_WANTED = {"priority": "sim", "term": "escola"}
 
 def hybrid(t, config, wanted=None):
     bids = t.bids
-    posts = ix.postings(bids, "bid_id", se.object_text())
-    stats = ix.collection_stats(bids, se.object_text())
+    index = stored_index(t, "bids")
     theme = t.themes.filter(F.col("query_id") == THEME)
-    return se.search_hybrid(bids, t.docs, t.cities, t.vectors, t.chunks, posts, stats, wanted or HYBRID_WANTED, theme, fl.Context(now=t.now), config, shortlist=t.shortlist, doc_state=t.doc_state)
+    return se.search_hybrid(bids, t.docs, t.cities, t.vectors, t.chunks, index.postings, index.stats, wanted or HYBRID_WANTED, theme, fl.Context(now=t.now), config, shortlist=t.shortlist, doc_state=t.doc_state)
 
 
 HYBRID = f"""
@@ -143,11 +153,14 @@ APPROX_LIMIT = 0.9
 CELLS = 16
 
 
-def cells(t, probe):
-    """The stored index of all vectors, searched in ``probe`` of its cells."""
-    path, centroids = fresh_path(t.spark, "cells"), vx.fit_centroids(t.vectors, CELLS, "bid_id")
-    vx.write_cells(t.vectors, centroids, path)
-    return vx.knn_cells(t.spark, path, centroids, t.themes, 10, APPROX_LIMIT, "bid_id", probe)
+def cells(t, probe=None):
+    """The stored index of all vectors, searched: exactly, or in ``probe`` of its cells."""
+    key = (t.spark.sparkContext.applicationId, t.dir, "cells")
+    if key not in _CELLS:
+        path = kept_path(t.spark, "cells")
+        vx.write_cells(t.vectors, vx.fit_centroids(t.vectors, CELLS, "bid_id"), path)
+        _CELLS[key] = path
+    return vx.knn_cells(t.spark, _CELLS[key], t.themes, 10, APPROX_LIMIT, "bid_id", probe)
 
 
 NEAREST = f"SELECT query_id, bid_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, bid_id) AS rank FROM (SELECT q.query_id, v.bid_id, {COS} AS d FROM themes q, vectors v) WHERE d < {APPROX_LIMIT} QUALIFY rank <= 10"
@@ -155,17 +168,18 @@ NEAREST = f"SELECT query_id, bid_id, d, row_number() OVER (PARTITION BY query_id
 
 @query("knn_approx", f"SELECT query_id, bid_id, round(d, 6) AS distance, rank::INT AS rank FROM ({NEAREST})")
 def _(t):
-    """All cells looked into: the index answers exactly then. Recall with fewer is eval_recall_at_k."""
-    return cells(t, CELLS).select("query_id", "bid_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+    """Cells are read best first, the others as far as their bounds reach: exact from a part of the cells where vectors cluster."""
+    return cells(t).select("query_id", "bid_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
-@query("eval_recall_at_k", f"SELECT query_id, true AS recall_ok FROM ({NEAREST}) GROUP BY query_id")
+@query("eval_recall_at_k", f"""
+WITH e AS ({NEAREST}), a AS ({NEAREST}) SELECT e.query_id, (count(a.bid_id) / count(*))::DOUBLE AS recall FROM e LEFT JOIN a ON a.query_id = e.query_id AND a.bid_id = e.bid_id GROUP BY e.query_id""")
 def _(t):
-    """Recall of 14 of 16 cells against the exact ranking: at least 0.9 on every query, on vectors that hardly cluster."""
+    """Recall of the stored index as it answers by default, against the scan of all vectors."""
     item = F.col("bid_id").alias("item_id")
-    a = cells(t, CELLS - 2).select("query_id", item, "rank")
+    a = cells(t).select("query_id", item, "rank")
     e = vx.knn_exact(t.vectors, t.themes, 10, APPROX_LIMIT, "bid_id").select("query_id", item, "rank")
-    return sets.recall_overlap(a, e, 10).select("query_id", (F.col("recall") >= 0.9).alias("recall_ok"))
+    return sets.recall_overlap(a, e, 10).select("query_id", F.col("recall").cast("double").alias("recall"))
 
 
 CHUNK_BEST = f"""

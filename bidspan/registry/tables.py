@@ -338,11 +338,12 @@ class Tables:
 
     @cached_property
     def answers(self) -> DataFrame:
-        """Extracted answers: each quotes its document, some from two places with an ellipsis between, and cites that document or its neighbour."""
+        """Extracted answers: each quotes its document, some its middle, some two places with an ellipsis between, and cites that document or its neighbour."""
         k = F.col("doc_id")
         lines = F.split("text", "\n")
         two = F.concat_ws(" [...] ", F.element_at(lines, 1), F.element_at(lines, -1))
-        first = F.when(k % 6 == 5, two).otherwise(F.element_at(lines, 1))
+        middle = F.expr("substring(text, cast(length(text) div 2 as int) + 1, cast(20 + doc_id % 200 as int))")
+        first = F.when(k % 6 == 5, two).when(k % 6 == 4, middle).otherwise(F.element_at(lines, 1))
         cited = F.array(F.concat(F.lit("doc-"), (k + k % 2).cast("string")), F.concat(F.lit("nada-"), k.cast("string")))
         return self.raw("documents").select(
             k.alias("answer_id"), F.floor((k + F.when(k % 4 == 3, 3).otherwise(0)) / 3).alias("bid_id"),

@@ -232,6 +232,6 @@ SELECT o_orderkey AS bid_id, {pick(['pronta', 'processando', 'erro', 'nunca'], '
 SELECT doc_id AS answer_id, (doc_id + CASE WHEN doc_id % 4 = 3 THEN 3 ELSE 0 END) // 3 AS bid_id,
   CASE doc_id % 3 WHEN 0 THEN 'prazos' WHEN 1 THEN 'requisitos' ELSE 'habilitacao' END AS section,
   CASE WHEN doc_id % 5 = 0 THEN 'Não se exige' WHEN doc_id % 7 <> 0 THEN 'valor ' || doc_id END AS value,
-  CASE WHEN doc_id % 11 = 0 THEN 'O edital não menciona prazo' WHEN doc_id % 6 = 5 THEN string_split(text, chr(10))[1] || ' [...] ' || string_split(text, chr(10))[-1] ELSE string_split(text, chr(10))[1] END AS quote,
+  CASE WHEN doc_id % 11 = 0 THEN 'O edital não menciona prazo' WHEN doc_id % 6 = 5 THEN string_split(text, chr(10))[1] || ' [...] ' || string_split(text, chr(10))[-1] WHEN doc_id % 6 = 4 THEN substr(text, length(text) // 2 + 1, 20 + doc_id % 200) ELSE string_split(text, chr(10))[1] END AS quote,
   ['doc-' || (doc_id + doc_id % 2), 'nada-' || doc_id] AS source_ids FROM documents""",
 }

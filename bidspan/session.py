@@ -37,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A path under the shared folder for a table that outlives one result, such as an index; its owner removes it."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nobody has used yet; :func:`clear_work` removes it."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

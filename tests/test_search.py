@@ -159,9 +159,9 @@ def test_cells(spark, tmp_path):
     centroids = vx.fit_centroids(items, 24, sample=500)
     vx.write_cells(items, centroids, f"{tmp_path}/cells")
     want = brute(data, qdata, 10, 0.4)
-    everywhere = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", centroids, queries, 10, 0.4, probe=24))
+    everywhere = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", queries, 10, 0.4, probe=24))
     assert everywhere == {j: w for j, w in want.items() if w}
-    got = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", centroids, queries, 10, 0.4, probe=6))
+    got = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", queries, 10, 0.4, probe=6))
     recalls = [len(set(got.get(j, [])) & set(want[j])) / len(want[j]) for j in want if want[j]]
     assert np.mean(recalls) >= 0.9 and all(len(v) <= 10 for v in got.values())
 
@@ -171,10 +171,24 @@ def test_cells_lose_nothing_unless_told(spark, tmp_path):
     qdata, q = random_vectors(spark, 20, 64, 12)
     centroids = vx.fit_centroids(items, 40)
     vx.write_cells(items, centroids, f"{tmp_path}/cells")
-    got = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", centroids, q.withColumnRenamed("item_id", "query_id"), 10))
+    got = as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", q.withColumnRenamed("item_id", "query_id"), 10))
     assert got == as_lists(vx.knn_exact(items, q.withColumnRenamed("item_id", "query_id"), 10))
 
 
+def test_clustered_vectors_are_answered_exactly_from_a_part_of_the_cells(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(30, 16))
+    data = middles[np.arange(3000) % 30] + 0.05 * rng.normal(size=(3000, 16))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item_id long, embedding array<float>").repartition(6)
+    asked = middles[:9] + 0.05 * rng.normal(size=(9, 16))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<float>")
+    vx.write_cells(items, vx.fit_centroids(items, 30), f"{tmp_path}/cells")
+    read = []
+    assert as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", queries, 10, read=read)) == brute(data, asked, 10)
+    assert 9 <= sum(read) < 9 * 30 / 3  # of 9 queries times 30 cells
+    assert as_lists(vx.knn_cells(spark, f"{tmp_path}/cells", queries, 200, read=read)) == brute(data, asked, 200)  # more than a cell holds
+
+
 def test_zero_and_null_vectors_are_left_out(spark):
     items = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "item_id int, embedding array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, embedding array<float>")
@@ -233,6 +247,42 @@ def test_quote_matches_equal_brute_force(spark, one):
     assert own == {(i, j) for i, j in everywhere if i % 2 == j % 2}
 
 
+def test_quotes_of_every_length_from_anywhere_are_found(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghij klmno pqrs") for _ in range(r.choice([30, 200, 1500]))) for _ in range(12)]
+    texts += [texts[0], "a" * 300, "ab" * 200]
+    quotes = [texts[i][at : at + n] for i in range(len(texts)) for n in (12, 13, 23, 24, 25, 60, 95, 96, 97, 180) for at in [r.randint(0, max(0, len(texts[i]) - n))]]
+    quotes += [texts[2][5:11] + " ... " + texts[2][40:47], "z" * 40]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    s = spark.createDataFrame(list(enumerate(texts)), "source_id int, text string")
+    forms = {x["source_id"]: x["f"] for x in s.select("source_id", tx.compare_form(F.col("text")).alias("f")).collect()}
+    parts = {x["quote_id"]: x["p"] for x in q.select("quote_id", tx.split_ellipsis(F.col("quote")).alias("p")).collect()}
+    want = {(i, j) for i, p in parts.items() for j, f in forms.items() if len(" ".join(p)) >= 12 and all(x in f for x in p)}
+    assert {tuple(x) for x in joins.quote_matches(q, s).collect()} == want and len(want) > 100
+
+
+def test_winnowed_grams_are_few():
+    from bidspan.functions import winnow
+
+    data = "".join(random.Random(8).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(20000)).encode()
+    for _, gram, window in winnow.TIERS:
+        assert len(winnow.winnow(data, gram, window)) < 1.2 * 2 / (window + 1) * len(data)
+        probe = data[7000 : 7000 + gram + window - 1]
+        assert set(winnow.winnow(probe, gram, window)) <= set(winnow.winnow(data, gram, window))
+
+
+def test_stored_index_ranks_without_reading_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "obra de escola"), (2, "escola escola nova"), (3, ""), (4, None), (5, "ponte")], "doc_id int, text string")
+    ranks = {}
+    index = ix.TextIndex.write(docs, "doc_id", F.col("text"), f"{tmp_path}/index")
+    for name, found in (("stored", index.rank(["escol"])), ("direct", ix.rank_text(ix.postings(docs, "doc_id", F.col("text")), ix.collection_stats(docs, F.col("text")), "doc_id", ["escol"]))):
+        ranks[name] = sorted((x["doc_id"], round(x["score"], 9), x["matched"]) for x in found.collect())
+    assert ranks["stored"] == ranks["direct"] and [x[0] for x in ranks["stored"]] == [1, 2]
+    plan = index.rank(["escol"])
+    assert all(f"{tmp_path}/index/" in f for f in plan.inputFiles())
+    assert "EqualTo(token,escol)" in plan._jdf.queryExecution().executedPlan().toString()  # the scan looks for the token
+
+
 def test_citations_prefer_and_correct_sources(spark):
     answers = spark.createDataFrame(
         [(1, 1, "prazos", "5 dias", "entrega em cinco dias", ["s2"]), (2, 1, "prazos", "5 dias", "entrega em cinco dias", ["s9"]), (3, 1, "prazos", "Não exige", "frase inventada pelo modelo", ["s1"]), (4, 1, "prazos", "x", None, []), (5, 1, "habilitacao", "Não exige", "frase inventada pelo modelo", ["s1"])],
