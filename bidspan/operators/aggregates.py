@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidspan.functions import classify, dates, scoring
@@ -187,19 +187,29 @@ CALL_KINDS = ["timeouts", "e429", "e5xx", "other"]
 def api_health(calls: DataFrame, key: str = "job_id") -> DataFrame:
     """Additive counters, worst latency and the open failure streak per job.
 
-    The streak is "calls after the last success": last success per job first
-    (map-side), then a conditional count. No ordering of a whole job is needed.
+    Calls are summed up in (key, day) slices, so one busy job spreads over tasks; a
+    slice also tells whether it has a success and how many calls follow its last
+    one. The open streak of a job is what follows in the last slice with a success
+    and all calls of the slices after it: one row a slice, added up along them.
     """
     order = F.struct("ts", "event_id")
-    last_ok = calls.groupBy(key).agg(F.max(F.when(F.col("ok"), order)).alias("_last_ok"))
-    open_streak = F.count_if(F.col("_last_ok").isNull() | (order > F.col("_last_ok")))
-    return calls.join(last_ok, key).groupBy(key).agg(
+    slices = [key, "_slice"]
+    sliced = calls.withColumn("_slice", F.to_date("ts"))
+    sliced = sliced.withColumn("_last_ok", F.max(F.when(F.col("ok"), order)).over(Window.partitionBy(*slices)))
+    sums = sliced.groupBy(*slices).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if("ok").alias("succeeded"),
         *[F.sum(F.greatest(F.coalesce(F.col(k), F.lit(0)), F.lit(0))).alias(k) for k in CALL_KINDS],
         F.sum("latency_ms").alias("latency_total_ms"),
         F.max("latency_ms").alias("latency_max_ms"),
-        open_streak.alias("consecutive_failures"),
+        F.count_if(F.col("_last_ok").isNull() | (order > F.col("_last_ok"))).alias("_after"),
+    )
+    later = Window.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    known = sums.withColumn("_settled", F.coalesce(F.max(F.col("succeeded") > 0).over(later), F.lit(False)))
+    return known.groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in ("requests", "succeeded", *CALL_KINDS, "latency_total_ms")],
+        F.max("latency_max_ms").alias("latency_max_ms"),
+        F.sum(F.when(~F.col("_settled"), F.col("_after")).otherwise(0)).alias("consecutive_failures"),
     )
 
 
@@ -362,8 +372,6 @@ def nearest_rank(weighted: DataFrame, value: str, weight: str, by: Sequence[str]
     per group) locate the bucket of each rank, then only inside buckets are
     values ordered, so one large group is split over many tasks.
     """
-    from pyspark.sql import Window
-
     v = F.col(value)
     magnitude = F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1100))  # order-preserving
     bucket = F.floor(magnitude * 32).cast("long")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidspan.functions import classify, dates, hashing, jsonx, scoring
 from bidspan.functions import text as tx
+from bidspan.operators import windows
 
 
 def whole(value: Column) -> Column:
@@ -181,9 +182,8 @@ def detail_view(bids: DataFrame, docs: DataFrame, history: DataFrame, state: Dat
     d = docs.select("bid_id", F.lit("documento").alias("section"), F.concat_ws("|", "doc_type", F.lpad(F.col("seq").cast("string"), 6, "0")).alias("_o"), F.col("name").alias("entry"))
     order = F.lpad((F.lit(10**17) - F.unix_micros("at")).cast("string"), 18, "0")
     h = history.select("bid_id", F.lit("historico").alias("section"), F.concat_ws("|", order, F.col("entry")).alias("_o"), "entry")
-    rows = d.unionByName(h)
-    place = F.row_number().over(Window.partitionBy("bid_id", "section").orderBy("_o", "entry"))
-    return head.join(rows.withColumn("place", place).drop("_o"), "bid_id", "left")
+    rows = windows.rank_in_group(d.unionByName(h), ["bid_id", "section"], ["_o", "entry"], "place")
+    return head.join(rows.drop("_o"), "bid_id", "left")
 
 
 def shortlist_view(bids: DataFrame, shortlist: DataFrame, docs: DataFrame, files: DataFrame, state: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -231,10 +231,9 @@ def prompt_items(items: DataFrame, tie: list[str], part_size: int = 150, chars:
     Every item is in a part: one prompt takes one part. ``chars`` cuts
     descriptions where a prompt needs it.
     """
-    place = F.row_number().over(Window.partitionBy("bid_id").orderBy("number", *tie))
     text = F.col("description") if chars is None else F.substring("description", 1, chars)
     line = F.struct("place", "number", text.alias("description"), "quantity", "unit", "unit_price", "total", "benefit_name", "status_name")
-    numbered = items.withColumn("place", place).withColumn("part", F.floor((F.col("place") - 1) / part_size).cast("int"))
+    numbered = windows.rank_in_group(items, ["bid_id"], ["number", *tie], "place").withColumn("part", F.floor((F.col("place") - 1) / part_size).cast("int"))
     lists = numbered.groupBy("bid_id", "part").agg(F.array_sort(F.collect_list(line)).alias("items"))
     totals = items.groupBy("bid_id").agg(F.count(F.lit(1)).alias("items_total"))
     return totals.join(lists, "bid_id")

@@ -135,14 +135,44 @@ def failure_streak(
     return out.withColumn("wait_ms", wait).select(*calls.columns, "streak", "wait_ms")
 
 
-def interval_merge(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of overlapping or touching spans per document."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("int")
-    island = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("_reach", reach).withColumn("_opens", opens).withColumn("_island", island)
-    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+def interval_merge(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int = 4096) -> DataFrame:
+    """Union of overlapping or touching spans per document.
+
+    Spans are cut into slices of ``width`` by their start, and looked at inside
+    (document, slice), so a document with very many spans is not one task. One row
+    a slice carries on how far earlier spans reach and where the last union began.
+    """
+    slices = [*keys, "_slice"]
+    cut = spans.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.floor(F.col(start) / width).alias("_slice"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: str, name: str) -> DataFrame:
+        each = rows.groupBy(*slices).agg(F.max(value).alias(value))
+        return each.select(*slices, F.max(value).over(before).alias(name))
+
+    def same(left: DataFrame, right: DataFrame) -> DataFrame:  # documents may be NULL
+        renamed = right.select(*[F.col(c).alias(f"_{c}_") for c in slices], *[c for c in right.columns if c not in slices])
+        return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in slices]).drop(*[f"_{c}_" for c in slices])
+
+    order = Window.partitionBy(*slices).orderBy("_s", "_e")
+    reach = F.greatest(F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reached"))
+    opened = same(cut, carried(cut, "_e", "_reached")).withColumn("_far", reach)
+    opened = opened.withColumn("_opens", F.when(F.col("_far").isNull() | (F.col("_s") > F.col("_far")), F.col("_s"))).drop("_far", "_reached")
+    inside = F.max("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    named = same(opened.withColumn("_inside", inside), carried(opened, "_opens", "_earlier"))
+    return named.groupBy(*keys, F.coalesce("_inside", "_earlier").alias(start)).agg(F.max("_e").alias(end))
+
+
+def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """1-based place of every row in its group, by ascending ``order``, without a window over a group.
+
+    All rows are ranked once over range partitions (see :func:`global_rank`); a
+    group's places count from its first rank, one row a group.
+    """
+    ranked = global_rank(df, [*group, *order], [True] * (len(group) + len(order)), "_rank")
+    first = ranked.groupBy(*[F.col(c).alias(f"_{c}_") for c in group]).agg(F.min("_rank").alias("_first"))
+    joined = ranked.join(first, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in group])  # groups may be NULL
+    return joined.select(*df.columns, (F.col("_rank") - F.col("_first") + 1).cast("int").alias(name))
 
 
 def topn_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -52,12 +52,12 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, bool]]
             yield [r["query_id"] for r in rows], matrix, blocks == 1
 
 
-def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | None, item: str, owner: str | None, probes: list[np.ndarray] | None):
+def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | None, item: str, owner: str | None, probes: list[np.ndarray] | None, each: int = 1):
     """Per task: distances of each batch to all queries, keeping a running top k per query.
 
     Everything tied with the k-th distance is kept, so the final cut by
     (distance, item) sees every row that could belong to it. With ``owner`` each
-    batch keeps the best item of an owner only. ``probes`` are the cells that each
+    batch keeps the ``each`` best items of an owner only. ``probes`` are the cells that each
     query looks into.
     """
 
@@ -90,7 +90,9 @@ def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | Non
                 at = np.flatnonzero(keep)
                 if owners is not None and len(at):
                     at = at[np.lexsort((keys[at], d[at], owners[at]))]
-                    at = at[np.concatenate(([True], owners[at][1:] != owners[at][:-1]))]
+                    new = np.concatenate(([True], owners[at][1:] != owners[at][:-1]))
+                    place = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                    at = at[place < each]
                 if len(at):
                     best.append(pd.DataFrame({"query_id": query, item: keys[at], **({owner: owners[at]} if owner else {}), "distance": d[at]}))
                     held += len(at)
@@ -107,14 +109,14 @@ def _local_hits(ids: list, matrix: np.ndarray, k: int | None, limit: float | Non
 
 
 def distances(
-    vectors: DataFrame, queries: DataFrame, item: str, k: int | None, limit: float | None = None, owner: str | None = None
+    vectors: DataFrame, queries: DataFrame, item: str, k: int | None, limit: float | None = None, owner: str | None = None, each: int = 1
 ) -> DataFrame:
     """(query_id, item, distance) of each query's candidates, exact.
 
     With ``k`` a task returns its k nearest (and ties) per query; the caller ranks
     them. With ``k`` None every row strictly under ``limit`` is returned, all rows
     if that is None too. ``owner`` (``k`` None only) adds that column and returns
-    the nearest item of each owner; batches are reduced in the scan, the caller
+    the ``each`` nearest items of each owner; batches are reduced in the scan, the caller
     reduces across them.
     """
     if owner and k is not None:
@@ -125,7 +127,7 @@ def distances(
     slim = vectors.select(item, *carried, "embedding").filter(F.col("embedding").isNotNull())
     out = None
     for ids, matrix, only in _query_blocks(queries):
-        made = slim.mapInPandas(_local_hits(ids, matrix, k, limit, item, owner, None), schema)
+        made = slim.mapInPandas(_local_hits(ids, matrix, k, limit, item, owner, None, each), schema)
         made = made if only else settle(made, "distances")
         out = made if out is None else out.unionByName(made)
     return vectors.sparkSession.createDataFrame([], schema) if out is None else out
@@ -289,8 +291,7 @@ def knn_within(chunks: DataFrame, docs: DataFrame, query: DataFrame, model: str,
     own = own.join(active.select("doc_id"), "doc_id", "left_semi")
     if bid_id is not None:
         return knn_exact(own, query, k, item="chunk_id")
-    hits = distances(own.withColumn("_place", F.struct("bid_id", "chunk_id")), query, "_place", None)
-    hits = hits.select("query_id", "_place.*", "distance")
+    hits = distances(own, query, "chunk_id", None, owner="bid_id", each=k)
     return windows.topn_per_group(hits, ["query_id", "bid_id"], [F.col("distance"), F.col("chunk_id")], k)
 
 
