@@ -38,6 +38,18 @@ def hex_bucket(digits: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, digits), 16, 10).cast("int")
 
 
+def packed_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of a table, whatever their names, as one struct beside an operator's own ones."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if columns is None else columns)])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be no column of the table."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
     """The arrays of a batch as one; an empty one if there are none."""
     return np.concatenate(parts) if parts else np.zeros(0, dtype)

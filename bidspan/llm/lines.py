@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidspan.llm.common import BLANKS, ascii_lower
+from bidspan.llm.common import BLANKS, ascii_lower, packed_row
 
 #: A key counts from this many code points, in this many documents.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -34,11 +34,12 @@ def drop_shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
     except that ones named as an added column are replaced.
     """
     added = ("kept_text", "n_lines", "n_dropped")
-    rows = docs.drop(*(c for c in docs.columns if c in added))
+    names = [c for c in docs.columns if c not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
     same_text = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    rows = docs.select(packed_row(docs, names).alias("row"), "doc_id", text.alias("text"), same_text.alias("text_hash"))
     lines = (
-        rows.select("doc_id", same_text.alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
@@ -55,21 +56,24 @@ def drop_shared_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs:
         .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
         .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     )
-    joined = rows.withColumn("_h", same_text).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("_h") == F.col("gone_hash")), "left")
-    parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    return joined.select(
-        *(F.col(f"`{c}`") for c in rows.columns),
-        F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")).alias("kept_text"),
-        F.size(parts).cast("long").alias("n_lines"),
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    cut = joined.select("row", "text", "gone", F.split("text", "\n", -1).alias("parts"))  # once a text, not once a line
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    done = cut.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("parts"), i)), "\n")).alias("kept_text"),
+        F.size("parts").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return done.select(*(F.col("row")[c].alias(c) for c in names), *added)
 
 
 def without_shared_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the kept text as ``text`` (and its length as ``n_chars``); all other columns, whatever their names, as they were."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped")}
-    kept = drop_shared_lines(docs.withColumnsRenamed(own), **how).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast("long"))
-    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
+    """``docs`` with the kept text as ``text`` (and its length as ``n_chars``); all other columns, whatever their names, as they were.
+
+    Odd rows as in :func:`drop_shared_lines`; a null text becomes the empty one.
+    """
+    whole = docs.select(packed_row(docs).alias("row"), "doc_id", "text")
+    kept = drop_shared_lines(whole, **how)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

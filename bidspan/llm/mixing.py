@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidspan.llm.common import WORD, Settled
+from bidspan.llm.common import WORD, Settled, packed_row
 
 #: Weights by rank of the source, repeating; share of all words that the mix takes; most takes of one word.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -16,6 +16,8 @@ BLOCK_WORDS = 1024
 STEP, POINTS = 1327217885, 2**31
 #: Documents of a source are ordered by 60 hash bits, of which the first 12 are the bucket that is summed on its own.
 ORDER_BITS, BUCKET_BITS = 60, 12
+#: Slots of the schedule beyond twice the number of blocks.
+SPARE_SLOTS = 64
 #: Slots whose ranks are counted together.
 SLOT_CHUNK = 65536
 
@@ -68,8 +70,11 @@ def mix_documents(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, mos
     Each source's documents, in hash order, form a line of words that is read
     over and over until the target is met, cut into blocks of ``block_words``.
     Golden-ratio points mapped through the cumulative targets say which source
-    fills a slot, and the n-th slot of a source takes its n-th block; blocks that
-    no slot reached follow behind the last slot.
+    fills a slot, and the n-th slot of a source takes its n-th block, so any
+    stretch of slots holds the sources near their shares. The schedule runs on
+    until all sources have had their blocks (twice as many slots as blocks, and
+    64); slots of a source that is through are skipped. Only a source whose share
+    is less than about one such slot can have blocks left: they follow behind.
 
     Columns: ``doc_id, source, size, source_size, target``, ``text_hash, bucket,
     place`` (which tell repeated rows apart), and per piece ``epoch, first_word,
@@ -89,7 +94,7 @@ def mix_documents(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, mos
         .withColumn("bucket", F.shiftright("ord", ORDER_BITS - BUCKET_BITS).cast("int"))
     )
     targets = settle(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most))
-    n_slots = int(targets.agg(F.coalesce(F.sum(F.ceil(F.col("target") / block_words)), F.lit(0))).first()[0])
+    n_slots = 2 * int(targets.agg(F.coalesce(F.sum(F.ceil(F.col("target") / block_words)), F.lit(0))).first()[0]) + SPARE_SLOTS
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = "coalesce(sum(n) over (partition by source order by bucket rows between unbounded preceding and 1 preceding), 0)"
     offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.expr(before).alias("before"))
@@ -128,8 +133,9 @@ def mix_documents(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, mos
 
 
 def taken_words(pieces: DataFrame) -> DataFrame:
-    """One row per document from the pieces of :func:`mix_documents`."""
-    return pieces.groupBy("doc_id", "source", "size", "source_size", "target", "text_hash", "bucket", "place").agg(F.sum("n_words").alias("taken"))
+    """One row per document from the pieces of :func:`mix_documents`: words taken, and the first slot that takes some."""
+    slot = F.min(F.when(F.col("n_words") > 0, F.col("slot"))).alias("slot")
+    return pieces.groupBy("doc_id", "source", "size", "source_size", "target", "text_hash", "bucket", "place").agg(F.sum("n_words").alias("taken"), slot)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -138,22 +144,26 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: one row of ``docs`` for each time that it is read, cut where the target ends.
-
-    Rows of which nothing is taken go; a row taken twice stands twice; the one row
-    of a source in which the target is met keeps its first words.
+    """The mix as documents, in the order of the schedule: one row of ``docs`` for each time that it is read, cut where the target ends.
+
+    Rows of which nothing is taken go, null and blank texts among them; a row taken
+    twice stands twice; the one row of a source in which the target is met keeps
+    its first words. Rows are dealt and sorted by the slot in which a read begins,
+    so a partition written from them holds a stretch of the schedule, in order.
+    Other columns, whatever their names, come back as they were, and ``n_chars``
+    follows the text.
     """
     key = ["doc_id", "source", "text_hash"]
     reads = mix_documents(docs, **how).where("n_words > 0")
-    reads = reads.groupBy(*key, "size", "bucket", "place", "epoch").agg(F.sum("n_words").alias("n_words"))
-    copies = reads.groupBy(*key, "size", "bucket", "place").agg(F.collect_list("n_words").alias("reads"))
+    reads = reads.groupBy(*key, "size", "bucket", "place", "epoch").agg(F.min("slot").alias("slot"), F.sum("n_words").alias("n_words"))
+    copies = reads.groupBy(*key, "size", "bucket", "place").agg(F.collect_list(F.struct("slot", "n_words")).alias("reads"))  # at most ``most`` each
     copies = copies.withColumn("copy", F.expr(f"row_number() over (partition by {', '.join(key)} order by bucket, place)"))
-    copies = copies.select(*(F.col(c).alias(f"_{c}") for c in (*key, "copy")), F.col("size").alias("_size"), F.col("reads").alias("_reads"))
-    rows = docs.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.expr("row_number() over (partition by doc_id, source, _h order by _h)"))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_text_hash")) & (F.col("_n") == F.col("_copy"))
-    out = rows.join(copies, on).withColumn("_take", F.explode("_reads"))
-    text = F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.xxhash64("text").alias("r_hash"))
+    rows = rows.withColumn("r_copy", F.expr("row_number() over (partition by r_id, r_source, r_hash order by r_hash)"))
+    on = F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_source").eqNullSafe(F.col("source")) & (F.col("r_hash") == F.col("text_hash")) & (F.col("r_copy") == F.col("copy"))
+    out = rows.join(copies, on).select("row", "size", F.inline("reads"))
+    whole = F.col("row")["text"]
+    text = F.when(F.col("n_words") < F.col("size"), first_words(whole, F.col("n_words"))).otherwise(whole)
+    out = out.select("row", "slot", text.alias("mixed")).repartitionByRange("slot").sortWithinPartitions("slot")
+    new = {"text": F.col("mixed"), "n_chars": F.char_length("mixed").cast("long")}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidspan.llm.common import free_name
+
 #: Labelled rows that the model is fitted on, at most: the least by hash of the id.
 MAX_TRAIN = 20_000
 #: One row in FOLDS is held out; a document counts as good from CUT.
@@ -218,6 +220,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, **how) -> DataFrame:
-    """The documents that score ``cut`` or more, as they are."""
-    scored = score_documents(docs, fit(docs, labels, **how), "_score")
-    return scored.where(F.col("_score") >= cut).drop("_score")
+    """The documents that score ``cut`` or more, as they are; null and empty texts are scored like any other."""
+    name = free_name(docs, "score")
+    scored = score_documents(docs, fit(docs, labels, **how), name)
+    return scored.where(F.col(name) >= cut).drop(name)

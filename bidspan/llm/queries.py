@@ -112,20 +112,27 @@ with d as (
   f as (select *, {mixing.MOST} * source_size as cap, {mixing.MOST} * source_size / weight as full_at from w),
   v as (select *, (sum(source_size) over () * {mixing.SHARE}::double - coalesce(sum(cap) over (order by full_at, rank rows between unbounded preceding and 1 preceding), 0)::double)
       / sum(weight) over (order by full_at, rank rows between current row and unbounded following) as level from f),
-  t as (select source, source_size, least(cap::double, weight * (select max(level) from v where level <= full_at)) as target from v),
+  t as (select source, rank, source_size, least(cap::double, weight * (select max(level) from v where level <= full_at)) as target from v),
+  e as (select rank, sum(target) over (order by rank rows unbounded preceding) / nullif(sum(target) over (), 0) as high from t),
+  ns as (select 2 * coalesce(sum(ceil(target / {mixing.BLOCK_WORDS})), 0)::bigint + {mixing.SPARE_SLOTS} as n from t),
+  sl as (
+    select slot, least(count(*) filter (high <= point) + 1, count(*)) as rank
+    from (select unnest(range(n)) as slot, (((slot + 1) % {mixing.POINTS}::bigint) * {mixing.STEP} % {mixing.POINTS}::bigint)::double / {mixing.POINTS} as point from ns), e group by slot),
+  sn as (select slot, rank, row_number() over (partition by rank order by slot) - 1 as block from sl),
   p as (
-    select d.*, t.source_size, t.target, round(t.target)::bigint as want,
+    select d.*, t.rank, t.source_size, t.target, round(t.target)::bigint as want,
       (sum(size) over (partition by d.source order by ord, doc_id nulls first, size rows between unbounded preceding and current row))::bigint - size as start
     from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
-  (greatest(0, least(start + size, want) - start) + greatest(0, least(source_size + start + size, want) - source_size - start))::bigint as taken
-from p"""
+  (greatest(0, least(start + size, want) - start) + greatest(0, least(source_size + start + size, want) - source_size - start))::bigint as taken,
+  case when size > 0 and start < want then coalesce(slot, (select n from ns) + start // {mixing.BLOCK_WORDS})::bigint end as slot
+from p left join sn on sn.rank = p.rank and sn.block = p.start // {mixing.BLOCK_WORDS}"""
 
 
 @query("op10_mixing", _OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(mixing.mix_documents(table(spark, sf_dir, "documents")))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 @query("op7_simhash")

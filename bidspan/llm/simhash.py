@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidspan.llm.common import Settled, components, join_labels, pair_groups, whole_groups
+from bidspan.llm.common import Settled, components, free_name, join_labels, pair_groups, whole_groups
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Runs of bits that fingerprints are divided into; ``BLOCKS - RADIUS`` of them are equal in any linked pair.
@@ -175,7 +175,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The document of each component whose id names it; rows without an id stay, repeated rows become one."""
-    found = simhash_components(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
-    stay = docs.join(found, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    """The document of each component whose id names it; rows without an id stay, repeated rows become one.
+
+    Null and blank texts share the fingerprint zero and are one component. All
+    columns come back as they were, whatever their names.
+    """
+    name = free_name(docs, "stays")
+    found = simhash_components(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    stay = docs.join(found, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.where("doc_id is null"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ LENGTH, GRAM, WINDOW = 400, 16, 256
 LETTER = GRAM + WINDOW
 #: Bytes of texts hashed together, texts handed to Python at a time, texts remembered by a task.
 CHUNK, TEXTS_A_BATCH, SEEN = 4_000_000, 256, 100_000
+#: Places that a task holds back until it knows whether others need them; beyond that they count as needed.
+PENDING = 50_000
 _END = 2**62
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
@@ -232,9 +235,10 @@ def _adjacent(length: int, floor: int):
     may begin in an earlier task, so nothing is entered for a task's first row.
 
     Equal suffixes are ordered by the bytes before them, so most places whose
-    strings all repeat see it at a neighbour (``twin``). One that sees it above, at
-    a place that is a twin too, needs no stack and bytes: whoever shares a part of
-    its strings shares them with the first of such places.
+    strings all repeat see it at a neighbour (``twin``). Only the first of such
+    neighbours can be needed by others: by a place that is no twin and shares the
+    rest of one of its strings. The next ones above and below tell; a place that
+    none of them reaches goes without stack and bytes, as do its followers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,15 +247,35 @@ def _adjacent(length: int, floor: int):
         levels: list[int] = []
         begins: list[int] = []
         waiting, n, first, last = None, 0, None, None
+        above, pending, rows = length, [], []  # above: bytes shared with the last place that is no twin; unknown at first
 
-        def give(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SORTED_TYPES)], names=names)
+        def bare(number: int, pos: int, low: int, high: int) -> tuple:
+            return number, pos, low, high, True, None, None, None, None, part, 0, None
 
-        def closed(w: tuple, here: int, down: bool) -> tuple:
-            number, pos, low, high, before, reach, stack, starts, up, spare = w
+        def close(here: int, down: bool) -> None:
+            nonlocal above
+            number, pos, low, high, before, reach, stack, starts, up, spare = waiting
             if spare:
-                return number, pos, low, high, True, None, None, None, None, part, 0, None
-            return number, pos, low, high, up or down, before, max(reach, here), stack, starts, part, 0, None
+                rows.append(bare(number, pos, low, high))
+                return
+            row = (number, pos, low, high, up or down, before, max(reach, here), stack, starts, part, 0, None)
+            if up or down:
+                if above >= length - high:
+                    rows.append(row)
+                else:
+                    heapq.heappush(pending, (high - length, n, row))
+                if len(pending) <= PENDING:
+                    return
+            else:
+                above = length
+                rows.append(row)
+            rows.extend(x[2] for x in pending)
+            pending.clear()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SORTED_TYPES)], names=names)
+                rows.clear()
 
         for b in batches:
             heads = b.column("head").to_pylist()
@@ -261,7 +285,6 @@ def _adjacent(length: int, floor: int):
                 first, shared = heads[0], [length, *_common(heads, length).tolist()]
             else:
                 shared = _common([last, *heads], length).tolist()
-            rows = []
             for k, (number, pos, low, high, before) in enumerate(zip(*[b.column(c).to_pylist() for c in ("run", "pos", "low", "high", "before")])):
                 here = max(shared[k], floor)
                 if n and here < length:
@@ -272,19 +295,23 @@ def _adjacent(length: int, floor: int):
                     begins.append((part << 33) + n)
                 up = spare = False
                 if waiting is not None:
-                    above = waiting[4]
-                    up = here >= length - low and before[:high] == above[:high]
-                    down = here >= length - waiting[2] and before[: waiting[3]] == above[: waiting[3]]
+                    up = here >= length - low and before[:high] == waiting[4][:high]
+                    down = here >= length - waiting[2] and before[: waiting[3]] == waiting[4][: waiting[3]]
                     spare = up and (waiting[8] or down)
-                    rows.append(closed(waiting, here, down))
+                    close(here, down)
+                    above = min(above, here)
+                    while pending and -pending[0][0] > here:
+                        rows.append(bare(*heapq.heappop(pending)[2][:4]))
                 waiting = (number, pos, low, high, before, here, list(levels), list(begins), up, spare)
                 n += 1
             last = heads[-1]
-            if rows:
-                yield give(rows)
+            yield from give()
         if waiting is not None:
             none = (None,) * 7
-            yield give([closed(waiting, length, False), (*none, [], [], part, 1, first), (*none, list(levels), list(begins), part, 2, last)])
+            close(length, False)
+            rows.extend(x[2] for x in pending)
+            rows.extend([(*none, [], [], part, 1, first), (*none, list(levels), list(begins), part, 2, last)])
+            yield from give()
 
     return run
 

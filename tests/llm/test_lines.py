@@ -1,3 +1,7 @@
+import time
+
+from pyspark.sql import functions as F
+
 from bidspan.llm import lines
 
 LONG, OTHER = "this line is certainly forty characters long", "another line that is also over forty characters"
@@ -19,6 +23,10 @@ def test_odd_rows(odd, frame):
     assert len(rows) == odd.count()
     assert {(r.kept_text, r.n_lines) for r in rows if r.doc_id in (2, 3)} == {("", 1)}
     assert [r.n_lines for r in rows if r.doc_id == 4] == [2]
+    wide = odd.withColumns({c: F.lit("mine") for c in ("gone", "gone_id", "gone_hash", "text_hash", "parts", "key")})
+    assert all(r[c] == "mine" for r in lines.drop_shared_lines(wide).collect() for c in ("gone", "gone_id", "text_hash", "parts", "_h", "row", "a.b"))
+    names = ("gone", "kept_text", "n_lines", "parts", "row")
+    assert all(r[c] == "mine" for r in lines.without_shared_lines(wide).collect() for c in names)
     empty = lines.drop_shared_lines(frame([]))
     assert empty.count() == 0 and "kept_text" in empty.columns
 
@@ -29,3 +37,14 @@ def test_repeated_ids_are_one_document(frame):
     out = lines.drop_shared_lines(frame([*four, (4, LONG + "\nx"), (None, LONG), (None, LONG)])).collect()
     assert {(r.doc_id, r.n_dropped) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 0), (None, 1)}
     assert all(r.n_dropped == 0 for r in lines.drop_shared_lines(frame([(None, LONG)] * 9)).collect())
+
+
+def test_one_text_of_very_many_lines(frame):
+    n = 50_000
+    many = "\n".join(LONG if i % 10 == 0 else f"own line {i}" for i in range(n))
+    docs = frame([(1, many), *[(k, LONG) for k in range(2, 7)]])
+    began = time.time()
+    found = {r.doc_id: r for r in lines.drop_shared_lines(docs).collect()}
+    assert found[1].n_lines == n and found[1].n_dropped == n // 10
+    assert found[1].kept_text == "\n".join(f"own line {i}" for i in range(n) if i % 10)
+    assert time.time() - began < 60

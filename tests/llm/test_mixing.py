@@ -71,12 +71,28 @@ def test_mixed_rows_take_effect(frame):
     assert words == {d: n for d, n in taken.items() if n}
 
 
+def test_rows_are_written_in_the_order_of_the_schedule(spark, frame):
+    docs = documents(frame, {"a": [40] * 900, "b": [40] * 700, "c": [40] * 800}).repartition(5)
+    parts = mixing.mixed_documents(docs, block_words=64).collect()
+    total = defaultdict(int)
+    for r in parts:
+        total[r.source] += len(r.text.split())
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    first = defaultdict(int)
+    for r in parts[:300]:  # the first windows
+        first[r.source] += len(r.text.split())
+    assert all(abs(first[s] / sum(first.values()) - share[s]) < 0.03 for s in share)
+    pieces = mixing.mix_documents(docs, block_words=64).where("n_words > 0").collect()
+    assert max(p.slot for p in pieces) < 1.2 * len({(p.source, p.block) for p in pieces})  # nothing waits behind the schedule
+
+
 def test_odd_rows(odd, frame):
     rows = mixing.taken_words(mixing.mix_documents(odd)).collect()
     assert len(rows) == odd.count()
     assert all(r.taken == 0 for r in rows if r.size == 0) and sum(r.source is None for r in rows) == 1
     assert mixing.mixed_documents(odd).where("doc_id = 2").count() == 0
-    assert set(mixing.mixed_documents(odd).columns) == set(odd.columns)
+    mixed = mixing.mixed_documents(odd.withColumns({c: F.lit("mine") for c in ("_take", "reads", "copy", "r_id", "mixed")}))
+    assert all(r[c] == "mine" for r in mixed.collect() for c in ("_h", "_take", "reads", "copy", "r_id", "mixed", "slot", "size", "a.b", "row"))
     assert mixing.mix_documents(frame([])).count() == 0
     assert mixing.mixed_documents(frame([])).count() == 0
     blank = mixing.taken_words(mixing.mix_documents(frame([(1, None), (2, "")]))).agg(F.sum("taken"), F.max("target")).first()

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bidspan.llm import lines, queries
@@ -62,9 +63,11 @@ def test_run_is_the_stages(spark, steps):
 
 
 def test_stages_take_odd_rows_and_empty_tables(spark, odd, frame):
-    for docs in (odd.repartition(2), frame([])):
+    mine = ["gone", "starts", "_stays", "stays", "_score", "_h", "_take", "score", "slot", "row"]
+    clashing = odd.withColumns({c: F.lit("mine") for c in mine})
+    for docs in (clashing.repartition(2), frame([])):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
-            out.count()
+            assert all(r[c] == "mine" for r in out.collect() for c in mine if c in out.columns)
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
