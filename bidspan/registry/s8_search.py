@@ -153,14 +153,26 @@ APPROX_LIMIT = 0.9
 CELLS = 16
 
 
-def cells(t, probe=None):
-    """The stored index of all vectors, searched: exactly, or in ``probe`` of its cells."""
+def stored_cells(t):
+    """Path of the cells of all vectors, written once per session and input."""
     key = (t.spark.sparkContext.applicationId, t.dir, "cells")
     if key not in _CELLS:
         path = kept_path(t.spark, "cells")
         vx.write_cells(t.vectors, vx.fit_centroids(t.vectors, CELLS, "bid_id"), path)
         _CELLS[key] = path
-    return vx.knn_cells(t.spark, _CELLS[key], t.themes, 10, APPROX_LIMIT, "bid_id", probe)
+    return _CELLS[key]
+
+
+def cells(t):
+    """The stored cells, searched exactly."""
+    return vx.knn_cells(t.spark, stored_cells(t), t.themes, 10, APPROX_LIMIT, "bid_id")
+
+
+def prepare(t):
+    """Write the stored indexes that the searches read; those that are there stay."""
+    for name in ("documents", "bids"):
+        stored_index(t, name)
+    stored_cells(t)
 
 
 NEAREST = f"SELECT query_id, bid_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, bid_id) AS rank FROM (SELECT q.query_id, v.bid_id, {COS} AS d FROM themes q, vectors v) WHERE d < {APPROX_LIMIT} QUALIFY rank <= 10"
