@@ -393,21 +393,16 @@ def error_groups(samples: DataFrame) -> DataFrame:
     return samples.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def threshold_sweep(hits: DataFrame, lexical: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+def threshold_sweep(extra: DataFrame, lexical: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Per threshold: median hybrid/lexical total ratio and queries without gain.
 
-    ``hits(query_id, distance, in_lexical)`` are semantic candidates,
-    ``lexical(query_id, lexical_total)`` the lexical totals. All thresholds are
-    counted in one pass over the hits.
+    ``extra(query_id, threshold, extra)`` counts semantic candidates under each
+    threshold that the lexical search missed (none: no row), as
+    ``vectors.counts_under`` gives them; ``lexical(query_id, lexical_total)`` are
+    the lexical totals. One row per query and threshold is all that is looked at.
     """
-    extra = [
-        F.count_if(~F.col("in_lexical") & (F.col("distance") < t)).alias(f"_x{i}") for i, t in enumerate(thresholds)
-    ]
-    per_query = lexical.join(hits.groupBy("query_id").agg(*extra), "query_id", "left")
-    rows = F.explode(
-        F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.coalesce(F.col(f"_x{i}"), F.lit(0)).alias("extra")) for i, t in enumerate(thresholds)])
-    )
-    flat = per_query.select("query_id", "lexical_total", rows.alias("_r")).select("query_id", "lexical_total", "_r.*")
+    asked = lexical.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    flat = asked.join(extra, ["query_id", "threshold"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
     ratio = F.try_divide(F.col("lexical_total") + F.col("extra"), F.col("lexical_total"))
     return flat.groupBy("threshold").agg(
         F.median(ratio).alias("median_ratio"), F.count_if(F.col("extra") == 0).alias("no_gain"), F.count(F.lit(1)).alias("queries")

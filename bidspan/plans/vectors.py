@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,6 +143,50 @@ def under_limit(vectors: DataFrame, queries: DataFrame, limit: float, item: str
     return distances(vectors, queries, item, None, limit)
 
 
+def counts_under(vectors: DataFrame, queries: DataFrame, thresholds: Sequence[float], known: str) -> DataFrame:
+    """``query_id, threshold, extra``: vectors nearer than each threshold that the query does not know yet.
+
+    ``known`` is the column with the ids of the queries that found the vector by
+    other means. Counted inside the scan: a task returns one row per query and
+    threshold, whatever it read.
+    """
+    limits = np.array(sorted(thresholds), dtype=np.float64)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, threshold double, extra long"
+
+    def counter(ids: list, matrix: np.ndarray):
+        column = {q: j for j, q in enumerate(ids)}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts = np.zeros((len(ids), len(limits)), np.int64)
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+                length = np.linalg.norm(v, axis=1)
+                new = np.repeat((length > 0)[:, None], len(ids), axis=1)
+                for i, found in enumerate(pdf[known]):
+                    for q in found if found is not None else ():
+                        if q in column:
+                            new[i, column[q]] = False
+                dist = 1.0 - (v / np.where(length > 0, length, 1.0)[:, None]) @ matrix.T
+                for j in range(len(ids)):
+                    counts[j] += np.searchsorted(np.sort(dist[new[:, j], j]), limits, side="left")
+            j, t = np.nonzero(counts)
+            yield pd.DataFrame({"query_id": [ids[x] for x in j], "threshold": limits[t], "extra": counts[j, t]})
+
+        return run
+
+    slim = vectors.select("embedding", known).filter(F.col("embedding").isNotNull())
+    parts = [vectors.sparkSession.createDataFrame([], schema)]
+    for ids, matrix, only in _query_blocks(queries):
+        made = slim.mapInPandas(counter(ids, matrix), schema)
+        parts.append(made if only else settle(made, "counts"))
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united.groupBy("query_id", "threshold").agg(F.sum("extra").alias("extra"))
+
+
 def full_ranking(hits: DataFrame, item: str) -> DataFrame:
     """``hits(query_id, item, distance, ...)`` with the ``rank`` of every row of its query: no cut, no one-task window."""
     ranked = windows.global_rank(hits, ["query_id", "distance", item], [True, True, True])

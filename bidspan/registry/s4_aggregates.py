@@ -299,10 +299,10 @@ WITH h AS ({SWEEP_HITS}), l AS (SELECT label::BIGINT AS query_id, count(*) AS to
 x AS (SELECT t AS threshold, l.query_id, l.total, count(*) FILTER (NOT in_lexical AND distance < t) AS extra FROM l JOIN h USING (query_id), (SELECT unnest({THRESHOLDS})::DOUBLE AS t) GROUP BY ALL)
 SELECT threshold, round(median((total + extra) / total), 6) AS median_ratio, count(*) FILTER (extra = 0) AS no_gain, count(*) AS queries FROM x GROUP BY threshold""")
 def _(t):
-    hits = vx.under_limit(t.vectors, t.themes, max(THRESHOLDS), "bid_id").join(t.vectors.select("bid_id", "label", "model"), "bid_id")
-    hits = hits.withColumn("in_lexical", (F.col("label") == F.col("query_id")) & (F.col("model") == MODEL))
+    known = t.vectors.withColumn("known", F.array(F.when(F.col("model") == MODEL, F.col("label")).cast(dict(t.themes.dtypes)["query_id"])))
+    extra = vx.counts_under(known, t.themes, THRESHOLDS, "known")
     lexical = t.vectors.filter(F.col("model") == MODEL).groupBy(F.col("label").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("lexical_total"))
-    return ag.threshold_sweep(hits, lexical, THRESHOLDS).withColumn("median_ratio", F.round("median_ratio", 6))
+    return ag.threshold_sweep(extra, lexical, THRESHOLDS).withColumn("median_ratio", F.round("median_ratio", 6))
 
 
 CHUNK_LIMIT = 0.9

@@ -77,3 +77,16 @@ def test_the_scan_keeps_k_items_of_each_owner(spark):
     for bid in range(3):
         want = sorted((x["distance"], x["chunk_id"]) for x in every if x["bid_id"] == bid)[:4]
         assert sorted((x["distance"], x["chunk_id"]) for x in few if x["bid_id"] == bid) == want
+
+
+def test_counts_under_thresholds(spark):
+    r = random.Random(6)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], [1, 2] if i % 5 == 0 else None) for i in range(200)] + [(900, [0.0] * 4, [1]), (901, None, None)]
+    items = spark.createDataFrame(rows, "item_id int, embedding array<double>, known array<int>").repartition(3)
+    queries = spark.createDataFrame([(q, [r.gauss(0, 1) for _ in range(4)]) for q in (1, 2, 3)], "query_id int, embedding array<double>")
+    far = {(x["query_id"], x["item_id"]): x["distance"] for x in vx.distances(items, queries, "item_id", None).collect()}
+    told = {i: set(k or ()) for i, _, k in rows}
+    limits = [0.1, 0.7, 1.2]
+    want = {(q, t): sum(d < t for (p, i), d in far.items() if p == q and q not in told[i]) for q in (1, 2, 3) for t in limits}
+    found = {(x["query_id"], x["threshold"]): x["extra"] for x in vx.counts_under(items, queries, limits, "known").collect()}
+    assert found == {k: n for k, n in want.items() if n}
