@@ -1,8 +1,8 @@
-"""Rows in global order of their keys: how many are smaller, and whether another has the same keys."""
+"""Rows in global order of their keys: how many are smaller, and which share their keys with another."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from bidspan.llm.common import Settled
 
-_ADDED = "less0 long, less1 long, twin boolean, leads boolean, at_start boolean, at_end boolean, part int, mark int, total0 long, total1 long"
-_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_RANKED = "less0 long, less1 long, at_start boolean, part int, mark int, total0 long, total1 long"
+_PAIRED = "twin boolean, at_start boolean, at_end boolean, part int, mark int"
 
 
 def _differs(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
@@ -27,95 +28,108 @@ def _differs(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return out
 
 
-def _counted(keys: list[str], ties: list[str], twins_only: bool):
+def _streamed(batches: Iterator[pa.RecordBatch], keys: list[str], ties: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
+    """Batches with whether each row's keys are new, and whether it is the last; the last row of a batch comes with the next one too.
+
+    Rows equal in keys and ties are one.
+    """
+    held, held_new = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        again = np.flatnonzero(np.concatenate(([True], _differs(t, [*keys, *ties]))))
+        t = t if len(again) == t.num_rows else t.take(pa.array(again))
+        new = np.concatenate(([held_new], _differs(t, keys)))
+        yield t, new, False
+        held, held_new = t.slice(t.num_rows - 1), bool(new[-1])
+    if held is not None:
+        yield held, np.array([held_new]), True
+
+
+def _with(rows: pa.RecordBatch, added: str, values: list, keys: list[str], mark: int = 0) -> pa.RecordBatch:
+    """Rows with further columns; a marker row keeps its keys only."""
+    named = [x.split() for x in added.split(", ")]
+    columns = rows.columns if not mark else [c if name in keys else pa.nulls(1, c.type) for name, c in zip(rows.schema.names, rows.columns)]
+    more = [v if isinstance(v, pa.Array) else pa.array(v, _KINDS[kind]) for v, (_, kind) in zip(values, named)]
+    return pa.RecordBatch.from_arrays([*columns, *more], names=[*rows.schema.names, *(name for name, _ in named)])
+
+
+def _counted(keys: list[str], ties: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held, held_new, first, base, less, runs, schema = None, True, None, [0, 0], [0, 0], 0, None
-
-        def out(rows: pa.RecordBatch, added: list, mark: int = 0) -> pa.RecordBatch:
-            columns = rows.columns if not mark else [c if name in keys else pa.nulls(1, c.type) for name, c in zip(rows.schema.names, rows.columns)]
-            values = [pa.array(v, t) if not isinstance(v, pa.Array) else v for v, t in zip(added, _TYPES)]
-            return pa.RecordBatch.from_arrays([*columns, *values], schema=schema)
-
-        def ready(t: pa.RecordBatch, done: bool) -> Iterator[pa.RecordBatch]:
-            """All rows of ``t`` but the last, which waits for its successor; at the end it too."""
-            nonlocal held, held_new, less, runs
-            n = t.num_rows
-            new = np.concatenate(([held_new], _differs(t, keys)))
-            kind = t.column("kind").to_numpy()
-            ex = [base[k] + np.concatenate(([0], np.cumsum(kind == k)[:-1])) for k in (0, 1)]
+        part, first, base, less, runs = TaskContext.get().partitionId(), None, [0, 0], [0, 0], 0
+        for t, new, done in _streamed(batches, keys, ties):
+            first = t.slice(0, 1) if first is None else first
+            n, kind = t.num_rows, t.column("kind").to_numpy()
             start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            smaller = [np.where(start >= 0, ex[k][start], less[k]) for k in (0, 1)]
+            smaller = [np.where(start >= 0, (base[k] + np.concatenate(([0], np.cumsum(kind == k)[:-1])))[start], less[k]) for k in (0, 1)]
             number = runs + np.cumsum(new)
-            twin = ~new
-            twin[:-1] |= ~new[1:]
             give = n if done else n - 1
-            at_end = np.zeros(give, bool)
+            if give:
+                none = pa.nulls(give, pa.int64())
+                yield _with(t.slice(0, give), _RANKED, [smaller[0][:give], smaller[1][:give], number[:give] == 1, np.full(give, part, np.int32), np.zeros(give, np.int32), none, none], keys)
+            less = [int(s[-1]) for s in smaller]
             if done:
-                at_end[-1] = True
-            pick = np.arange(give)
-            if twins_only:
-                pick = np.flatnonzero(twin[:give] | (number[:give] == 1) | at_end)
+                totals = [base[k] + int((kind == k).sum()) for k in (0, 1)]
+                yield _with(first, _RANKED, [[0], [0], [None], [part], [1], [totals[0]], [totals[1]]], keys, 1)
+                yield _with(t, _RANKED, [[less[0]], [less[1]], [None], [part], [2], [None], [None]], keys, 2)
+            else:
+                base = [base[k] + int((kind[:give] == k).sum()) for k in (0, 1)]
+                runs = int(number[-1]) - int(new[-1])
+
+    return run
+
+
+def _paired(keys: list[str], ties: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, runs = TaskContext.get().partitionId(), None, 0
+        for t, new, done in _streamed(batches, keys, ties):
+            first = t.slice(0, 1) if first is None else first
+            number, twin = runs + np.cumsum(new), ~new
+            twin[:-1] |= ~new[1:]
+            give = t.num_rows if done else t.num_rows - 1
+            pick = np.arange(give) if done else np.flatnonzero(twin[:give] | (number[:give] == 1))
             if len(pick):
-                same = [smaller[0][pick], smaller[1][pick], twin[pick], new[pick], number[pick] == 1, at_end[pick], np.full(len(pick), part), np.zeros(len(pick))]
-                yield out(t.take(pa.array(pick)), [*same[:7], same[7].astype(np.int32), pa.nulls(len(pick), pa.int64()), pa.nulls(len(pick), pa.int64())])
+                yield _with(t.take(pa.array(pick)), _PAIRED, [twin[pick], number[pick] == 1, np.full(len(pick), done), np.full(len(pick), part, np.int32), np.zeros(len(pick), np.int32)], keys)
             if done:
-                less = [int(smaller[0][-1]), int(smaller[1][-1])]
-                return
-            for k in (0, 1):
-                base[k] += int((kind[:give] == k).sum())
-            less, runs = [int(smaller[0][-1]), int(smaller[1][-1])], int(number[-1]) - int(new[-1])
-            held, held_new = t.slice(n - 1), bool(new[-1])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if schema is None:
-                schema = pa.schema([*b.schema, *[pa.field(x.split()[0], t) for x, t in zip(_ADDED.split(", "), _TYPES)]])
-                first = b.slice(0, 1)
-            t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            again = np.flatnonzero(np.concatenate(([True], _differs(t, [*keys, *ties]))))  # rows of the same keys and ties are one
-            t = t if len(again) == t.num_rows else t.take(pa.array(again))
-            yield from ready(t, False)
-        if held is not None:
-            last = held
-            kind = last.column("kind")[0].as_py()
-            yield from ready(last, True)
-            totals = [base[0] + (kind == 0), base[1] + (kind == 1)]
-            yield out(first, [[0], [0], [None], [None], [None], [None], [part], [1], [totals[0]], [totals[1]]], 1)
-            yield out(last, [[less[0]], [less[1]], [None], [None], [None], [None], [part], [2], [None], [None]], 2)
+                yield _with(first, _PAIRED, [[None], [None], [None], [part], [1]], keys, 1)
+                yield _with(t, _PAIRED, [[None], [None], [None], [part], [2]], keys, 2)
+            runs = int(number[-1]) - int(new[-1])
 
     return run
 
 
-def ranked_runs(rows: DataFrame, keys: list[str], ties: list[str], settle: Settled, *, kind: Column | None = None, twins_only: bool = False) -> DataFrame:
-    """``rows`` with ``less0, less1, twin, leads``, keyed by ``keys`` and told apart by ``ties``.
+def _sorted(rows: DataFrame, keys: list[str], ties: list[str], settle: Settled, run: Callable, added: str) -> DataFrame:
+    """One sort by range, streamed through ``run``: keys that very many rows share are dealt by their ties, so no key is one task's."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = rows.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
+    return settle(dealt.mapInArrow(run(keys, ties), f"{schema}, {added}"))
 
-    ``less0`` and ``less1`` count the rows of kind 0 and 1 with smaller keys;
-    ``twin``: another row has the same keys; ``leads``: the first of its keys in its
-    task. ``twins_only`` leaves the other rows out. Rows equal in keys and ties are one.
 
-    One sort by range: keys that very many rows share are dealt by their ties, so
-    no key is one task's, and every task streams its rows. A task cannot see its
-    neighbours' rows; two marker rows a task carry its totals and outermost keys,
-    from which sums and flags are completed.
+def ranked_runs(rows: DataFrame, keys: list[str], ties: list[str], settle: Settled, *, kind: Column | None = None) -> DataFrame:
+    """``rows`` with ``less0`` and ``less1``: how many rows of kind 0 and 1 have smaller ``keys``; ``ties`` tell rows of equal keys apart.
+
+    Rows equal in keys and ties are one. A task cannot see its neighbours' rows:
+    two marker rows a task carry its totals and outermost keys, from which the
+    counts are completed.
     """
-    named = rows.withColumn("kind", (kind if kind is not None else F.lit(0)).cast("int"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    dealt = named.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
-    found = settle(dealt.mapInArrow(_counted(keys, ties, twins_only), f"{schema}, {_ADDED}"))
+    found = _sorted(rows.withColumn("kind", (kind if kind is not None else F.lit(0)).cast("int")), keys, ties, settle, _counted, _RANKED)
     marks = found.where("mark > 0").select("part", "mark", *keys, "less0", "less1", "total0", "total1")
     before = "coalesce(sum({0}) over (order by part rows between unbounded preceding and 1 preceding), 0)"
     offsets = marks.where("mark = 1").select("part", F.expr(before.format("total0")).alias("o0"), F.expr(before.format("total1")).alias("o1"))
     placed = marks.join(offsets, "part")
-    same = placed.groupBy(*keys).agg(F.min(F.col("o0") + F.col("less0")).alias("s0"), F.min(F.col("o1") + F.col("less1")).alias("s1"), (F.count_distinct("part") > 1).alias("wide"))
-    known = placed.join(same, keys)
-    by_part = known.groupBy("part").agg(
-        F.max("o0").alias("o0"), F.max("o1").alias("o1"), *[F.max(F.when(F.col("mark") == 1, F.col(c))).alias(c) for c in ("s0", "s1")],
-        F.bool_or((F.col("mark") == 1) & F.col("wide")).alias("wide_start"), F.bool_or((F.col("mark") == 2) & F.col("wide")).alias("wide_end"),
-    )
+    same = placed.groupBy(*keys).agg(F.min(F.col("o0") + F.col("less0")).alias("s0"), F.min(F.col("o1") + F.col("less1")).alias("s1"))
+    by_part = placed.where("mark = 1").join(same, keys).select("part", "o0", "o1", "s0", "s1")
     joined = found.where("mark = 0").drop("mark", "total0", "total1").join(F.broadcast(by_part), "part")  # one row a task
-    twin = F.col("twin") | (F.col("at_start") & F.col("wide_start")) | (F.col("at_end") & F.col("wide_end"))
     less = [F.when(F.col("at_start"), F.col(f"s{k}")).otherwise(F.col(f"o{k}") + F.col(f"less{k}")).alias(f"less{k}") for k in (0, 1)]
-    out = joined.select(*rows.columns, *less, twin.alias("twin"), "leads")
-    return out.where("twin") if twins_only else out
+    return joined.select(*rows.columns, *less)
+
+
+def twin_rows(rows: DataFrame, keys: list[str], ties: list[str], settle: Settled) -> DataFrame:
+    """The ``rows`` whose ``keys`` another row has too, told apart by ``ties``; rows equal in both are one."""
+    found = _sorted(rows, keys, ties, settle, _paired, _PAIRED)
+    marks = found.where("mark > 0").select("part", "mark", *keys)
+    wide = marks.groupBy(*keys).agg((F.count_distinct("part") > 1).alias("wide"))
+    by_part = marks.join(wide, keys).groupBy("part").agg(*[F.bool_or((F.col("mark") == m) & F.col("wide")).alias(name) for m, name in ((1, "wide_start"), (2, "wide_end"))])
+    joined = found.where("mark = 0").join(F.broadcast(by_part), "part")  # one row a task
+    return joined.where("twin or (at_start and wide_start) or (at_end and wide_end)").select(*rows.columns)

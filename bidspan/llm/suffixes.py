@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidspan.llm.common import Settled, small_batches
-from bidspan.llm.sorted_runs import ranked_runs
+from bidspan.llm.sorted_runs import ranked_runs, twin_rows
 
 #: Length of the strings that may not repeat; grams and windows of grams that choose the places of the suffix array.
 LENGTH, GRAM, WINDOW = 400, 16, 256
@@ -373,7 +373,7 @@ def repeated_starts(texts: DataFrame, settle: Settled, length: int = LENGTH) ->
     with settle.scope() as keep:
         with small_batches(spark, TEXTS_A_BATCH):
             sieved = settle(texts.mapInArrow(_sieve(length), "digest binary, pos long, h long"))
-        alive = ranked_runs(sieved, ["h"], ["digest", "pos"], settle, twins_only=True).groupBy("digest").agg(F.collect_list("pos").alias("kept"))
+        alive = twin_rows(sieved, ["h"], ["digest", "pos"], settle).groupBy("digest").agg(F.collect_list("pos").alias("kept"))
         settle.drop(sieved)
         once = texts.groupBy("digest").agg(F.first("body").alias("body"))
         with small_batches(spark, TEXTS_A_BATCH):
@@ -397,7 +397,7 @@ def repeated_starts(texts: DataFrame, settle: Settled, length: int = LENGTH) ->
         "run", "pos", "low", "high", "before", "reach", F.concat(F.slice("below", F.lit(1), F.col("under")), "levels").alias("levels"), F.concat(F.slice("above", F.lit(1), F.col("under")), "begins").alias("begins")
     )
     strings = whole.mapInArrow(_strings_of(length), "run long, p long, k1 long, k2 long")
-    single = ranked_runs(strings, ["k1", "k2"], ["run", "p"], settle, twins_only=True).select("run", "p")
+    single = twin_rows(strings, ["k2", "k1"], ["run", "p"], settle).select("run", "p")  # the hash first: sorting meets few ties
     island = single.withColumn("island", F.expr("p - row_number() over (partition by run order by p)")).groupBy("run", "island").agg(F.min("p").alias("first"), F.max("p").alias("last"))
     starts = found.where("twin").select("run", (F.col("pos") - F.col("high")).alias("first"), (F.col("pos") - F.col("low")).alias("last")).unionByName(island.drop("island"))
     return starts.join(runs.select("run", "digest"), "run").select("digest", "first", "last")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bidspan.llm import suffixes
 from bidspan.llm.common import Settled
-from bidspan.llm.sorted_runs import ranked_runs
+from bidspan.llm.sorted_runs import ranked_runs, twin_rows
 
 
 def brute(texts, length):
@@ -85,16 +85,15 @@ def test_ranks_equal_sorted_suffixes(spark):
 def test_smaller_rows_and_twins(spark):
     r = random.Random(9)
     rows = [(r.choice([0, 0, 0, 0, 1, 2, 3]) * r.choice([1, 1, 100]), i, i % 2) for i in range(3000)] + [(777, 9999, 0)]
-    df = spark.createDataFrame(rows, "k long, id long, side int").repartition(7)
+    df = spark.createDataFrame([*rows, *rows[:50]], "k long, id long, side int").repartition(7)  # repeated rows are one
     settle = Settled(spark, "test")
     found = ranked_runs(df, ["k"], ["id"], settle, kind=F.col("side")).collect()
-    keys = [k for k, _, _ in rows]
-    count = Counter(keys)
+    count = Counter(k for k, _, _ in rows)
     assert len(found) == len(rows)
-    for x in found:
-        assert x.twin == (count[x.k] > 1)
-        assert (x.less0, x.less1) == tuple(sum(k < x.k and s == side for k, _, s in rows) for side in (0, 1)) if x.id % 97 == 0 else True
-    assert {x.id for x in ranked_runs(df, ["k"], ["id"], settle, twins_only=True).collect()} == {i for k, i, _ in rows if count[k] > 1}
+    want = {k: tuple(sum(x < k and s == side for x, _, s in rows) for side in (0, 1)) for k in count}
+    assert all((x.less0, x.less1) == want[x.k] for x in found)
+    assert sorted(x.id for x in twin_rows(df, ["k"], ["id"], settle).collect()) == sorted(i for k, i, _ in rows if count[k] > 1)
+    assert twin_rows(df.limit(0), ["k"], ["id"], settle).count() == ranked_runs(df.limit(0), ["k"], ["id"], settle).count() == 0
 
 
 def test_places_of_equal_strings_are_equal():
