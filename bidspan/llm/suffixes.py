@@ -169,7 +169,7 @@ def suffix_ranks(level: DataFrame, settle: Settled, length: int) -> DataFrame:
     far have neighbouring ranks, in any order.
     """
     if level.where(F.col("upto") - F.col("pos") < length).limit(1).count() == 0:
-        return level.select("run", "s", "i", (F.col("c") - 1).alias("r"))
+        return settle(level.select("run", "s", "i", (F.col("c") - 1).alias("r")))
     with settle.scope() as keep:
         return keep(_merged_ranks(level, settle, length))
 
