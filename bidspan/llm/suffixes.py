@@ -302,7 +302,8 @@ def _adjacent(length: int, floor: int):
                     above = min(above, here)
                     while pending and -pending[0][0] > here:
                         rows.append(bare(*heapq.heappop(pending)[2][:4]))
-                waiting = (number, pos, low, high, before, here, list(levels), list(begins), up, spare)
+                stack = (None, None) if spare else (list(levels), list(begins))
+                waiting = (number, pos, low, high, before, here, *stack, up, spare)
                 n += 1
             last = heads[-1]
             yield from give()
