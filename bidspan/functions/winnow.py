@@ -52,18 +52,24 @@ def winnow(data: bytes, gram: int, window: int) -> np.ndarray:
     return np.unique(np.minimum(back[:n], ahead[window - 1 : window - 1 + n]))
 
 
-def text_keys(form: Column, tiers: list[tuple[int, int]]) -> Column:
-    """Distinct winnowed hashes of a text for all the ``tiers`` (gram, window) in use."""
+def short_form(key: Column) -> Column:
+    """The low 16 bits of a hash: few enough values to keep a set of them beside a text."""
+    return key.bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def text_keys(form: Column, tiers: list[tuple[int, int]], short: Column) -> Column:
+    """Distinct winnowed hashes of a text for all the ``tiers`` (gram, window) in use, of those in ``short`` only; null means all."""
 
     @F.pandas_udf("array<bigint>")
-    def keys(forms: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray:
+    def keys(forms: pd.Series, shorts: pd.Series) -> pd.Series:
+        def one(text: str | None, few: np.ndarray | None) -> np.ndarray:
             data = (text or "").encode()
-            return np.concatenate([winnow(data, *t) for t in tiers]).view(np.int64)
+            found = np.concatenate([winnow(data, *t) for t in tiers]).view(np.int64)
+            return found if few is None else found[np.isin(found & 0xFFFF, few)]
 
-        return forms.map(one)
+        return pd.Series([one(*row) for row in zip(forms, shorts)], dtype="object")
 
-    return keys(form)
+    return keys(form, short)
 
 
 def probe_key(probe: Column) -> Column:

@@ -145,6 +145,10 @@ def update_seen(catalog: DataFrame, seen: DataFrame) -> DataFrame:
     return catalog.join(newest, "control_no", "left").withColumn("seen_at", F.coalesce("_seen", "seen_at")).drop("_seen")
 
 
+#: Most short forms of a bid's probes that are looked for inside a text; beyond, the join alone decides.
+PROBES = 4096
+
+
 def quote_matches(quotes: DataFrame, sources: DataFrame, on: list[str] | None = None, min_chars: int = 12) -> DataFrame:
     """(quote_id, source_id) where every fragment of the quote occurs in the source.
 
@@ -155,7 +159,10 @@ def quote_matches(quotes: DataFrame, sources: DataFrame, on: list[str] | None =
       (see :mod:`bidspan.functions.winnow`): a text that holds the probe has that
       gram among its own winnowed ones, of which there is one in every 33
       characters for long quotes, 7 for middling and 3 for short ones;
-    - candidates come from an equi join on that hash, in one pass over the texts
+    - a text meets the short forms of its bid's probes first (a set of at most
+      ``PROBES`` of ``2 ** 16`` values) and leaves only the grams found there; a bid
+      with more probes leaves all of its grams, which is linear in its texts;
+    - candidates come from an equi join on the whole hash, in one pass over the texts
       for all lengths, so a bid with very many quotes and sources spreads over as
       many hash values as it has texts;
     - survivors are checked with ``contains`` on the comparison form, the second
@@ -175,7 +182,10 @@ def quote_matches(quotes: DataFrame, sources: DataFrame, on: list[str] | None =
     if not tiers:  # no quote long enough to prove anything
         ids = f"quote_id {dict(q.dtypes)['quote_id']}, source_id {dict(forms.dtypes)['source_id']}"
         return quotes.sparkSession.createDataFrame([], ids)
-    texts = forms.select("source_id", *on, F.explode(winnow.text_keys(F.col("_form"), tiers)).alias("_h"))
+    short = F.collect_set(winnow.short_form(F.col("_h"))).alias("_short")
+    sieve = q.groupBy(*on).agg(short).withColumn("_short", F.when(F.size("_short") <= PROBES, F.col("_short")))
+    met = forms.join(sieve, on) if on else forms.withColumn("_short", sieve.select("_short").scalar())
+    texts = met.select("source_id", *on, F.explode(winnow.text_keys(F.col("_form"), tiers, F.col("_short"))).alias("_h"))
     candidates = q.select("quote_id", *on, "_parts", "_h").join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id")
     checked = candidates.join(forms.select("source_id", "_form"), "source_id")
     return checked.filter(F.forall("_parts", lambda p: F.contains(F.col("_form"), p))).select("quote_id", "source_id")

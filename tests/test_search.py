@@ -261,6 +261,23 @@ def test_quotes_of_every_length_from_anywhere_are_found(spark):
     assert {tuple(x) for x in joins.quote_matches(q, s).collect()} == want and len(want) > 100
 
 
+def test_texts_leave_only_the_grams_that_probes_have(spark, monkeypatch):
+    from bidspan.functions import winnow
+
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefghij klmno pqrs") for _ in range(3000))
+    df = spark.createDataFrame([(0, text, text[700:760])], "source_id int, text string, quote string")
+    key = df.select(winnow.probe_key(F.col("quote")).alias("h"))
+    kept = df.crossJoin(key).withColumn("short", F.array(winnow.short_form(F.col("h"))))
+    got = kept.select("h", winnow.text_keys(F.col("text"), [(12, 13)], F.col("short")).alias("k"), winnow.text_keys(F.col("text"), [(12, 13)], F.lit(None).cast("array<int>")).alias("all")).first()
+    assert got["h"] in got["k"] and len(got["k"]) <= 2 and len(got["all"]) > 200
+    quotes = spark.createDataFrame([(i, i % 2, text[i * 50 : i * 50 + 40]) for i in range(40)], "quote_id int, bid_id int, quote string")
+    sources = spark.createDataFrame([(i, i % 2, text[i * 1000 : i * 1000 + 1100]) for i in range(3)], "source_id int, bid_id int, text string")
+    sieved = [sorted(map(tuple, joins.quote_matches(quotes, sources, on=on).collect())) for on in ([], ["bid_id"])]
+    monkeypatch.setattr(joins, "PROBES", 1)
+    assert [sorted(map(tuple, joins.quote_matches(quotes, sources, on=on).collect())) for on in ([], ["bid_id"])] == sieved and all(sieved)
+
+
 def test_winnowed_grams_are_few():
     from bidspan.functions import winnow
 
