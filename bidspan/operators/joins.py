@@ -107,7 +107,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, km: float, salts: int = 1) -
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append("_salt")
     dist = geo.haversine(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2"))
-    return a.join(b, on).withColumn("km", dist).filter(F.col("km") <= km).select("left_id", "right_id", "km")
+    # The size check sees the rows before they are copied, so a broadcast would hold all copies in the driver.
+    return a.join(b.hint("merge"), on).withColumn("km", dist).filter(F.col("km") <= km).select("left_id", "right_id", "km")
 
 
 def with_config(rows: DataFrame, config: DataFrame, columns: list[str]) -> DataFrame:

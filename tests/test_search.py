@@ -278,6 +278,12 @@ def test_texts_leave_only_the_grams_that_probes_have(spark, monkeypatch):
     assert [sorted(map(tuple, joins.quote_matches(quotes, sources, on=on).collect())) for on in ([], ["bid_id"])] == sieved and all(sieved)
 
 
+def test_copied_points_are_not_broadcast(spark):
+    pts = spark.range(50).select(F.col("id").alias("left_id"), (F.col("id") / 7.0).alias("lat"), (F.col("id") / 5.0).alias("lon"))
+    plan = joins.radius_pairs(pts, pts.withColumnRenamed("left_id", "right_id"), 60.0, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_winnowed_grams_are_few():
     from bidspan.functions import winnow
 
