@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,15 +88,28 @@ def fulltext(text: Column, term: str, fold_accents: bool = True) -> Column:
 def phrase(text: Column, wanted: str) -> Column:
     """The words of the phrase stand next to each other, after stemming."""
     line = F.concat(F.lit(" "), F.array_join(F.transform(words(text), stem), " "), F.lit(" "))
-    parts = [re.sub(STEM_PATTERN, r"\1", w) for w in re.split("[^a-z0-9]+", classify.plain_fold(wanted)) if w]
-    return F.contains(line, F.lit(" " + " ".join(parts) + " "))
+    return F.contains(line, F.lit(" " + " ".join(_stems(wanted)) + " "))
+
+
+def _stems(wanted: str) -> list[str]:
+    """Stemmed words of a phrase, stop words included, on the driver."""
+    return [re.sub(STEM_PATTERN, r"\1", w) for w in re.split("[^a-z0-9]+", classify.plain_fold(wanted)) if w]
 
 
 def all_any_none(text: Column, all_: Sequence[str] = (), any_: Sequence[str] = (), none: Sequence[str] = (), phrase_: str = "") -> Column:
-    """Web-style search given as lists instead of a query string."""
+    """Web-style search given as lists instead of a query string.
+
+    As in :func:`fulltext`, texts without the stems themselves are told first.
+    """
     row = tokens(text)
     one = lambda w: has_all(row, query_tokens(w))
-    cond = F.lit(True)
+
+    def possible(base: Column) -> Column:
+        held = lambda terms: reduce(and_, [F.contains(base, F.lit(t)) for t in terms], F.lit(True))
+        some = reduce(or_, [held(query_tokens(w)) for w in any_], F.lit(not any_))
+        return reduce(and_, [held(query_tokens(w)) for w in all_], some) & held(_stems(phrase_))
+
+    cond = tx.let(tx.fold(text), possible)
     for w in all_:
         cond = cond & one(w)
     if any_:

@@ -200,3 +200,21 @@ def test_json(one):
     assert one(jsonx.unwrap, '{"a":1}') == '{"a":1}'
     assert one(jsonx.unwrap, '{"resultado": "texto"}') == '{"resultado": "texto"}'
     assert one(lambda c: jsonx.typed(c, "a int"), "nada")["a"] is None
+
+
+def test_fold_gives_the_table_for_every_letter(spark):
+    source, target = tx._fold_table()
+    texts = ["plain", "", "AÇÃO É ÓTIMA", "Ǿ e ñ ÿ", "co̧digo", "ß𝄞İ", None, *source]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~tx.fold(F.col("t")).eqNullSafe(F.translate(F.lower("t"), source, target))).count() == 0
+    assert "contains" not in tx.fold(F.col("t"))._jc.toString() and "octet_length" in df.select(tx.fold(F.col("t")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_word_lists_tell_texts_without_the_stems_first(spark):
+    from bidspan.plans import index
+
+    df = spark.createDataFrame([(0, "Reforma da Escola"), (1, "escolas, construções urgentes"), (2, "construção de escola"), (3, "praça"), (4, None), (5, "escolar reformado")], "id int, t string")
+    cond = index.all_any_none(F.col("t"), ["escola"], ["reforma", "construções"], ["urgente", "urgent"])
+    assert [r["id"] for r in df.filter(cond).orderBy("id").collect()] == [0, 2]
+    assert [r["id"] for r in df.filter(index.all_any_none(F.col("t"), phrase_="reforma da escola")).collect()] == [0]
+    assert "contains" in df.filter(cond)._jdf.queryExecution().optimizedPlan().toString().lower()
