@@ -173,8 +173,8 @@ def _(t):
 
 @query("cls_document_type", f"SELECT source_type, title, {w.document_type('source_type', 'title')} AS doc_type, count(*) AS n FROM raw_docs GROUP BY ALL")
 def _(t):
-    typed = t.raw_docs.withColumn("doc_type", classify.document_type(F.col("source_type"), F.col("title")))
-    return typed.groupBy("source_type", "title", "doc_type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = t.raw_docs.groupBy("source_type", "title").agg(F.count(F.lit(1)).alias("n"))  # the type depends on these two alone
+    return kinds.select("source_type", "title", classify.document_type(F.col("source_type"), F.col("title")).alias("doc_type"), "n")
 
 
 @query("cls_document_relevance", f"SELECT doc_id, {s2.RELEVANCE} AS relevance FROM docs")

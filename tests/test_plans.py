@@ -1,5 +1,7 @@
 """Shape of the physical plans: what must reach the scan, and what must never appear."""
 
+import re
+
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +49,10 @@ def test_group_limits_run_before_the_shuffle(tables):
 def test_one_document_filter_reads_documents_once(tables):
     text = plan(fl.has_document(tables.bid_core.select("bid_id"), tables.docs, ["edital", "projeto", "orcamento"]).select("bid_id"))
     assert text.count("l_orderkey") and text.count("Scan parquet") + text.count("FileScan parquet") <= 4 and "LeftSemi" in text
+
+
+def test_document_types_are_counted_before_they_are_classified(spark):
+    from bidspan.registry import all as registry
+
+    plan = registry.queries()["cls_document_type"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[source_type#\d+, title#\d+\], ", plan)
