@@ -180,7 +180,7 @@ def _(t):
 @query("cls_document_relevance", f"SELECT doc_id, {s2.RELEVANCE} AS relevance FROM docs")
 def _(t):
     rel = classify.document_relevance(F.col("name"), F.col("source_type"), F.col("doc_type"), F.col("active"), F.col("url"))
-    return t.docs.select("doc_id", rel.alias("relevance"))
+    return t.titled_docs.select("doc_id", rel.alias("relevance"))
 
 
 @query("cls_file_type", """
@@ -204,7 +204,7 @@ CHECK_SQL = ", ".join(
 @query("cls_checklist", f"SELECT bid_id, {', '.join(CHECK)}, ({' + '.join(f + '::INT' for f in CHECK)})::INT AS ready FROM (SELECT bid_id, {CHECK_SQL} FROM docs GROUP BY bid_id)")
 def _(t):
     flags = classify.checklist_row_flags(F.col("doc_type"), F.col("name"))
-    per_bid = t.docs.groupBy("bid_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
+    per_bid = t.titled_docs.groupBy("bid_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
     return per_bid.withColumn("ready", sum((F.col(n).cast("int") for n in flags), F.lit(0)))
 
 

@@ -51,6 +51,20 @@ def test_one_document_filter_reads_documents_once(tables):
     assert text.count("l_orderkey") and text.count("Scan parquet") + text.count("FileScan parquet") <= 4 and "LeftSemi" in text
 
 
+def test_titles_are_classified_once_per_distinct_value(spark, tables):
+    from bidspan.functions import classify
+    from bidspan.functions import text as tx
+    from bidspan.operators import projections
+
+    raw = tables.raw_docs.unionByName(tables.raw_docs.limit(2).withColumns({"source_type": F.lit(None).cast("string"), "title": F.lit(None).cast("string")}))
+    rules = {"doc_type": classify.document_type(F.col("source_type"), F.col("title")), "name": tx.clean_title(F.col("title"))}
+    once = projections.per_distinct(raw, raw, ["source_type", "title"], rules)
+    directly = raw.withColumns(rules).select(*once.columns)
+    assert once.exceptAll(directly).count() == 0 and directly.exceptAll(once).count() == 0
+    for rows in (once, tables.titled_docs):
+        assert "translate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_document_types_are_counted_before_they_are_classified(spark):
     from bidspan.registry import all as registry
 
