@@ -333,7 +333,7 @@ WITH entries AS (
 SELECT b.bid_id, coalesce(state, 'pendente') AS docs_state, coalesce(state, 'pendente') <> 'completo' AS docs_pending, section, place, entry
 FROM bids b LEFT JOIN doc_state USING (bid_id) LEFT JOIN entries USING (bid_id)""")
 def _(t):
-    return projections.detail_view(t.bid_core, t.docs, t.history, t.doc_state)
+    return projections.detail_view(t.bid_core, t.titled_docs, t.history, t.doc_state)
 
 
 @query("shortlist_view", """

@@ -245,7 +245,7 @@ SELECT b.bid_id, b.score AS old_score, {w.score('object', 'modality', 'value', '
 SELECT count(*) FILTER (old_score <> new_score) AS changed, count(*) FILTER (old_score < 60 AND new_score >= 60) AS now_crossing, count(*) FILTER (old_score >= 60 AND new_score < 60) AS no_longer_crossing,
   count(*) FILTER (old_score < 60 AND new_score >= 60 AND coalesce(open_now, false)) AS crossing_and_open FROM ({RESCORE})""")
 def _(t):
-    return ag.rescore_impact(incremental.rescore(t.bid_core, t.docs, t.now), 60)
+    return ag.rescore_impact(incremental.rescore(t.bid_core, t.titled_docs, t.now), 60)
 
 
 COVERAGE = """
