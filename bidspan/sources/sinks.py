@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from bidspan.operators import projections
-from bidspan.session import exists, remove
+from bidspan.session import exists, make_folder, move, remove
 
 
 class Snapshot:
@@ -65,11 +65,10 @@ class KeyedTable:
     """A table in a fixed number of partitions by the hash of its key.
 
     A batch reads and rewrites the partitions its keys fall into and no other. They
-    are written beside the table (``stage``), then moved into it by a dynamic
-    partition overwrite (``commit``), which removes what they replace; the copy
-    beside goes when the log row is there. A commit that died half-way left its
-    copy, and the next one who opens the table finishes it. Readers that need one
-    version read between commits.
+    are written beside the table (``stage``), once; ``commit`` writes the log row and
+    moves their folders into the table, in place of those they replace. A commit
+    that died half-way left the folders it had not moved, and the next one who
+    opens the table finishes it. Readers that need one version read between commits.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, parts: int = 32):
@@ -110,6 +109,8 @@ class KeyedTable:
         path = f"{self.path}/staged/v={version}"
         rows.withColumn("part", self.part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
         whole = list(range(self.parts)) if parts is None else list(parts)
+        for part in whole:
+            make_folder(self.spark, f"{path}/part={part}")  # one that got no row replaces what it held, too
         self._log("ready", version, rows, whole)
         return self._staged(version, rows.schema)
 
@@ -128,22 +129,22 @@ class KeyedTable:
         self._log("log", version, self.spark.createDataFrame([], columns), row["parts"])
         if before is not None:
             remove(self.spark, f"{self.path}/log/{before}")
-        self._publish(version, columns, row["parts"])
+        self._publish(version, row["parts"])
 
-    def _publish(self, version: int, columns: StructType, parts: Sequence[int]) -> None:
-        rows = self._staged(version, columns).withColumn("part", self.part())
-        rows.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/data")
-        filled = set(self.touched(rows))
+    def _publish(self, version: int, parts: Sequence[int]) -> None:
+        """Move the staged folders into the table: nothing is read or written again, and repeating it is harmless."""
+        staged = f"{self.path}/staged/v={version}"
         for part in parts:
-            if part not in filled:  # an overwrite leaves partitions alone that got no row
-                remove(self.spark, f"{self.path}/data/part={part}")
+            source = f"{staged}/part={part}"
+            if exists(self.spark, source):
+                move(self.spark, source, f"{self.path}/data/part={part}")
         remove(self.spark, f"{self.path}/ready")
         remove(self.spark, f"{self.path}/staged")
 
     def _recover(self) -> None:
         ready, now = self._rows("ready"), self.current()
         if ready is not None and now is not None and ready["version"] == now:
-            self._publish(now, StructType.fromJson(json.loads(ready["columns"])), ready["parts"])
+            self._publish(now, ready["parts"])
 
     def write(self, rows: DataFrame, version: int, parts: Sequence[int] | None = None) -> bool:
         """Stage and commit; a version already logged is left alone."""

@@ -157,6 +157,37 @@ def test_an_interrupted_commit_is_finished_by_the_next_who_opens(spark, tmp_path
     assert again.current() == 1 and sorted(r["k"] for r in again.read().collect()) == list(range(12))
 
 
+def test_a_commit_moves_what_was_staged(spark, tmp_path):
+    table = KeyedTable(spark, f"{tmp_path}/t", "k", 4)
+    table.write(spark.range(20).toDF("k"), 0)
+    table.stage(spark.range(50).toDF("k"), 1)
+    written = {os.path.basename(f) for f in files_of(f"{tmp_path}/t/staged")}
+    table.commit(1)
+    assert {os.path.basename(f) for f in files_of(f"{tmp_path}/t/data")} == written and table.read().count() == 50
+
+
+def test_a_commit_interrupted_between_two_moves_is_finished(spark, tmp_path, monkeypatch):
+    from bidspan.sources import sinks
+
+    table = KeyedTable(spark, f"{tmp_path}/t", "k", 4)
+    table.write(spark.range(40).toDF("k"), 0)
+    moves, move = [], sinks.move
+
+    def broken(*args):
+        moves.append(args)
+        if len(moves) == 3:
+            raise OSError("lost")
+        move(*args)
+
+    monkeypatch.setattr(sinks, "move", broken)
+    with pytest.raises(OSError):  # two partitions are moved, one of the four gets no row
+        table.write(table.read().filter(table.part() != 1).unionByName(spark.range(40, 80).toDF("k").filter(table.part() != 1)), 1)
+    monkeypatch.setattr(sinks, "move", move)
+    again = KeyedTable(spark, f"{tmp_path}/t", "k", 4)
+    want = spark.range(80).toDF("k").filter(again.part() != 1)
+    assert again.current() == 1 and sorted(r["k"] for r in again.read().collect()) == sorted(r["k"] for r in want.collect())
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, "event string, job int, n int, at string").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
 
