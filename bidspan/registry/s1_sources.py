@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidspan.functions import classify, hashing, scoring
 from bidspan.functions import text as tx
-from bidspan.operators import joins, merge, projections
+from bidspan.operators import joins, merge, projections, windows
 from bidspan.registry import twin as w
 from bidspan.registry.core import query
 from bidspan.registry.tables import NOW
@@ -144,8 +144,6 @@ def _(t):
 @query("map_document", f"""
 SELECT bid_id, seq, doc_type, source_type, name, url, active, {sql_stamp(w.to_utc('published_at'))} AS published_at FROM docs WHERE seq <> 5""")
 def _(t):
-    from bidspan.operators import windows
-
     rows = document_rows(t)
     m = projections.map_document(rows.withColumns({"tipoDocumentoDescricao": F.lit(None).cast("string"), "uri": F.lit(None).cast("string"), "position": F.col("version")}))
     m = windows.dedup_documents(m.filter(F.col("seq").isNotNull()), F.col("position"))
@@ -260,13 +258,18 @@ CSV = " || ';' || ".join(
 )
 
 
+def export_bids(t):
+    """Bids with the number of their active documents; no titles go through the shuffle."""
+    flags = windows.dedup_documents(t.raw_docs.select("bid_id", "seq", "active", "version"), F.col("version"))
+    return joins.scalar_count(t.bids, flags.filter("active"))
+
+
 @query("csv_export", f"""
 SELECT {CSV} || chr(13) AS line FROM bids LEFT JOIN (SELECT bid_id, count(*) AS n FROM docs WHERE active GROUP BY bid_id) USING (bid_id)
 UNION ALL SELECT '{HEADER}' || chr(13)""")
 def _(t):
     path = fresh_path(t.spark, "csv")
-    bids = joins.scalar_count(t.bids, t.docs.filter("active"))
-    sinks.write_csv(bids.orderBy("bid_id"), t.now, path)
+    sinks.write_csv(export_bids(t).orderBy("bid_id"), t.now, path)
     return t.spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
 
 

@@ -26,3 +26,8 @@ def test_prompt_items_come_numbered_and_counted_from_one_pass(spark):
     found = {(r["bid_id"], r["part"]): (r["items_total"], [(i["place"], i["number"]) for i in r["items"]]) for r in parts.collect()}
     assert found == {(1, 0): (5, [(1, 1), (2, 1)]), (1, 1): (5, [(3, 2), (4, 3)]), (1, 2): (5, [(5, 5)]), (2, 0): (1, [(1, 1)])}
     assert "<=>" not in plan_of(parts)  # a null-safe key would be shuffled again for the parts
+
+
+def test_export_counts_documents_without_their_titles(tables):
+    bids = s1.export_bids(tables)
+    assert DOC_NAMES[0] not in plan_of(bids) and "docs_total" in bids.columns
