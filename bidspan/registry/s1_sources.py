@@ -160,7 +160,7 @@ def item_rows(t):
 
 
 def item_lines(t, path):
-    item_rows(t).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    item_rows(t).select(F.to_json(F.struct("*")).alias("value")).write.option("compression", "gzip").text(path)
     return readers.items_array(t.spark, path)
 
 

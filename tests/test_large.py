@@ -31,3 +31,10 @@ def test_prompt_items_come_numbered_and_counted_from_one_pass(spark):
 def test_export_counts_documents_without_their_titles(tables):
     bids = s1.export_bids(tables)
     assert DOC_NAMES[0] not in plan_of(bids) and "docs_total" in bids.columns
+
+
+def test_received_lines_are_stored_compressed(tables, tmp_path):
+    rows = s1.item_lines(tables, f"{tmp_path}/items")
+    names = [n for n in os.listdir(f"{tmp_path}/items") if n.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") or n.endswith(".txt.gz") for n in names)
+    assert rows.count() == tables.items.count()
