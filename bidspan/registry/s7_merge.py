@@ -258,13 +258,13 @@ def _(t):
 DELAY = "2 days"  # far below the month that the events span
 
 
-def arriving(t, df, again):
-    """The table as a stream source of two files: every third event arrives in the second, and part of the first again."""
-    path = fresh_path(t.spark, "events")
+def arriving(t, df, again, run):
+    """``run(stream, checkpoint)`` over the table in two arrivals: every third event comes in the second, and part of the first again."""
+    path, checkpoint = fresh_path(t.spark, "events"), fresh_path(t.spark, "ckpt")
     k = F.col("event_id") % 3
     for part in (df.filter(k != 2), df.filter(k == 2).unionByName(df.filter(again))):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return sj.file_stream(t.spark, path, df.schema, files_per_trigger=1)
+        part.write.mode("append").parquet(path)
+        run(sj.file_stream(t.spark, path, df.schema), checkpoint)
 
 
 def update_run(t, stream, keys):
@@ -277,7 +277,7 @@ def update_run(t, stream, keys):
 def _(t):
     events = t.calls.select("event_id", "job_id", "event_type", "ts")
     out = fresh_path(t.spark, "out")
-    sj.stream_dedup(arriving(t, events, "event_type <> 'view'"), out, fresh_path(t.spark, "ckpt"), "event_id", "ts", DELAY)
+    arriving(t, events, "event_type <> 'view'", lambda stream, checkpoint: sj.stream_dedup(stream, out, checkpoint, "event_id", "ts", DELAY))
     return sj.deduplicated(t.spark, out, sj.ddl(events), "event_id", DELAY).select("event_id", "job_id", "event_type")
 
 
@@ -315,7 +315,7 @@ def _(t):
     events = t.calls.select("event_id", "job_id", "latency_ms", "timeouts", "ts")
     sums = {"latency_ms": F.col("latency_ms"), "timeouts": F.col("timeouts"), "requests": F.lit(1)}
     out = fresh_path(t.spark, "out")
-    sj.stream_metrics(arriving(t, events, "timeouts = 0"), out, fresh_path(t.spark, "ckpt"), "job_id", "event_id", sums, "ts", DELAY)
+    arriving(t, events, "timeouts = 0", lambda stream, checkpoint: sj.stream_metrics(stream, out, checkpoint, "job_id", "event_id", sums, "ts", DELAY))
     return sj.metrics(t.spark, out, sj.ddl(events), "job_id", "event_id", sums, DELAY)
 
 
@@ -323,6 +323,6 @@ def _(t):
 def _(t):
     events = t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     out = fresh_path(t.spark, "out")
-    sj.stream_day_counts(arriving(t, events, "false"), out, fresh_path(t.spark, "ckpt"), "ts", DELAY)
+    arriving(t, events, "false", lambda stream, checkpoint: sj.stream_day_counts(stream, out, checkpoint, "ts", DELAY))
     counted = sj.day_counts(t.spark, out, sj.ddl(events), "ts")
     return counted.select(F.date_format("local_day", "yyyy-MM-dd").alias("day"), "n")

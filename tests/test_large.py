@@ -38,3 +38,15 @@ def test_received_lines_are_stored_compressed(tables, tmp_path):
     names = [n for n in os.listdir(f"{tmp_path}/items") if n.startswith("part-")]
     assert names and all(n.endswith(".json.gz") or n.endswith(".txt.gz") for n in names)
     assert rows.count() == tables.items.count()
+
+
+def test_an_arrival_is_not_one_file(spark, tables):
+    held = []
+    events = spark.range(0, 4000, 1, 4).select(F.col("id").alias("event_id"))
+    s7.arriving(tables, events, "event_id < 300", lambda stream, checkpoint: held.append((stream.isStreaming, checkpoint)))
+    assert len(held) == 2 and held[0] == held[1]
+    from bidspan import session
+
+    folder = next(p for p in reversed(session._made) if "/events-" in p)
+    stored = spark.read.parquet(folder)
+    assert len(stored.inputFiles()) >= 8 and stored.count() == 4300
