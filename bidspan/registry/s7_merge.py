@@ -57,7 +57,7 @@ def _(t):
 def refresh_case(t):
     """Two bids in three answered again: active documents listed, titles changed."""
     k = F.col("bid_id")
-    cols = t.docs.select("bid_id", "seq", "doc_type", "name", "url", "active")
+    cols = t.titled_docs.select("bid_id", "seq", "doc_type", "name", "url", "active")
     fresh = cols.filter((k % 3 != 0) & F.col("active")).withColumns({"name": F.concat("name", F.lit(" v2")), "position": F.col("seq")})
     more = fresh.filter(F.col("seq") == 1).withColumns({"seq": F.lit(99), "position": F.lit(99)})
     return cols, fresh.unionByName(more), t.bid_core.filter(k % 3 != 0).select("bid_id")

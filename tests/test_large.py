@@ -50,3 +50,12 @@ def test_an_arrival_is_not_one_file(spark, tables):
     folder = next(p for p in reversed(session._made) if "/events-" in p)
     stored = spark.read.parquet(folder)
     assert len(stored.inputFiles()) >= 8 and stored.count() == 4300
+
+
+@pytest.mark.parametrize("name", ["merge_documents"])
+def test_titles_are_classified_once_per_distinct_one(spark, monkeypatch, name):
+    def row_by_row(self):
+        raise AssertionError("every row classified")
+
+    monkeypatch.setattr(Tables, "docs", property(row_by_row))
+    assert registry.queries()[name](spark, SF).columns
