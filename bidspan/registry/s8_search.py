@@ -32,7 +32,7 @@ PAGE = ["bid_id", "control_no", "object", "CAST(value AS DOUBLE) AS value", "ope
 
 @query("search_lexical", f"SELECT {PAGE_COLS}, (SELECT count(*) FROM ({MATCHED})) AS total, 'lexical' AS mode FROM ({MATCHED}) m ORDER BY closes_at NULLS LAST, bid_id LIMIT 25 OFFSET 25")
 def _(t):
-    page = se.search_lexical(t.bids, t.docs, t.cities, WANTED, fl.Context(now=t.now), "deadline", "asc", 25, 25, shortlist=t.shortlist, doc_state=t.doc_state)
+    page = se.search_lexical(t.bids, t.titled_docs, t.cities, WANTED, fl.Context(now=t.now), "deadline", "asc", 25, 25, shortlist=t.shortlist, doc_state=t.doc_state)
     return page.selectExpr(*PAGE)
 
 
@@ -126,7 +126,7 @@ def _(t):
     """The vectoriser failed, so there is no query vector: the lexical page, marked."""
     verdict = se.search_fallback(se.HybridConfig(), True, WANTED["term"])
     page = se.search_hybrid(
-        t.bids, t.docs, t.cities, t.vectors, t.chunks, None, None, WANTED, None, fl.Context(now=t.now), key="value", direction="desc", shortlist=t.shortlist, doc_state=t.doc_state
+        t.bids, t.titled_docs, t.cities, t.vectors, t.chunks, None, None, WANTED, None, fl.Context(now=t.now), key="value", direction="desc", shortlist=t.shortlist, doc_state=t.doc_state
     )
     return page.selectExpr(*PAGE).withColumn("degraded", F.lit(verdict["degraded"]))
 

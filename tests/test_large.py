@@ -52,7 +52,7 @@ def test_an_arrival_is_not_one_file(spark, tables):
     assert len(stored.inputFiles()) >= 8 and stored.count() == 4300
 
 
-@pytest.mark.parametrize("name", ["merge_documents"])
+@pytest.mark.parametrize("name", ["merge_documents", "search_lexical", "search_fallback"])
 def test_titles_are_classified_once_per_distinct_one(spark, monkeypatch, name):
     def row_by_row(self):
         raise AssertionError("every row classified")
