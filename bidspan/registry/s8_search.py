@@ -74,10 +74,9 @@ def _(t):
 SELECT {w.stem('token')} AS token, count(DISTINCT doc_id) AS documents, count(*) AS occurrences, sum(position)::BIGINT AS positions FROM (
   SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS position FROM (SELECT doc_id, {w.words('text')} AS ws FROM documents)) WHERE token NOT IN ({w.STOPS}) GROUP BY 1""")
 def _(t):
-    path = fresh_path(t.spark, "index")
-    ix.write_index(ix.postings(t.raw("documents"), "doc_id", F.col("text")), "doc_id", path)
+    index = ix.TextIndex.write(t.raw("documents"), "doc_id", F.col("text"), fresh_path(t.spark, "index"))
     total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
-    return t.spark.read.parquet(path).groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"), F.sum(total).alias("positions"))
+    return index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"), F.sum(total).alias("positions"))
 
 
 CONFIG = se.HybridConfig(model=MODEL, distance_limit=0.97)

@@ -338,3 +338,12 @@ def test_best_row_ignores_partitioning(spark):
     df = spark.createDataFrame([(i % 3, (i * 7) % 50, i) for i in range(200)], "k int, v int, i int")
     got = {tuple(r) for r in wn.best_row(df.repartition(7), ["k"], F.struct("v", "i")).collect()}
     assert got == {tuple(r) for r in wn.best_row(df.coalesce(1), ["k"], F.struct("v", "i")).collect()}
+
+
+def test_postings_of_odd_texts_without_lambdas(spark, monkeypatch):
+    monkeypatch.setattr(ix, "WORDS_AT_ONCE", 2)
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "de da o"), (4, "Ação: casas, ações de casa"), (None, "x y x")], "doc_id long, text string").coalesce(1)
+    posts = ix.postings(docs, "doc_id", F.col("text"))
+    got = {(r.doc_id, r.token, r.length, r.tf, tuple(r.positions)) for r in posts.collect()}
+    assert got == {(4, "aca", 4, 1, (0,)), (4, "aco", 4, 1, (2,)), (4, "cas", 4, 2, (1, 4)), (None, "x", 3, 2, (0, 2)), (None, "y", 3, 1, (1,))}
+    assert "array_sort" not in posts._jdf.queryExecution().optimizedPlan().toString()
