@@ -107,3 +107,19 @@ def test_places_of_equal_strings_are_equal():
         assert sorted(starts) == list(range(-n, 900 + 200 - 400 + 1))  # every start has one place
         found.append([starts[p] for p in range(500)])
     assert found[0] == found[1] == found[2]
+
+
+def test_beginnings_are_read_from_every_stack():
+    import pyarrow as pa
+
+    stacks = [[144, 150, 390], [144], [144, 399]]
+    begins = [[10 * k + i for i in range(len(v))] for k, v in enumerate(stacks)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    rows = [[7, 8, 9], [900, 800, 700], [0, 3, 0], [255, 20, 2], [b"x" * 255] * 3, [400] * 3, stacks, begins]
+    batch = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names="run pos low high before reach levels begins".split())
+    out = pa.Table.from_batches(suffixes._strings_of(400)(iter([batch])))
+    want = []
+    for k, (low, high) in enumerate(zip(rows[2], rows[3])):
+        for d in range(low, high + 1):
+            want.append((rows[0][k], rows[1][k] - d, begins[k][max(i for i, v in enumerate(stacks[k]) if v < 400 - d)]))
+    assert list(zip(*(out.column(c).to_pylist() for c in ("run", "p", "k1")))) == want
