@@ -7,7 +7,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +35,25 @@ ANCHORS = [
 TYPE_ORDER = {"edital": 0, "anexo": 1, "outro": 2, "projeto": 3, "orcamento": 4}
 
 
-def _per_text(schema: str, cut: Callable[[str], list]) -> Callable[[Column], Column]:
-    @F.pandas_udf(schema)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Characters of texts that are Python objects at a time.
+SLICE = 1 << 20
+
+
+def _per_text(schema: str, kind: pa.DataType, cut: Callable[[str], list]) -> Callable[[Column], Column]:
+    """``cut`` of every text; a batch is taken in slices, so that its memory does not follow its rows."""
+
+    @F.arrow_udf(schema)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else cut(t))
+            done, held, size = [], [], 0
+            for t in texts:
+                raw = t.as_py()
+                held.append(None if raw is None else cut(raw))
+                size += len(raw or "")
+                if size >= SLICE:
+                    done.append(pa.array(held, kind))
+                    held, size = [], 0
+            yield pa.concat_arrays([*done, pa.array(held, kind)])
 
     return apply
 
@@ -75,7 +89,7 @@ def chunk_overlap(
         made = (body[a:b].strip() for a, b in _spans(len(body), spaces, size, CHUNK_SHARE * size, min(overlap, size - 1)))
         return [piece for piece in made if piece][:max_chunks]
 
-    return _per_text("array<string>", cut)(text)
+    return _per_text("array<string>", pa.list_(pa.string()), cut)(text)
 
 
 def split_lossless(text: Column, cap: int = BLOCK_CHARS) -> Column:
@@ -87,7 +101,7 @@ def split_lossless(text: Column, cap: int = BLOCK_CHARS) -> Column:
         after_gap = [m.end() for m in re.finditer("[ \n]", raw)]
         return [raw[a:b] for a, b in _spans(len(raw), after_gap, cap, int(BLOCK_SHARE * cap))]
 
-    return _per_text("array<string>", cut)(text)
+    return _per_text("array<string>", pa.list_(pa.string()), cut)(text)
 
 
 def anchor_spans(text: Column, patterns: list[str] | None = None) -> Column:
@@ -101,7 +115,8 @@ def anchor_spans(text: Column, patterns: list[str] | None = None) -> Column:
             for m in rx.finditer(raw)
         ]
 
-    return _per_text("array<struct<pattern:int,start:int,end:int>>", find)(text)
+    span = pa.struct([("pattern", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+    return _per_text("array<struct<pattern:int,start:int,end:int>>", pa.list_(span), find)(text)
 
 
 def anchor_count(text: Column, pattern: str) -> Column:

@@ -97,3 +97,11 @@ def test_global_rank_equals_row_number(spark):
     got = {r["id"]: r["rank"] for r in windows.global_rank(df, ["v", "id"], [False, True]).collect()}
     want = sorted(data, key=lambda d: (d[1] is None, -(d[1] or 0), d[0]))
     assert all(got[d[0]] == i for i, d in enumerate(want, 1))
+
+
+def test_slices_of_a_batch_are_cut_as_one(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "SLICE", 10)
+    rows = [(1, "abc def ghi"), (2, None), (3, ""), (4, "x" * 25), (5, "y z")]
+    out = spark.createDataFrame(rows, "k int, text string").coalesce(1).select("k", pieces.chunk_overlap(F.col("text"), 10, 2).alias("c"))
+    got = {r.k: r.c for r in out.collect()}
+    assert got[2] is None and got[3] == [] and got[5] == ["y z"] and got[4] == ["x" * 10, "x" * 10, "x" * 9] and got[1][0] == "abc def gh"
