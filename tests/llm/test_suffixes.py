@@ -123,3 +123,36 @@ def test_beginnings_are_read_from_every_stack():
         for d in range(low, high + 1):
             want.append((rows[0][k], rows[1][k] - d, begins[k][max(i for i, v in enumerate(stacks[k]) if v < 400 - d)]))
     assert list(zip(*(out.column(c).to_pylist() for c in ("run", "p", "k1")))) == want
+
+
+def test_any_three_letters_cover_the_length():
+    for length in (280, 300, 400, 1000):
+        assert suffixes.letter_bytes(length) >= suffixes.LETTER and suffixes.letter_bytes(length) + 2 >= length  # so one level of recursion is enough
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_small_clusters_are_told_apart_in_pairs(letters):
+    """Beginnings and rests of places of one cluster, against every string compared with every other."""
+    r, length = random.Random(len(letters)), 400
+    core = "".join(r.choice(letters) for _ in range(600))
+    for _ in range(30):
+        made = []
+        for k in range(r.randint(1, 9)):
+            before = core[r.randint(0, 250) : 255] if r.random() < 0.8 else core[:255]
+            before = ("x" + before[1:]) if r.random() < 0.5 else before
+            rest = core[255 : 255 + r.randint(250, 345)] + "".join(r.choice(letters) for _ in range(400))
+            low = r.randint(0, min(20, len(before)))
+            made.append((rest[:length].encode(), before[::-1].encode(), k, low, r.randint(low, len(before))))
+        made.sort()
+        levels, begins, cluster = [], [], []
+        for n, (head, before, k, low, high) in enumerate(made):
+            shared = suffixes._common([made[n - 1][0], head], length)[0] if n else 144
+            if shared < length:
+                while levels and levels[-1] >= shared:
+                    levels.pop(), begins.pop()
+                levels.append(int(shared)), begins.append(n)
+            cluster.append((n, (k, 1000, low, high, False, before, length, list(levels), list(begins), 0, 0, None)))
+        found = {(x[0], d) for x in suffixes._repeated(cluster, length) for d in range(x[2], x[3] + 1)}
+        string = lambda x, d: x[1][:d][::-1] + x[0][: length - d]
+        want = {(x[2], d) for x in made for d in range(x[3], x[4] + 1) if any(y is not x and len(y[1]) >= d and string(y, d) == string(x, d) for y in made)}
+        assert found == want
