@@ -167,7 +167,7 @@ def quote_matches(quotes: DataFrame, sources: DataFrame, on: list[str] | None =
       for all lengths, so a bid with very many quotes and sources spreads over as
       many hash values as it has texts;
     - survivors are checked with ``contains`` on the comparison form, the second
-      and last time that texts are read.
+      and last time that texts are read; only those of survivors are formed again.
 
     Quotes with fewer than ``min_chars`` comparable characters match nothing.
     """
@@ -187,6 +187,7 @@ def quote_matches(quotes: DataFrame, sources: DataFrame, on: list[str] | None =
     sieve = q.groupBy(*on).agg(short).withColumn("_short", F.when(F.size("_short") <= PROBES, F.col("_short")))
     met = forms.join(sieve, on) if on else forms.withColumn("_short", sieve.select("_short").scalar())
     texts = met.select("source_id", *on, F.explode(winnow.text_keys(F.col("_form"), tiers, F.col("_short"))).alias("_h"))
-    candidates = q.select("quote_id", *on, "_parts", "_h").join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id")
-    checked = candidates.join(forms.select("source_id", "_form"), "source_id")
+    candidates = settle(q.select("quote_id", *on, "_parts", "_h").join(texts, [*on, "_h"]).select("quote_id", "_parts", "source_id"), "candidates")
+    met = sources.join(candidates.select("source_id").distinct(), "source_id", "left_semi")  # other texts are neither formed again nor moved
+    checked = candidates.join(met.select("source_id", tx.compare_form(F.col("text")).alias("_form")), "source_id")
     return checked.filter(F.forall("_parts", lambda p: F.contains(F.col("_form"), p))).select("quote_id", "source_id")

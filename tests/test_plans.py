@@ -70,3 +70,14 @@ def test_document_types_are_counted_before_they_are_classified(spark):
 
     plan = registry.queries()["cls_document_type"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[source_type#\d+, title#\d+\], ", plan)
+
+
+def test_only_texts_that_may_hold_a_quote_are_formed_again(spark):
+    """The check of quotations reads the candidates' texts, not all of them a second time in full."""
+    from bidspan.operators import joins
+
+    quotes = spark.createDataFrame([(1, "uma frase citada do edital [...] com hí-\nfen no meio")], "quote_id long, quote string")
+    rows = [("a", "Aqui está uma frase citada do edital, e depois COM HIFEN no meio."), ("b", "uma frase citada do edital, nada mais"), ("c", "outro texto - sem ela"), ("d", None)]
+    found = joins.quote_matches(quotes, spark.createDataFrame(rows, "source_id string, text string"))
+    assert [tuple(r) for r in found.collect()] == [(1, "a")]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
