@@ -198,6 +198,10 @@ def collection_stats(docs: DataFrame, text: Column) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(tokens(text))).alias("mean_length"))
 
 
+#: Postings that one task sorts when an index is written; more of them are more tasks, so the memory of one does not grow.
+POSTINGS_A_TASK = 500_000
+
+
 class TextIndex:
     """A stored index: postings in token order, and the collection's figures in one row.
 
@@ -215,7 +219,9 @@ class TextIndex:
         grouped = settle(_grouped_documents(docs, key, text), "tokens")
         grouped.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).write.parquet(f"{index.path}/stats")
         rows = _exploded(grouped, key)
-        rows.repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(f"{index.path}/postings")
+        held = grouped.agg(F.sum(F.size(F.coalesce("groups", F.array().cast(grouped.schema["groups"].dataType))))).first()[0] or 0
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // POSTINGS_A_TASK))
+        rows.repartitionByRange(tasks, "token", key).sortWithinPartitions("token", key).write.parquet(f"{index.path}/postings")
         return index
 
     @property

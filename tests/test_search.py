@@ -347,3 +347,14 @@ def test_postings_of_odd_texts_without_lambdas(spark, monkeypatch):
     got = {(r.doc_id, r.token, r.length, r.tf, tuple(r.positions)) for r in posts.collect()}
     assert got == {(4, "aca", 4, 1, (0,)), (4, "aco", 4, 1, (2,)), (4, "cas", 4, 2, (1, 4)), (None, "x", 3, 2, (0, 2)), (None, "y", 3, 1, (1,))}
     assert "array_sort" not in posts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_postings_are_sorted_by_more_tasks(spark, tmp_path, monkeypatch):
+    from bidspan.plans import index as ix
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(ix, "POSTINGS_A_TASK", 10)
+    docs = spark.createDataFrame([(k, " ".join(f"palavra{k}x{i}" for i in range(20))) for k in range(10 * tasks)] + [(-1, None), (-2, "")], "doc_id long, text string")
+    stored = ix.TextIndex.write(docs, "doc_id", F.col("text"), f"{tmp_path}/index").postings
+    assert stored.count() == 200 * tasks
+    assert stored.select(F.input_file_name()).distinct().count() > 10 * tasks
