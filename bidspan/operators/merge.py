@@ -32,7 +32,7 @@ def touch_times(changed: Column, now: Column, old_changed: Column) -> dict[str,
     return {"changed_at": F.when(changed, now).otherwise(old_changed), "synced_at": now}
 
 
-def merge_catalog(catalog: DataFrame, batch: DataFrame, policy: str, now: Column, key: str = "control_no") -> DataFrame:
+def merge_catalog(catalog: DataFrame, batch: DataFrame, policy: str, now: Column, key: str = "control_no", unique: bool = False) -> DataFrame:
     """The merged catalogue, each row with the ``action`` the batch had on it.
 
     ``action``: novo, atualizado, ignorado, recusado, or NULL for a row the batch
@@ -40,12 +40,13 @@ def merge_catalog(catalog: DataFrame, batch: DataFrame, policy: str, now: Column
     guard, the change test and the merge; ``result`` and ``merge_counters`` read
     different columns of the same plan.
 
-    ``batch`` has the source columns of the catalogue plus ``position``.
+    ``batch`` has the source columns of the catalogue plus ``position``. Of a key
+    that it repeats the newest row counts; ``unique`` says that it repeats none.
     """
     if policy not in ("todas", "abertas"):
         raise ValueError(f"unknown admission policy: {policy}")
     source = [c for c in batch.columns if c not in (key, "position", *TEAM_FIELDS, *MERGE_FIELDS)]
-    newest = windows.dedup_batch(batch, key)
+    newest = batch if unique else windows.dedup_batch(batch, key)
     incoming = newest.select(key, F.struct(*source, "seen_at").alias("_n"))
     held = catalog.select(key, F.struct(*[c for c in catalog.columns if c != key]).alias("_o"))
     both = held.join(incoming, key, "full_outer")

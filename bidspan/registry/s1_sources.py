@@ -9,7 +9,7 @@ from bidspan.functions import text as tx
 from bidspan.operators import joins, merge, projections, windows
 from bidspan.registry import twin as w
 from bidspan.registry.core import query
-from bidspan.registry.tables import NOW
+from bidspan.registry.tables import NOW, Dealt
 from bidspan.session import fresh_path
 from bidspan.sources import readers, schemas, sinks
 
@@ -48,7 +48,9 @@ def listing_rows(t):
 def envelopes(t, path, damage=True):
     """Write one envelope per line, 50 rows to a page, as the fetcher would; some pages arrive damaged."""
     page = (F.floor(F.col("bid_id") / PAGE) + 1).cast("int")
-    pages = listing_rows(t).groupBy(page.alias("numeroPagina")).agg(F.array_sort(F.collect_list(F.struct("bid_id", "row"))).alias("rows"))
+    # orders are dealt by page before they are made listing rows, which are several times as wide
+    dealt = Dealt(t.spark, t.dir, "orders", (F.floor(F.col("o_orderkey") / PAGE) + 1).cast("int"))
+    pages = listing_rows(dealt).groupBy(page.alias("numeroPagina")).agg(F.array_sort(F.collect_list(F.struct("bid_id", "row"))).alias("rows"))
     total = t.raw("orders").agg(F.count(F.lit(1))).scalar()
     out = pages.select(
         F.transform("rows", lambda r: r["row"]).alias("data"), "numeroPagina", F.lit(1).cast("long").alias("segment_id"),
@@ -57,7 +59,7 @@ def envelopes(t, path, damage=True):
     )
     body = F.to_json(F.struct(*out.columns))
     damaged = F.when(F.lit(damage) & (F.col("numeroPagina") % 60 == 0), F.lit("<html>proxy</html>")).otherwise(body)
-    out.select(damaged.alias("value")).write.text(path)
+    out.select(damaged.alias("value")).write.option("compression", "gzip").text(path)
     return readers.page_envelopes(t.spark, path)
 
 

@@ -107,7 +107,7 @@ class KeyedTable:
     def stage(self, rows: DataFrame, version: int, parts: Sequence[int] | None = None) -> DataFrame:
         """Write all rows of ``parts`` (of the whole table, if None) beside the table; repeating it is harmless."""
         path = f"{self.path}/staged/v={version}"
-        rows.withColumn("part", self.part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
+        rows.withColumn("part", self.part()).hint("rebalance", "part").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(path)
         whole = list(range(self.parts)) if parts is None else list(parts)
         for part in whole:
             make_folder(self.spark, f"{path}/part={part}")  # one that got no row replaces what it held, too

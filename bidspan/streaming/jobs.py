@@ -105,14 +105,18 @@ def stream_pages(
         apply = decisions.filter(F.col("decision") == "aplicar").select("segment_id", "page")
         rows = readers.page_rows(pages).join(apply, ["segment_id", "page"], "left_semi")
         mapped = projections.map_header(rows, now, seen_in_proposals, config)
-        valid, rejected = readers.quarantine(settle(mapped, "mapped"), F.col("control_no"), "numeroControlePNCP ausente")
+        valid, rejected = readers.quarantine(settle(mapped, "mapped", "zstd"), F.col("control_no"), "numeroControlePNCP ausente")
         log(rejected, "rejected_rows", batch)
         parts = catalog.touched(valid)
         held = catalog.read(parts).drop("action")
+        # only keys that the batch repeats, few as a rule, are brought together; the rows of all others stay where they are
+        repeated = settle(valid.groupBy("control_no").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("control_no"), "repeated")
+        single, several = (valid.join(repeated, "control_no", how).select(*valid.columns) for how in ("left_anti", "left_semi"))
 
         counters = Observation(f"merge-{batch}")
         action = F.col("action")
-        merged = merge.merge_catalog(held, valid, policy, now).observe(
+        newest = single.unionByName(windows.dedup_batch(several))
+        merged = merge.merge_catalog(held, newest, policy, now, unique=True).observe(
             counters,
             F.count_if(action.isNotNull()).alias("received"),
             F.count_if(action == "recusado").alias("refused"),
@@ -122,13 +126,14 @@ def stream_pages(
         )
         staged = catalog.stage(merged.filter(F.coalesce("action", F.lit("")) != "recusado"), batch, parts)
         log(merge.history(staged, now), "history", batch)
-        payloads = valid.select(F.col("control_no").alias("key"), F.col("source_hash").alias("hash"), F.to_json(F.struct(*valid.columns)).alias("payload")).dropDuplicates(["key", "hash"])
-        stored = payloads.filter("false").select("key", "hash")
+        versions = single.unionByName(several.dropDuplicates(["control_no", "source_hash"]))
+        fresh = versions.select(F.col("control_no").alias("key"), F.col("source_hash").alias("hash"), F.to_json(F.struct(*valid.columns)).alias("payload"))
         if done >= 0 and exists(spark, f"{log_path}/payloads"):
             kept = spark.read.schema(f"{_PAYLOAD}, part int, batch int").parquet(f"{log_path}/payloads")
             stored = kept.filter(F.col("part").isin(parts) & (F.col("batch") < batch)).select("key", "hash")
-        fresh = readers.payload_archive(payloads, stored).withColumns({"part": F.pmod(F.xxhash64("key"), F.lit(catalog.parts)).cast("int"), "batch": F.lit(batch)})
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{log_path}/payloads")
+            fresh = fresh.join(stored, ["key", "hash"], "left_anti")
+        fresh = fresh.withColumns({"part": F.pmod(F.xxhash64("key"), F.lit(catalog.parts)).cast("int"), "batch": F.lit(batch)})
+        fresh.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{log_path}/payloads")
         names = ["received", "refused", "new", "updated", "ignored"]
         counted = counters.get if parts else dict.fromkeys(names, 0)  # without rows nothing is observed
         log(spark.range(1).select(*[F.lit(counted[n]).cast("long").alias(n) for n in names]), "counters", batch)

@@ -40,6 +40,18 @@ def test_received_lines_are_stored_compressed(tables, tmp_path):
     assert rows.count() == tables.items.count()
 
 
+def test_received_pages_are_stored_compressed_and_dealt_as_orders(spark, tables, tmp_path):
+    pages = s1.envelopes(tables, f"{tmp_path}/pages", damage=False)
+    names = [n for n in os.listdir(f"{tmp_path}/pages") if n.startswith("part-")]
+    assert names and all(n.endswith(".gz") for n in names)
+    assert pages.selectExpr("explode(data) as r").count() == tables.raw("orders").count()
+    last = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [last.apply(k).physicalPlanDescription() for k in range(last.size())]
+    made = next(p for p in reversed(plans) if "gzip" in p or str(tmp_path) in p and "InsertInto" in p)
+    dealt = [line for line in made.splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert dealt and not any("numeroPagina" in line for line in dealt)  # listing rows are not shuffled
+
+
 def test_an_arrival_is_not_one_file(spark, tables):
     held = []
     events = spark.range(0, 4000, 1, 4).select(F.col("id").alias("event_id"))

@@ -64,6 +64,24 @@ def test_pages_merge_in_order_resume_and_replay(spark, tables, tmp_path):
     assert spark.read.parquet(f"{flow.base}/log/history").count() == 3
 
 
+def test_keys_that_a_trigger_repeats_and_how_it_is_stored(spark, tables, tmp_path):
+    flow = Flow(spark, tables, tmp_path)
+    put(flow.pages, "a.json", 1, [row("A", "um"), row("B", "dois"), row("C", "tres")])
+    put(flow.pages, "b.json", 2, [row("A", "um novo", "2026-09-02T10:00:00"), row("B", "dois"), row("B", "dois velho", "2026-08-01T10:00:00")])
+    flow.run()
+    assert flow.objects() == {"A": "um novo", "B": "dois", "C": "tres"}
+    assert flow.counters() == {0: (3, 3, 0, 0)}
+    payloads = spark.read.parquet(f"{flow.base}/log/payloads")
+    assert sorted(r["key"] for r in payloads.collect()) == ["A", "A", "B", "B", "C"]
+    put(flow.pages, "c.json", 3, [row("A", "um novo", "2026-09-02T10:00:00"), row("C", "quatro"), row("C", "quatro")])
+    flow.run()
+    assert flow.objects() == {"A": "um novo", "B": "dois", "C": "quatro"}
+    assert sorted(r["key"] for r in spark.read.parquet(f"{flow.base}/log/payloads").collect()) == ["A", "A", "B", "B", "C", "C"]
+    for folder in ("catalog/data", "log/payloads"):
+        names = [n for _, _, files in os.walk(f"{flow.base}/{folder}") for n in files if n.endswith(".parquet")]
+        assert names and all(n.endswith(".zstd.parquet") for n in names)
+
+
 def test_a_page_waits_for_its_predecessor(spark, tables, tmp_path):
     flow = Flow(spark, tables, tmp_path)
     put(flow.pages, "a.json", 1, [row("A", "um")])
