@@ -119,6 +119,28 @@ def test_any_passage_of_fifty_words_holds_a_paragraph(prose):
     assert set.intersection(*map(set, inside))
 
 
+def test_short_texts_are_paragraphs(frame, prose):
+    texts, want, pairs = {}, {}, 0
+    for n in range(5, 24):
+        base = prose(300 + n, n).split()
+        near = [*base[: n - 1], "changed"]
+        texts |= {10 * n: " ".join(base), 10 * n + 1: " \n ".join(base).upper(), 10 * n + 2: " ".join(near)}
+        alike = (n - 5) / (n - 3) >= paragraphs.SIMILAR  # all shingles but the last
+        want |= {10 * n + k: 10 * n for k in ((0, 1, 2) if alike else (0, 1))}
+        pairs += alike
+    ring = prose(77, 6).split() * 3
+    texts |= {7: " ".join(ring), 8: " ".join([*ring, *ring[:2]]), 9: "four words are none", 10: "four words are none"}
+    want |= {7: 7, 8: 7}  # 6 shingles, all in common
+    edge = prose(5, 24).split()
+    texts |= {20: " ".join(edge), 21: " ".join(edge[:23])}  # 19 of 20 shingles, one of them a text of 24 words
+    want |= {20: 20, 21: 20}
+    rows = paragraphs.shared_paragraphs(frame(list(texts.items()))).collect()
+    assert pairs == 11 and {r.doc_id: r.kept_doc_id for r in rows} == want
+    assert all(r.start == 0 and r.n_words == len(texts[r.doc_id].split()) for r in rows)
+    kept = {r.doc_id: r.text for r in paragraphs.without_shared(frame(list(texts.items()))).collect()}
+    assert kept[51] == "" and kept[50] == texts[50] and kept[10] == texts[10]
+
+
 def test_odd_rows(odd, frame, prose):
     assert paragraphs.shared_paragraphs(odd).count() == 0  # a repeated row is one document
     assert paragraphs.shared_paragraphs(frame([])).count() == 0
